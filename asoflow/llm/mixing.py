@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     rows = sized.join(F.broadcast(targets) if _few(targets) else targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     fractions = rows.where("size > 0 and p > 1e-9").groupBy("id", "source", "p").agg(F.sum("size").alias("size"))
-    fractions = fractions.select("source", F.struct(F.xxhash64("id", "source").alias("key"), "id", F.col("size").cast("double").alias("size"), "p").alias("doc"))
+    fractions = fractions.select("source", F.struct(F.col("size").cast("double").alias("size"), F.xxhash64("id", "source").alias("key"), "id", "p").alias("doc"))
     settled, level = None, 0
     while True:
         counts = fractions.groupBy("source").agg(F.count("*").alias("n"))
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
         dealt = dealt.withColumn("g", F.pmod(F.xxhash64(F.col("doc.key"), F.lit(level)), F.col("groups")))
         none = F.lit(None).cast(fractions.schema["doc"].dataType)
         start = F.struct(none.alias("open"), F.array().cast(f"array<{fractions.select('doc').dtypes[0][1]}>").alias("done"))
-        met = dealt.groupBy("source", "g").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+        met = dealt.groupBy("source", "g").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("docs"))  # the smallest stays open
         met = stored(met.select("source", F.aggregate("docs", start, _meet).alias("state")))
         done = met.select("source", F.explode("state.done").alias("doc"))
         settled = done if settled is None else settled.union(done)
