@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module that holds a function of that name, and for some an SQL text
 _MODULES = {
+    "op1_embedding_near_dedup": "vectors",
+    "op2_quality": "quality",
     "op3_sentencepiece": "sentencepiece_bpe",
+    "op4_language_id": "langid",
+    "op5_warc_derivatives": "warc",
     "op6_ngram_jaccard_join": "jaccard",
+    "op7_nearest_neighbours": "vectors",
+    "op8_sharding": "sharding",
     "op9_mixing": "mixing",
+    "op10_url_filter": "urls",
 }
 
 
