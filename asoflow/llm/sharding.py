@@ -77,10 +77,10 @@ def _even_out(rows: DataFrame, shards: int, fair: float, buckets: int, passes: i
         for s in range(shards):
             to = F.coalesce(to, F.when((at >= gap) & (at < gap + under[s]), s)) if under[s] else to
             gap += under[s]
-        queue = queue.where(goes).withColumn("to", F.coalesce(to, F.col("shard"))).select("id", "row", "size", F.col("shard").alias("from"), F.col("to"))
-        queue = queue.groupBy("id", "row", "size", "from").agg(F.max("to").alias("to"))
-        same = rows["row"].eqNullSafe(queue["row"]) & rows["id"].eqNullSafe(queue["id"]) & (rows["shard"] == queue["from"])
-        kept = rows.join(queue, same, "left").select(rows["id"], rows["gid"], rows["size"], rows["crc"], rows["row"], F.coalesce("to", "shard").alias("shard"))
+        queue = queue.where(goes).withColumn("to", F.coalesce(to, F.col("shard"))).groupBy("row", "id", "shard").agg(F.max("to").alias("to"))
+        queue = queue.select(F.col("row").alias("r"), F.col("id").alias("i"), F.col("shard").alias("from"), "to")
+        same = F.col("row").eqNullSafe(F.col("r")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("shard") == F.col("from"))
+        kept = rows.join(queue, same, "left").select("id", "gid", "size", "crc", "row", F.coalesce("to", "shard").alias("shard"))
         rows = stored(kept)
     return rows
 
