@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("q_scans", "q_joins", "q_panel", "q_metrics", "q_replay", "q_views")
 
 
 def load() -> None:
