@@ -82,13 +82,6 @@ def exact_duplicates(docs: DataFrame, id_col: str, text_col: str, fields: Sequen
     return groups.where("n_documents > 1")
 
 
-def word_shingles(text: Column, words: int) -> Column:
-    """Distinct shingles of lower-case words."""
-    all_ = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    n = F.size(all_) - words + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(all_, i, words))))).otherwise(F.array().cast("array<string>"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3, least_words: int = 12, threshold_bp: int = 8000) -> DataFrame:
     """Pairs of documents with a Jaccard similarity of at least threshold_bp / 10000 over word shingles: a, b, similarity_bp.
 
@@ -96,8 +89,11 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     representatives; the classes come from near_duplicate_classes. A pair must share one of the first shingles of both in
     order of hash, whose number follows from the threshold, so only those are joined.
     """
-    sets = docs.select(F.col(id_col).alias("id"), word_shingles(F.col(text_col), words).alias("s")).where(F.size("s") >= least_words - words + 1)
-    sets = sets.withColumn("h", F.array_sort(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))))
+    from pyspark.ml.feature import NGram
+
+    split = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    grams = NGram(n=words, inputCol="w", outputCol="g").transform(split)
+    sets = grams.select("id", F.array_sort(F.array_distinct(F.transform("g", lambda x: F.xxhash64(x)))).alias("h")).where(F.size("h") >= least_words - words + 1)
     reps = sets.groupBy("h").agg(F.min("id").alias("id")).withColumn("n", F.size("h"))
     first = F.slice("h", 1, (F.col("n") - F.ceil(F.col("n") * threshold_bp / 10000) + 1).cast("int"))
     heads = reps.select("id", "n", F.explode(first).alias("x"))

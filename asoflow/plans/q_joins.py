@@ -11,14 +11,13 @@ from asoflow.plans.views import sql
 from asoflow.sources.adapters import SERIES, demand_versions, ledger, lines, plans, returns, routes, series_day, table
 
 KEY = [*SERIES, "day"]
-_ORIGIN = F.lit("1998-06-30").cast("date")
 _LATEST = """select product, location, channel, day, version, units, n > 1 as ambiguous from (select *, count(*) over (partition by product, location, channel, day, version) as n,
     max(version) over (partition by product, location, channel, day) as top from demand_versions {where}) where version = top"""
 
 
 @query("jn05_asof_read", sql(_LATEST.format(where="where available <= date '1998-06-30'"), "demand_versions"))
 def _(spark, d):
-    return V.asof_read(demand_versions(spark, d), _ORIGIN, KEY).drop("available")
+    return V.asof_read(demand_versions(spark, d), F.lit("1998-06-30").cast("date"), KEY).drop("available")
 
 
 @query("wn01_latest_version", sql(_LATEST.format(where=""), "demand_versions"))
