@@ -64,11 +64,12 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 def char_grams(text: Column, sizes: Sequence[int]) -> Column:
     """All character n-grams of these sizes, with marks for the ends."""
     whole = F.concat(F.lit("\x02"), text, F.lit("\x03"))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i, n=n: F.substring(whole, i, F.lit(n)))
-        for n in sizes
-    ]
-    return F.concat(*grams)
+
+    def of_size(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substring(whole, i, F.lit(n)))
+
+    return F.concat(*[of_size(n) for n in sizes])
 
 
 class UrlClassifier:
