@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -117,42 +118,34 @@ def isolation_forest(df: DataFrame, group: Sequence[str], features: Sequence[str
 def isolation_scores(df: DataFrame, forest: DataFrame, group: Sequence[str], features: Sequence[str], sample: int = 256) -> DataFrame:
     """Adds score to the rows of groups that have a forest, by walking all trees at once.
 
-    The trees are rows of a few hundred nodes a group; a group's trees travel to its rows as one array whose
-    length is bounded by trees and sample, and a batch walks them with array steps.
+    Rows are dealt into pieces of about 50,000, each of which meets its group's trees, a few
+    hundred nodes each, in one task; a group of any size so spreads over many.
     """
-    node = F.struct("tree", "node", "feature", "threshold", "left", "right", "depth", "size")
-    packed = forest.groupBy(*group).agg(F.sort_array(F.collect_list(node)).alias("_trees")).select(*group, *[F.col("_trees")[c].alias(f"_{c}") for c in ("tree", "node", "feature", "threshold", "left", "right", "depth", "size")])
     kinds = dict(df.dtypes)
-
-    def walk(frames):
-        from math import log
-
-        def c(n: float) -> float:
-            return 2 * (log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-        for pdf in frames:
-            out = np.zeros(len(pdf))
-            for _, part in pdf.reset_index(drop=True).groupby(list(group), sort=False):
-                one = part.iloc[0]
-                tree = np.asarray(one["_tree"])
-                starts = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
-                feature, threshold, left, right, depth, size = (np.asarray(one[f"_{k}"]) for k in ("feature", "threshold", "left", "right", "depth", "size"))
-                base = np.repeat(starts, np.diff(np.append(starts, len(tree))))
-                x = part[list(features)].to_numpy(float)
-                at = np.tile(starts, (len(x), 1))
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    goes = np.take_along_axis(x, np.maximum(f, 0), axis=1) <= threshold[at]
-                    at = np.where(inner, base[at] + np.where(goes, left[at], right[at]), at)
-                rest = np.array([c(n) for n in size])
-                out[part.index] = 2.0 ** (-(depth[at] + rest[at]).mean(axis=1) / c(min(sample, int(size[starts].max()))))
-            yield pdf[list(kinds)].assign(score=out)
-
-    joined = df.join(packed, list(group)).select(*df.columns, *[f"_{c}" for c in ("tree", "node", "feature", "threshold", "left", "right", "depth", "size")])
-    return joined.mapInPandas(walk, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", score double")
+    pieces = max(1, df.count() // 50_000)
+    dealt = df.withColumn("_piece", F.pmod(F.xxhash64(*df.columns), F.lit(pieces)))
+    spread = forest.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+
+    def c(n: float) -> float:
+        return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def walk(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or trees.empty:
+            return pd.DataFrame(columns=[*kinds, "score"])
+        trees = trees.sort_values(["tree", "node"])
+        feature, threshold, left, right, depth, size = (trees[k].to_numpy() for k in ("feature", "threshold", "left", "right", "depth", "size"))
+        starts = np.flatnonzero(trees["node"].to_numpy() == 0)
+        base = np.repeat(starts, np.diff(np.append(starts, len(trees))))
+        rest = depth + np.array([c(n) for n in size])
+        x = rows[list(features)].to_numpy(float)
+        at = np.tile(starts, (len(x), 1))
+        while (inner := feature[at] >= 0).any():
+            goes = np.take_along_axis(x, np.maximum(feature[at], 0), axis=1) <= threshold[at]
+            at = np.where(inner, base[at] + np.where(goes, left[at], right[at]), at)
+        return rows[list(kinds)].assign(score=2.0 ** (-rest[at].mean(axis=1) / c(min(sample, int(size[starts].max())))))
+
+    keys = [*group, "_piece"]
+    return dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(walk, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", score double")
 
 
 def permutation_importance(df: DataFrame, score, groups: dict[str, Sequence[str]], label: str, key: Sequence[str], rounds: int = 5) -> DataFrame:
