@@ -37,31 +37,31 @@ _BAND = 1.03
 
 
 def _first_columns(n: int, percent: int) -> int:
-    """How many of n columns, in a common order, decide whether a row can have a partner."""
-    return min(n, n - -(-percent * n // 100) + max(1, 3 * n // 100))
+    """Among so many of n columns, the first in a common order, a row shares a tenth of n at least with any partner: all but those that the bound lets it miss."""
+    return min(n, n - -(-percent * n // 100) + max(1, n // 10))
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, whole: bool) -> DataFrame:
-    """Per document: size and digests of its set, and its first columns or all of them."""
+    """Per document: size and digests of its set, and all its columns or the upper halves of its first ones (which may take two columns for one, never one for two)."""
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+        return pa.RecordBatch.from_arrays([*numbers, lists_of([r[4] for r in rows])], ["doc", "n", "d1", "d2", "cols"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, kept = [], [], [], []
-            ids, held = [], 0
+            rows, held = [], 0
             for doc, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
-                a, b = digest(x)
-                ids.append(doc)
-                n.append(len(x))
-                one.append(a)
-                two.append(b)
-                kept.append(x if whole else x[: _first_columns(len(x), percent)])
-                held += len(kept[-1])
+                cols = x if whole else (x[: _first_columns(len(x), percent)] >> np.uint64(32)).astype(np.uint32)
+                rows.append((doc, len(x), *digest(x), cols))
+                held += len(cols)
                 if held > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists_of(kept)], ["doc", "n", "d1", "d2", "cols"])
-                    n, one, two, kept, ids, held = [], [], [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists_of(kept)], ["doc", "n", "d1", "d2", "cols"])
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc long, n long, d1 long, d2 long, cols array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"doc long, n long, d1 long, d2 long, cols array<{'long' if whole else 'int'}>")
 
 
 def _band(n: Column) -> Column:
@@ -86,11 +86,11 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, seen: DataFrame, reps: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Steps 1 and 2: rows of the matrix that can still have a partner, with all their columns."""
-    columns = seen.where("n > 0").select("doc", "n", "d1", F.explode("cols").alias("col"))
-    shared = columns.groupBy("col").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("col")
-    need = f"greatest(1, cast(floor(3 * ceil({percent} * n / 100) / 100) as bigint))"
-    left = columns.join(shared, "col").groupBy("doc", "n").agg(F.count("*").alias("met")).where(f"met >= {need}")
-    left = stored(left.select("doc").distinct().join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"))
+    columns = seen.where("n > 0").select("doc", F.explode("cols").alias("col"))
+    shared = columns.groupBy("col").agg(F.count("*").alias("times")).where("times > 1").select("col")
+    need = f"greatest(1, ceil({percent} * n / 100) div 10)"
+    met = columns.join(shared, "col").groupBy("doc").agg(F.count("*").alias("met"))
+    left = stored(met.join(reps.select(F.col("rep").alias("doc"), "n"), "doc").where(f"met >= {need}").select("doc").distinct())
 
     # At most _MAP_WORDS rows whatever the input: a fixed bitmap of the ids that are left.
     spot = f"pmod(xxhash64(doc), {_MAP_WORDS * 64})"
@@ -106,14 +106,14 @@ def _entries(rows: DataFrame, percent: int) -> DataFrame:
     """Step 2 and the entries of step 3: for each row left, its rarest columns with the sizes that a partner may have if the column is the first that they share."""
     cells = rows.select("doc", "n", F.explode("cols").alias("col"))
     times = cells.groupBy("col").agg(F.count("*").alias("times")).where("times > 1")
-    kept = cells.join(times, "col").groupBy("doc", "n").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("times", "col"))).alias("cols"))
+    kept = cells.join(times, "col").groupBy("doc", "n").agg(F.count("*").alias("shared"), (F.sum("times") / F.col("n")).alias("central"), F.sort_array(F.collect_list(F.struct("times", "col"))).alias("cols"))
     most = f"cast(floor({100 + percent} * (n - at) / {percent}) as bigint) - n"
     least = f"cast(ceil({percent} * n / 100) as bigint)"
     kept = kept.withColumn("at", F.expr("n - shared")).withColumn("most", F.expr(most)).where(f"most >= {least}")
     # beyond this place a first shared column comes too late for any partner
     width = f"greatest(0, least(shared, n - {least} + 1 - (n - shared)))"
-    spread = kept.select("doc", "n", "shared", F.posexplode(F.expr(f"slice(cols, 1, cast({width} as int))")).alias("k", "c"))
-    spread = spread.select("doc", "n", F.expr("n - shared + k").alias("at"), F.col("c.col").alias("col"))
+    spread = kept.select("doc", "n", "shared", "central", F.posexplode(F.expr(f"slice(cols, 1, cast({width} as int))")).alias("k", "c"))
+    spread = spread.select("doc", "n", "central", F.expr("n - shared + k").alias("at"), F.col("c.col").alias("col"))
     return spread.withColumn("most", F.expr(most)).withColumn("least", F.expr(least)).where("most >= least")
 
 
@@ -136,14 +136,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     rows = stored(_candidates(docs, seen, reps, id_col, text_col, words, percent))
     entries = stored(_entries(rows, percent))
 
-    small = entries.where("most >= n").select("col", _band(F.col("n")).alias("band"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("most").alias("mosta"))
+    small = entries.where("most >= n").select("col", _band(F.col("n")).alias("band"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("most").alias("mosta"), F.col("central").alias("xa"))
     large = entries.withColumn("most", F.least("most", "n")).withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most")))))
-    large = large.select("col", "band", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("least").alias("leastb"), F.col("most").alias("mostb"))
+    large = large.select("col", "band", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("least").alias("leastb"), F.col("most").alias("mostb"), F.col("central").alias("xb"))
     fits = (F.col("a") != F.col("b")) & (F.col("na") <= F.col("mostb")) & (F.col("na") >= F.col("leastb")) & (F.col("nb") <= F.col("mosta"))
 
-    lead = small.groupBy("col", "band").agg(F.min(F.struct("ata", "a", "na", "mosta")).alias("s")).select("col", "band", "s.*")
-    to_lead = large.join(lead, ["col", "band"]).where(fits).groupBy("b", "a").agg(F.count("*").alias("met"))
-    first = to_lead.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a"))
+    # the row that leads a column and band on either side is the one whose columns are the most common on average
+    first = None
+    for side, other, key in ((small, large, "b"), (large, small, "a")):
+        own = "a" if key == "b" else "b"
+        lead = side.groupBy("col", "band").agg(F.max(F.struct(f"x{own}", (-F.col(own)).alias("tie"), *[c for c in side.columns if c not in ("col", "band", f"x{own}")])).alias("s")).select("col", "band", "s.*").drop("tie")
+        met = other.join(lead, ["col", "band"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.max(f"x{own}").alias("x"))
+        pick = met.groupBy(key).agg(F.max_by(own, F.struct("met", "x", -F.col(own))).alias(own)).select("a", "b")
+        first = pick if first is None else first.union(pick)
+    first = first.distinct()
     links = stored(_overlaps(first, rows, percent))
     named = stored(connected_components(links))
 

@@ -65,7 +65,7 @@ def word_prints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, U), np.zeros(len(at), np.int64)
     word = np.cumsum(begins) - 1
     place = np.arange(len(buf)) - starts[word]
-    value = np.where(solid, _BYTE[buf] * _PLACE[np.minimum(place, _LONG_WORD - 1)], U(0))
+    value = np.where(solid, _BYTE[buf] * _PLACE[np.clip(place, 0, _LONG_WORD - 1)], U(0))
     prints = np.add.reduceat(value, starts)
     sizes = np.add.reduceat(solid.astype(np.int64), starts)
     for i in np.flatnonzero(sizes > _LONG_WORD):
@@ -113,7 +113,8 @@ def digest(x: np.ndarray) -> tuple[int, int]:
 
 
 def lists_of(arrays: list[np.ndarray]) -> pa.Array:
-    """Arrays of fingerprints as one Arrow list column of longs."""
+    """Arrays of fingerprints (or halves of them) as one Arrow list column of signed numbers."""
     at = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    flat = np.concatenate(arrays or [np.zeros(0, U)])
+    flat = flat.view(np.int32 if flat.dtype == np.uint32 else np.int64)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
