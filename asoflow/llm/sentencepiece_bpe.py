@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -167,12 +166,15 @@ class PrefixTable:
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-@lru_cache(maxsize=2)
-def _table(key: tuple) -> PrefixTable:
-    return PrefixTable(_MODELS[key])
+_TABLES: dict[tuple, PrefixTable] = {}
 
 
-_MODELS: dict[tuple, dict] = {}
+def table_for(model: dict) -> PrefixTable:
+    """A worker's table of a model, kept from task to task."""
+    key = (len(model["pieces"]), model["pieces"][-1], model["bos"], model["eos"])
+    if key not in _TABLES:
+        _TABLES[key] = PrefixTable(model)
+    return _TABLES[key]
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -187,9 +189,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (len(model["pieces"]), model["pieces"][-1], model["bos"], model["eos"])
-        _MODELS[key] = model
-        table = _table(key)
+        table = table_for(model)
         for batch in batches:
             count, ids, plain, raw, texts = [], [], [], [], []
             for text in batch.column(1):
@@ -215,7 +215,7 @@ def decode_ids(ids: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PrefixTable(model)
+        table = table_for(model)
         for batch in batches:
             texts = [None if x.as_py() is None else table.decode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "decoded"])
