@@ -1,12 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations alone.
 
 Every document of a source should be copied target / size-of-source times. The whole part of that
-number is certain; the fraction is a probability. Within small groups the probabilities meet in
-pairs: mass, weighted by the documents' sizes, moves at random from one to the other until one
-of them is 0 or 1, which keeps the group's expected words exactly. Each group leaves one
-fraction at most; these go up a reduction tree, a level of which is one groupBy, until one
-fraction of each source is left, which a last draw rounds. So a source's words miss its target
-by one document's size at most.
+number is certain; the fraction is a probability. Probabilities meet in pairs: mass,
+weighted by the documents' sizes, moves at random from one side to the other until one of them
+is 0 or 1, which keeps the words of both together exactly. In a leaf, a small group of a
+source's documents, each document in turn, from the largest, meets all smaller ones as one side.
+Each leaf leaves one fraction at most, mostly of its smallest document; these go up a reduction
+tree, a level of which is one groupBy, in which documents meet one by one, until one fraction of
+each source is left, which a last draw rounds. So a source's words miss its target by the size of
+that one document at most.
 """
 
 from __future__ import annotations
@@ -23,11 +25,8 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: str) -> F.Column:
-    """Words of a column, 0 for null: spaces become one kind, then the gaps between words are counted."""
-    plain = F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")
-    gaps = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit("")))
-    inner = gaps - plain.startswith(" ").cast("int") - (plain.endswith(" ") & (F.length(plain) > 1)).cast("int")
-    return F.coalesce(F.when(F.length(F.replace(plain, F.lit(" "), F.lit(""))) == 0, 0).otherwise(inner + 1), F.lit(0)).cast("long")
+    """Words of a column, 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(_WORDS)), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -58,6 +57,32 @@ def _draw(*parts: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
 
 
+def _closed(p: F.Column) -> F.Column:
+    return F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
+
+
+def _settle(state: F.Column, doc: F.Column) -> F.Column:
+    """One step of a leaf, largest document first: the document meets all smaller ones of the leaf, which still share one fraction.
+
+    It takes from all of them alike what it lacks to 1, or gives them all it has, with such odds
+    that all expectations stay; so what is open at the end is the smallest document. If they
+    can't take or give so much, they become 0 or 1 instead and it stays open.
+    """
+    p, rest, size = state["p"], state["rest"] - doc["size"], doc["size"]
+    up = F.least((1 - p) * size, p * rest)
+    down = F.least(p * size, (1 - p) * rest)
+    rises = _draw(doc["key"], F.lit(17)) * (up + down) < down
+    own = _closed(p + F.when(rises, up).otherwise(-down) / size)
+    others = _closed(p + F.when(rises, -up).otherwise(down) / rest)
+    fixed, last = (p == 0) | (p == 1), rest < 0.5
+    mine = doc.withField("p", F.when(fixed | last, p).otherwise(own))
+    opens = ~fixed & (last | ((own > 0) & (own < 1)))
+    return F.struct(
+        F.when(fixed | last, p).otherwise(others).alias("p"), rest.alias("rest"), F.when(opens, mine).otherwise(state["open"]).alias("open"),
+        F.when(opens, state["done"]).otherwise(F.concat(state["done"], F.array(mine))).alias("done"),
+    )
+
+
 def _meet(state: F.Column, new: F.Column) -> F.Column:
     """One step of the pivotal method: the open fraction meets the next one.
 
@@ -70,11 +95,8 @@ def _meet(state: F.Column, new: F.Column) -> F.Column:
     down = F.least(open_["p"] * open_["size"], (1 - new["p"]) * new["size"])
     shift = F.when(_draw(open_["key"], new["key"], F.lit(11)) * (up + down) < down, up).otherwise(-down)
 
-    def closed(p: F.Column) -> F.Column:
-        return F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
-
-    a = open_.withField("p", closed(open_["p"] + shift / open_["size"]))
-    b = new.withField("p", closed(new["p"] - shift / new["size"]))
+    a = open_.withField("p", _closed(open_["p"] + shift / open_["size"]))
+    b = new.withField("p", _closed(new["p"] - shift / new["size"]))
     a_open = (a["p"] > 0) & (a["p"] < 1)
     return F.when(open_.isNull(), F.struct(new.alias("open"), done.alias("done"))).otherwise(
         F.struct(F.when(a_open, a).otherwise(b).alias("open"), F.concat(done, F.array(F.when(a_open, b).otherwise(a))).alias("done"))
@@ -103,9 +125,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
         dealt = fractions.join(F.broadcast(counts) if _few(targets) else counts, F.col("source").eqNullSafe(F.col("s")))
         dealt = dealt.withColumn("g", F.pmod(F.xxhash64(F.col("doc.key"), F.lit(level)), F.col("groups")))
         none = F.lit(None).cast(fractions.schema["doc"].dataType)
-        start = F.struct(none.alias("open"), F.array().cast(f"array<{fractions.select('doc').dtypes[0][1]}>").alias("done"))
-        met = dealt.groupBy("source", "g").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("docs"))  # the smallest stays open
-        met = stored(met.select("source", F.aggregate("docs", start, _meet).alias("state")))
+        start = [none.alias("open"), F.array().cast(f"array<{fractions.select('doc').dtypes[0][1]}>").alias("done")]
+        met = dealt.groupBy("source", "g").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("docs"))
+        if level == 0:  # all documents of a source have the same fraction yet
+            weight = F.aggregate("docs", F.lit(0.0), lambda a, x: a + x["size"])
+            folded = F.aggregate("docs", F.struct(F.col("docs")[0]["p"].alias("p"), weight.alias("rest"), *start), _settle)
+        else:
+            folded = F.aggregate("docs", F.struct(*start), _meet)
+        met = stored(met.select("source", folded.alias("state")).select("source", F.struct("state.open", "state.done").alias("state")))
         done = met.select("source", F.explode("state.done").alias("doc"))
         settled = done if settled is None else settled.union(done)
         fractions = met.select("source", F.col("state.open").alias("doc")).where("doc is not null")
