@@ -38,7 +38,7 @@ def replay_stream(records: DataFrame) -> DataFrame:
                     floor = (watermark - pd.Timedelta(days=2)).isoformat()
                     seen = {k: v for k, v in seen.items() if v[1] >= floor}
                 continue
-            at, name = pd.Timestamp(r.event_time), str(r.event_id)
+            at, name = pd.Timestamp(r.event_time), str(int(r.event_id))  # progress rows have none, which makes the column one of floats
             timing = "late" if watermark is not None and at <= watermark else "out_of_order" if latest is not None and at < latest else "on_time"
             if r.offset < next_offset:
                 status = "redelivery"
@@ -52,7 +52,7 @@ def replay_stream(records: DataFrame) -> DataFrame:
             if status not in ("redelivery", "gap"):
                 next_offset = r.offset + 1
                 latest = at if latest is None else max(latest, at)
-            rows.append((key[0], r.offset, r.event_id, at, r.value, status, timing))
+            rows.append((key[0], r.offset, int(r.event_id), at, r.value, status, timing))
         state.update((next_offset, watermark, latest, json.dumps(seen)))
         yield pd.DataFrame(rows, columns=["partition", "offset", "event_id", "event_time", "value", "status", "timing"])
 
