@@ -172,6 +172,7 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _QUERIES = 512  # queries of one block
 _CODES = 20_000  # vectors of one block
+_FIRST = 64  # vectors of the best estimates, compared exactly to begin with
 _LEVELS = 4  # bits of a rotated query's components
 
 
@@ -188,14 +189,14 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k candidates of largest cosine for each query, by randomly rotated one-bit codes.
 
     A candidate's code is the signs of its rotated unit vector, packed into words, with the dot
     product of the vector and its code as correction; queries are rotated and rounded at random
     to a few bits. Bit counts give an estimate of each cosine, whose error is bounded by `bound`
-    standard deviations; a candidate is compared exactly only if its upper bound reaches the
-    k-th best lower bound so far. Queries and codes meet in blocks, each block returns k
+    standard deviations; the best estimates are compared exactly first, and then only candidates
+    whose upper bound reaches the k-th best of those. Queries and codes meet in blocks, each block returns k
     rows per query, and a query's blocks are merged by a window of that many rows.
 
     vectors and queries: id_col and vector_col. Returns query_id, rank (from 1), vec_id, score
@@ -236,30 +237,36 @@ def _search(asked: np.ndarray, ask_ids: np.ndarray, pool: np.ndarray, ids: np.nd
         return []
     turn = _rotation(asked.shape[1])
     wide = turn.shape[1]
-    unit = _unit(pool) @ turn
-    words = np.packbits(unit > 0, axis=1, bitorder="little").view(np.uint64)
-    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    plain = _unit(pool)
+    unit = plain @ turn
+    words = np.ascontiguousarray(np.packbits(unit > 0, axis=1, bitorder="little").view(np.uint64).T)
+    ones = np.bitwise_count(words).sum(axis=0, dtype=np.int32)
     fit = np.abs(unit).sum(axis=1) / math.sqrt(wide)  # dot product with the own code, whose components are +-1 / sqrt(wide)
     error = bound * np.sqrt(np.maximum(0, 1 - fit**2)) / (fit * math.sqrt(max(1, wide - 1)))
-    order = np.lexsort((ids,))
+    scale = 1 / (math.sqrt(wide) * fit)
     rng = np.random.default_rng(5)
     out = []
     for q, own in zip(asked, ask_ids, strict=True):
-        r = (_unit(q[None]) @ turn)[0]
+        straight = _unit(q[None])[0]
+        r = straight @ turn
         low, step = r.min(), max((r.max() - r.min()) / (2**_LEVELS - 1), 1e-300)
         level = np.clip(np.floor((r - low) / step + rng.random(wide)), 0, 2**_LEVELS - 1).astype(np.uint8)
-        dot = np.zeros(len(pool), np.int64)
+        dot = np.zeros(len(pool), np.int32)
         for b in range(_LEVELS):
             plane = np.packbits(level >> b & 1, bitorder="little").view(np.uint64)
-            dot += np.bitwise_count(words & plane).sum(axis=1, dtype=np.int64) << b
+            for w in range(len(words)):
+                dot += np.bitwise_count(words[w] & plane[w]).astype(np.int32) << b
         # sum of +-1 times low + step * level, by the counts of ones
-        signed = 2 * (step * dot + low * ones) - (step * int(level.sum()) + low * wide)
-        guess = signed / math.sqrt(wide) / fit
-        slack = error + step / 2 * bound / fit  # of the code, and of rounding the query
-        seen = ids != own
-        lower = (guess - slack)[seen]
-        near = np.partition(lower, -k)[-k] if len(lower) > k else -np.inf
-        again = order[(seen & (guess + slack >= near))[order]]
+        guess = (2 * (step * dot + low * ones) - (step * int(level.sum()) + low * wide)) * scale
+        guess[ids == own] = -np.inf
+        reach = guess + error + step / 2 * bound * scale * math.sqrt(wide)  # bounds of the code and of rounding the query
+        first = np.argpartition(guess, -_FIRST)[-_FIRST:] if len(guess) > _FIRST else np.arange(len(guess))
+        first = first[guess[first] > -np.inf]
+        sure = np.sort(plain[first] @ straight)
+        near = sure[-k] - 1e-9 if len(sure) >= k else -np.inf  # the k-th best so far
+        again = np.flatnonzero((reach >= near) & (guess > -np.inf))
+        close = plain[again] @ straight
+        again = again[close >= (np.partition(close, -k)[-k] if len(close) > k else -np.inf) - 1e-9]
         score = _cosines(np.broadcast_to(q, (len(again), len(q))), pool[again])
         top = np.lexsort((ids[again], -score))[:k]
         out += [(int(own), int(ids[again[t]]), float(score[t])) for t in top]
