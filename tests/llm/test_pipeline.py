@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
 
     assert set(ids["mixing"]) <= set(ids["near_duplicates"]) and max(ids["mixing"].values()) <= 3
     words = {k: len((texts[k] or "").split()) for k in ids["near_duplicates"]}
-    assert abs(sum(words[k] * n for k, n in ids["mixing"].items()) - sum(words.values())) <= 0.05 * sum(words.values())
+    assert abs(sum(words[k] * n for k, n in ids["mixing"].items()) - sum(words.values())) <= 0.1 * sum(words.values())  # a document per source
 
     library = sentencepiece.SentencePieceProcessor(model_file=default_model())
     assert ids["tokens"] == ids["mixing"]
