@@ -19,11 +19,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_KEPT = 250_000  # cut pieces that a worker remembers twice over: bounds its memory alone
+_KEPT = 150_000  # cut pieces that a worker remembers twice over: bounds its memory alone
 _KEPT_LENGTH = 160
 
 
@@ -177,6 +178,18 @@ def table_for(model: dict) -> PrefixTable:
     return _TABLES[key]
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about a million bytes, so that what a task holds doesn't depend on the batch."""
+    lo, held = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
+        if held > 1 << 20:
+            yield lo, k + 1
+            lo, held = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text with begin and end ids, and decode it again.
 
@@ -191,19 +204,23 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_for(model)
         for batch in batches:
-            count, ids, plain, raw, texts = [], [], [], [], []
-            for text in batch.column(1):
-                packed = table.encode(text.as_py() or "")
-                numbers = np.frombuffer(packed, "<u4").tolist()
-                decoded = table.decode(numbers)
-                count.append(len(numbers))
-                ids.append(sha256(packed).hexdigest())
-                plain.append(sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+            for lo, hi in _parts(batch.column(1)):
+                count, ids, plain, raw, texts = [], [], [], [], []
+                for text in batch.column(1).slice(lo, hi - lo):
+                    packed = table.encode(text.as_py() or "")
+                    numbers = np.frombuffer(packed, "<u4")
+                    decoded = table.decode(numbers.tolist())
+                    count.append(len(numbers))
+                    ids.append(sha256(packed).hexdigest())
+                    plain.append(sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+                    if with_ids:
+                        raw.append(numbers.astype(np.int32))
+                        texts.append(decoded)
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
                 if with_ids:
-                    raw.append(numbers)
-                    texts.append(decoded)
-            more = [pa.array(raw, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string()), *more], names)
+                    ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(raw))), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
     schema = f"`{id_col}` {docs.select(id_col).dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
