@@ -93,12 +93,16 @@ def fit(docs: DataFrame, most: int = 4000, landmarks: int = 240, alphabet: int =
         return None
     of_mark.sort(key=lambda x: (len(x), x.tolist()))
     vocabulary = np.unique(np.concatenate(of_mark))
-    presence = np.zeros((len(of_mark), len(vocabulary)), np.float32)
-    for k, x in enumerate(of_mark):
-        presence[k, np.searchsorted(vocabulary, x)] = 1 / np.sqrt(len(x))
+    places = [np.searchsorted(vocabulary, x).astype(np.int32) for x in of_mark]  # sparse: it travels with the tasks
+
+    def presence_of() -> np.ndarray:
+        presence = np.zeros((len(places), len(vocabulary)), np.float32)
+        for k, x in enumerate(places):
+            presence[k, x] = 1 / np.sqrt(len(x))
+        return presence
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, at = Grams(chars), None
+        grams, presence = Grams(chars), presence_of()
         at = np.full(grams.total, -1, np.int32)
         at[vocabulary] = np.arange(len(vocabulary))
         for batch in batches:
@@ -113,14 +117,19 @@ def fit(docs: DataFrame, most: int = 4000, landmarks: int = 240, alphabet: int =
     languages = sorted({lang for lang, _ in rows})
     kernel = np.array([k for _, k in rows])
     target = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in rows])
+    presence = presence_of()
     values, vectors = np.linalg.eigh((presence @ presence.T).astype(np.float64))
+    del presence
     kept = values > 1e-6 * values.max()
     into = vectors[:, kept] / np.sqrt(values[kept])  # the Nyström map of a kernel row
     mapped = np.hstack([kernel @ into, np.ones((len(rows), 1))])
     penalty = ridge * np.eye(mapped.shape[1])
     penalty[-1, -1] = 1e-9
     solved = np.linalg.solve(mapped.T @ mapped + penalty, mapped.T @ target)
-    return Model(languages, chars, vocabulary, presence.T.astype(np.float64) @ (into @ solved[:-1]), solved[-1])
+    of_landmark, weights = into @ solved[:-1], np.zeros((len(vocabulary), len(languages)))
+    for k, x in enumerate(places):
+        weights[x] += of_landmark[k] / np.sqrt(len(x))
+    return Model(languages, chars, vocabulary, weights, solved[-1])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

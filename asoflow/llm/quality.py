@@ -93,7 +93,7 @@ class RuleEnsemble:
         self.rules, self.intercept = rules, intercept
 
     @classmethod
-    def fit(cls, labelled: DataFrame, trees: int = 40, depth: int = 3, lasso: float = 0.002) -> RuleEnsemble:
+    def fit(cls, labelled: DataFrame, trees: int = 30, depth: int = 3, lasso: float = 0.002) -> RuleEnsemble:
         """labelled: the STATISTICS and label (0 or 1), a bounded table."""
         labelled = labelled.select(*STATISTICS, F.col("label").cast("double")).coalesce(2).persist()  # small by its bound
         counts = {int(r["label"]): r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -107,7 +107,7 @@ class RuleEnsemble:
             labelled.unpersist()
             return cls([], math.log(counts[1] / counts[0]))
         table = labelled.select("label", array_to_vector(F.array(*[rule_column(r).cast("double") for r in rules])).alias("x"))
-        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=100).fit(table)
+        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=60).fit(table)
         labelled.unpersist()
         weights = model.coefficients.toArray()
         return cls([(float(w), r) for w, r in zip(weights, rules, strict=True) if abs(w) > 1e-6], float(model.intercept))
