@@ -27,11 +27,10 @@ def sha1_base32(block: Column) -> Column:
     """sha1: and the digest in base 32, as WARC files have it: 160 bits are 32 letters of 5."""
     h = F.sha1(block.cast("binary"))
     letters = []
-    for i in range(32):
-        first, shift = i * 5 // 4, i * 5 % 4  # the hexadecimal digits that hold the 5 bits
-        value = F.conv(F.substring(h, first + 1, 2), 16, 10).cast("int")
-        value = F.shiftright(value, 3 - shift).bitwiseAND(31)
-        letters.append(F.substring(F.lit(_B32), value + 1, F.lit(1)))
+    for i in range(8):  # five hexadecimal digits are four letters
+        value = F.conv(F.substring(h, 5 * i + 1, 5), 16, 10).cast("int")
+        for shift in (15, 10, 5, 0):
+            letters.append(F.substring(F.lit(_B32), F.shiftright(value, shift).bitwiseAND(31) + 1, F.lit(1)))
     return F.concat(F.lit("sha1:"), *letters)
 
 
