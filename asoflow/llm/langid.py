@@ -9,12 +9,13 @@ batch of texts is scored by sparse matrix products: presence of n-grams times la
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from asoflow.llm.quality import held_out
 from asoflow.llm.store import stored
@@ -132,13 +133,17 @@ def fit(docs: DataFrame, most: int = 4000, landmarks: int = 240, alphabet: int =
     return Model(languages, chars, vocabulary, weights, solved[-1])
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Language of every whole text: id_col, held_out, lang_pred, score (0 to 1: how far the one-versus-rest regression of the language is towards yes).
 
     A null text or one without a letter is `und` with score 0, as all are without a model. A
     tie goes to the first language in order. Rows repeat as input rows do; a null id counts as held out.
+    The columns that carry names come back with each row, in a struct `row`.
     """
-    kind = docs.select(id_col).dtypes[0][1]
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"), *([F.struct(*carry).alias("row")] if carry else []))
+    kept = ["row"] if carry else []
+    types = [T.StructField(id_col, rows.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    types += [T.StructField("row", rows.schema["row"].dataType)] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(model.alphabet)
@@ -164,13 +169,13 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 value = np.clip((raw[np.arange(len(best)), best] + 1) / 2, 0, 1)
                 tags += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
                 scores += [float(v) if ok else 0.0 for v, ok in zip(value, lettered, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], [id_col, "lang_pred", "score", *kept])
 
     if model is None:
-        out = docs.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        out = rows.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *kept)
     else:
-        out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
-    return out.select(id_col, F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), "lang_pred", "score")
+        out = rows.mapInArrow(run, T.StructType(types))
+    return out.select(id_col, F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), "lang_pred", "score", *kept)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,16 +103,18 @@ def _meet(state: F.Column, new: F.Column) -> F.Column:
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
     """How many words, copies counted, a mix takes of each document.
 
     Returns id_col, size (words [^\\x20\\x09-\\x0D]+, null 0), source_size, target (of its source),
     copies, taken (copies times size), one row per input row. copies never exceeds most, rounded up. Rows
     without words are taken 0 times; a null source is a source of its own, the last; a null id
     is allowed, and repeated rows are rounded together, so they get the same copies. The draws are hashes of the
-    id, so a rerun agrees. Other columns are not read; an empty table gives an empty one.
+    id, so a rerun agrees. Other columns are not read unless carry names them: these come back in a
+    struct `row`, so a row never has to be found again by its id. An empty table gives an empty one.
     """
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))
+    carried = [F.struct(*carry).alias("row")] if carry else []
+    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *carried))
     targets = stored(source_targets(sized, weights, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     rows = sized.join(F.broadcast(targets) if _few(targets) else targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
@@ -144,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     settled = settled.where("extra > 0").select(F.col("source").alias("s"), F.col("doc.id").alias("i"), "extra")
     out = rows.join(settled, rows["id"].eqNullSafe(F.col("i")) & rows["source"].eqNullSafe(F.col("s")), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("p") > 1e-9, F.coalesce("extra", F.lit(0))).otherwise(0)).otherwise(0).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 
 def _few(targets: DataFrame) -> bool:
@@ -153,9 +155,9 @@ def _few(targets: DataFrame) -> bool:
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with the columns of docs. Documents without words go. doc_id must be unique."""
-    copies = mix(docs, weights, most).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    """The mix itself: each row as many times as it is taken, with the columns of docs. Rows without words go; repeated and null ids are allowed."""
+    taken = mix(docs, weights, most, carry=docs.columns).where("copies > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ column expression, which scores all rows inside the JVM.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from asoflow.llm.store import stored
 
@@ -48,16 +49,19 @@ def _statistics(text: str) -> list[float]:
     ]
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and the STATISTICS (double) of each whole text; null counts as empty."""
-    kind = docs.select(id_col).dtypes[0][1]
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """id_col and the STATISTICS (double) of each whole text; null counts as empty. The columns that carry names follow in a struct `row`."""
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string"), *([F.struct(*carry).alias("row")] if carry else []))
+    kept = ["row"] if carry else []
+    types = [T.StructField(id_col, texts.schema[0].dataType), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)]
+    types += [T.StructField("row", texts.schema["row"].dataType)] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([_statistics(x.as_py() or "") for x in batch.column(1)]).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], [id_col, *STATISTICS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(len(STATISTICS))), *batch.columns[2:]], [id_col, *STATISTICS, *kept])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return texts.mapInArrow(run, T.StructType(types))
 
 
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, '<=' or '>', threshold), all of which must hold
@@ -123,7 +127,7 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Quality of every whole text, learnt from labels (id_col, quality 0 or 1).
 
     Returns one row per input row: id_col, held_out, score (0 to 1, the probability of label
@@ -131,14 +135,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_0
     most most_labelled of them, chosen by a hash of the id; of several labels of one id the
     lowest counts, null and other labels don't. Only the text's statistics are inputs of a score.
     A null text is scored as the empty one, a null id as held out. If no or just one label is
-    there to learn from, all scores are equal (0.5 or near that label). Other columns aren't read.
+    there to learn from, all scores are equal (0.5 or near that label). Other columns aren't read
+    unless carry names them: these come back in a struct `row`.
     """
-    seen = stored(text_statistics(docs, id_col, text_col))
+    seen = stored(text_statistics(docs, id_col, text_col, carry))
     marked = labels.where("quality in (0, 1)").select(F.col(id_col).alias("_id"), "quality").groupBy("_id").agg(F.min("quality").alias("label"))
     marked = marked.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
     train = seen.join(F.broadcast(marked), seen[id_col] == marked["_id"])  # at most most_labelled rows
     score = RuleEnsemble.fit(train).column()
-    out = seen.select(id_col, F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), score.alias("score"))
+    out = seen.select(id_col, F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), score.alias("score"), *(["row"] if carry else []))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 

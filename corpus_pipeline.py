@@ -17,21 +17,27 @@ ORACLE_SQL: str | None = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality is 1."""
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scored.where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose predicted quality is 1, each by its own text."""
+    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=docs.columns)
+    return scored.where("predicted = 1").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the learned language takes the place of a missing one."""
-    told = identify(docs, fit(docs)).where(F.col("lang_pred") != UNKNOWN).select("doc_id", "lang_pred").distinct()
-    return docs.join(told, "doc_id").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Rows whose language can be told, each by its own text; the learned language takes the place of a missing one."""
+    told = identify(docs, fit(docs), carry=docs.columns).where(F.col("lang_pred") != UNKNOWN)
+    return told.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates (shingles of five words, similarity of 0.8 or more): the one with the smallest id."""
-    found = jaccard_components(docs, words=5, percent=80)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near-duplicates (shingles of five words, similarity of 0.8 or more): the one with the smallest id, one with a null id only if there is no other.
+
+    Every row is a node of its own, so repeated and null ids are compared like all others.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so the numbers stay
+    found = jaccard_components(rows, words=5, percent=80, id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

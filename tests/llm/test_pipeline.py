@@ -4,10 +4,13 @@ import re
 import struct
 from collections import Counter
 from hashlib import sha256
+from zlib import crc32
 
 import corpus_pipeline
 from test_operators import brute_jaccard
 
+from asoflow.llm.mixing import mix
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -44,3 +47,49 @@ def test_stages(spark, tmp_path):
     for r in docs.limit(40).collect():
         want = library.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
         assert r["ids"] == want and r["ids_sha256"] == sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+
+
+def texts_of(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_stages_treat_repeated_and_null_ids_row_by_row(spark):
+    """Each stage decides on a row by the row itself: ids may repeat, with equal or other texts, or be missing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    row = {r["doc_id"]: r for r in docs.collect()}
+
+    def made(*rows):
+        return docs.union(spark.createDataFrame([{**row[k].asDict(), "doc_id": i, "text": t} for i, k, t in rows], docs.schema))
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in stage["quality"](spark, docs, SF).collect()}
+    # the id that repeats is held out, so that its rows don't train
+    clean, junk = min(k for k, q in labels.items() if q == 1 and k in kept and crc32(str(k).encode()) % 5 == 0), min(k for k, q in labels.items() if q == 0 and k in row and k not in kept)
+    got = texts_of(stage["quality"](spark, made((None, clean, row[clean]["text"]), (None, junk, row[junk]["text"]), (clean, junk, row[junk]["text"]), (clean, clean, row[clean]["text"])), SF))
+    assert (got[None, row[clean]["text"]], got[clean, row[clean]["text"]]) == (1, 2)
+    assert got[None, row[junk]["text"]] == got[clean, row[junk]["text"]] == 0
+
+    other = min(k for k in row if row[k]["lang"] and row[k]["lang"] != row[clean]["lang"])
+    got = texts_of(stage["language"](spark, made((None, clean, row[clean]["text"]), (None, clean, "123 !!"), (clean, clean, "123 !!"), (clean, other, row[other]["text"])), SF))
+    assert (got[None, row[clean]["text"]], got[clean, row[clean]["text"]], got[clean, row[other]["text"]]) == (1, 1, 1)
+    assert got[None, "123 !!"] == got[clean, "123 !!"] == 0
+
+    fresh = " ".join(f"fresh{k}" for k in range(40))
+    few = docs.where(f"doc_id = {clean}")
+    few = few.union(made((clean, clean, row[clean]["text"]), (None, clean, row[clean]["text"]), (None, clean, fresh), (None, clean, fresh), (clean, clean, fresh + " end")).exceptAll(docs))
+    assert texts_of(stage["near_duplicates"](spark, few, SF)) == {(clean, row[clean]["text"]): 1, (clean, fresh + " end"): 1}
+
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "s"), (None, "f g", "s"), (None, "f g", "t"), (2, "h", None), (3, "", "s")]
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mix(some, carry=some.columns).collect():
+        want[tuple(r["row"])] += r["copies"]
+    assert set(want) == set(rows) and want[3, "", "s"] == 0
+    assert Counter(map(tuple, stage["mixing"](spark, some, SF).collect())) == +want
+    even = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (1, "a b", "t"), (1, "a b", "t")], some.schema)
+    assert stage["mixing"](spark, even, SF).where("source = 's'").count() % 2 == 0  # repeated rows get the same copies
+    assert stage["mixing"](spark, even, SF).count() <= 3 * even.count()
+
+    tokens = stage["tokens"](spark, some, SF).collect()
+    assert Counter(r["doc_id"] for r in tokens) == Counter(r[0] for r in rows)
