@@ -8,13 +8,18 @@ task writes the same record again.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DATE = "2024-01-01T00:00:00Z"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: the base 32 alphabet
+_NO_BREAK = re.compile(r"&(?:nbsp|#0*160(?!\d)|#[xX]0*[aA]0(?![0-9a-fA-F]));?")
 
 
 def _uuid(*parts: Column) -> Column:
@@ -34,16 +39,19 @@ def sha1_base32(block: Column) -> Column:
     return F.concat(F.lit("sha1:"), *letters)
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags go, a few entities are read, blank runs shrink."""
-    text = F.coalesce(html, F.lit(""))
+def _references(text: pd.Series) -> pd.Series:
+    """All named and numeric character references of HTML5, read once; a no-break space that one stands for is a space."""
+    return text.map(lambda x: html.unescape(_NO_BREAK.sub(" ", x)) if "&" in x else x)
+
+
+def plain_text(page: Column) -> Column:
+    """Text of a page: scripts, styles, comments and tags go, character references are read, blank runs shrink."""
+    text = F.coalesce(page, F.lit(""))
     text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?i)<(br|/?p|/?div|/?li|/?h[1-6]|/?tr|/?table|/?ul|/?ol|/?section|/?article|/?header|/?footer|/?nav|/title)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(F.pandas_udf(_references, StringType())(text), r"[ \t\r\f]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
@@ -108,8 +116,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         import gzip
         import io
 
-        import pandas as pd
-
         for pdf in batches:
             for content in pdf["content"]:
                 stream = io.BytesIO(content)
@@ -131,6 +137,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both records of every page, in digest form."""
+    """Both records of every page, with what they keep of the response."""
     made = derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "date", "source_headers", "content_type", "content_length", "block_digest", "block", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))

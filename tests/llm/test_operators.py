@@ -284,3 +284,23 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_warc(made, str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w")).collect()
     assert sorted((r["record_id"], r["refers_to"], bytes(r["block"]).decode()) for r in back) == sorted((r["record_id"], r["refers_to"], r["block"]) for r in rows)
+
+
+def test_conversion_reads_all_character_references(spark):
+    cases = {
+        "<p>&copy; 2024 &middot; caf&eacute; &mdash; it&#8217;s &#x2019;so&#X2019; &hellip;</p>": "© 2024 · café — it’s ’so’ …",
+        "a&nbsp;&nbsp;b&#160;c&#xA0;d": "a b c d", "&amp;copy; &amp;#169; &amp;nbsp; AT&T &bogus; &#1600;": "&copy; &#169; &nbsp; AT&T &bogus; ـ",
+        "&lt;b&gt; &quot;q&quot; &#39;s&#39; &apos;t&apos; &#x1F600;": "<b> \"q\" 's' 't' 😀", "no reference": "no reference", None: "",
+    }
+    pages = spark.createDataFrame([(k, f"http://h/{k}", x) for k, x in enumerate(cases)], "page_id long, url string, html string")
+    rows = [r for r in warc.derivatives(warc.responses(pages)).collect() if r["warc_type"] == "conversion"]
+    assert {r["page_id"]: r["block"] for r in rows} == dict(enumerate(cases.values()))
+    for r in rows:
+        assert r["content_length"] == len(r["block"].encode())
+
+
+def test_warc_query_keeps_date_headers_and_block(spark):
+    out = warc.op5_warc_derivatives(spark, "/root/testdata/sf0.001").collect()
+    assert out and all(r["date"] and r["source_headers"].startswith("HTTP/1.1 200") for r in out)
+    assert all(hashlib.sha256(r["block"].encode()).hexdigest() == r["block_sha256"] for r in out)
+    assert not any("&copy;" in r["block"] or "&middot;" in r["block"] for r in out if r["warc_type"] == "conversion")
