@@ -8,6 +8,7 @@ column expression, which scores all rows inside the JVM.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -90,6 +91,23 @@ def rule_column(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, [F.col(s) <= F.lit(t) if o == "<=" else F.col(s) > F.lit(t) for s, o, t in rule])
 
 
+def rule_table(labelled: DataFrame, rules: list[Rule]) -> DataFrame:
+    """label and x, which rules hold (1 or 0), made by the workers: hundreds of column expressions would be planned and compiled on the driver."""
+    tests = [[(STATISTICS.index(s), o, t) for s, o, t in rule] for rule in rules]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [column.to_numpy(zero_copy_only=False) for column in batch.columns[: len(STATISTICS)]]
+            holds = np.ones((len(batch), len(tests)))
+            for k, rule in enumerate(tests):
+                for s, o, t in rule:
+                    holds[:, k] *= values[s] <= t if o == "<=" else values[s] > t
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(tests))
+            yield pa.RecordBatch.from_arrays([batch.column(len(STATISTICS)), pa.ListArray.from_arrays(ends, pa.array(holds.ravel()))], ["label", "x"])
+
+    return labelled.select(*STATISTICS, "label").mapInArrow(run, "label double, x array<double>")
+
+
 class RuleEnsemble:
     """Weighted rules and an intercept."""
 
@@ -97,7 +115,7 @@ class RuleEnsemble:
         self.rules, self.intercept = rules, intercept
 
     @classmethod
-    def fit(cls, labelled: DataFrame, trees: int = 30, depth: int = 3, lasso: float = 0.002) -> RuleEnsemble:
+    def fit(cls, labelled: DataFrame, trees: int = 40, depth: int = 3, lasso: float = 0.002) -> RuleEnsemble:
         """labelled: the STATISTICS and label (0 or 1), a bounded table."""
         labelled = labelled.select(*STATISTICS, F.col("label").cast("double")).coalesce(2).persist()  # small by its bound
         counts = {int(r["label"]): r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -107,11 +125,13 @@ class RuleEnsemble:
         vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(labelled)
         forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=0.7, seed=7).fit(vectors)
         rules = tree_rules(forest, STATISTICS)
+        del forest, vectors  # the driver needs only the rules from here on
+        gc.collect()
         if not rules:
             labelled.unpersist()
             return cls([], math.log(counts[1] / counts[0]))
-        table = labelled.select("label", array_to_vector(F.array(*[rule_column(r).cast("double") for r in rules])).alias("x"))
-        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=60).fit(table)
+        table = rule_table(labelled, rules).select("label", array_to_vector("x").alias("x"))
+        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=100).fit(table)
         labelled.unpersist()
         weights = model.coefficients.toArray()
         return cls([(float(w), r) for w, r in zip(weights, rules, strict=True) if abs(w) > 1e-6], float(model.intercept))

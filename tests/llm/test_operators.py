@@ -304,3 +304,35 @@ def test_warc_query_keeps_date_headers_and_block(spark):
     assert out and all(r["date"] and r["source_headers"].startswith("HTTP/1.1 200") for r in out)
     assert all(hashlib.sha256(r["block"].encode()).hexdigest() == r["block_sha256"] for r in out)
     assert not any("&copy;" in r["block"] or "&middot;" in r["block"] for r in out if r["warc_type"] == "conversion")
+
+
+def test_quality_fits_the_whole_ensemble(spark, monkeypatch):
+    seen = {}
+
+    def spied(cls):
+        def make(**kw):
+            seen[cls.__name__] = kw
+            return cls(**kw)
+
+        return make
+
+    monkeypatch.setattr(quality, "RandomForestClassifier", spied(quality.RandomForestClassifier))
+    monkeypatch.setattr(quality, "LogisticRegression", spied(quality.LogisticRegression))
+    rng = random.Random(8)
+    rows = [([rng.random() for _ in quality.STATISTICS], k % 2) for k in range(60)]
+    labelled = spark.createDataFrame([(*[x + y if j < 3 else x for j, x in enumerate(v)], y) for v, y in rows], [*quality.STATISTICS, "label"])
+    fitted = quality.RuleEnsemble.fit(labelled)
+    assert seen["RandomForestClassifier"]["numTrees"] == 40 and seen["LogisticRegression"]["maxIter"] == 100 and fitted.rules
+    rules = [r for _, r in fitted.rules]
+    made = quality.rule_table(labelled.withColumn("label", labelled["label"].cast("double")), rules)
+    want = labelled.select(*[quality.rule_column(r).cast("double") for r in rules]).collect()
+    assert sorted(tuple(r["x"]) for r in made.collect()) == sorted(map(tuple, want))
+
+
+def test_mixing_misses_a_source_by_a_document_at_most(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {}
+    for r in mixing.mix(docs, carry=["source"]).collect():
+        size, target, taken = found.get(r["row"]["source"], (0, r["target"], 0))
+        found[r["row"]["source"]] = (max(size, r["size"]), target, taken + r["taken"])
+    assert found and all(abs(taken - target) <= size for size, target, taken in found.values())
