@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_BLOCK, _PARTS = 10_000, 64
+
+
 def corpus_scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Content ids of texts with one kind of line end: how many documents each has and the first."""
     content = F.sha2(F.regexp_replace(text_col, "\r\n?", "\n"), 256)
@@ -110,14 +113,21 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
 def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: int) -> DataFrame:
     """The k best chunks of each query by exact cosine, at most per_document of one document; ties to the smaller id.
 
-    chunks: id, document, v. queries: query_id, v, and they are a stated set that is broadcast: at most 10,000.
+    chunks: id, document, v. queries: query_id, v, any number: up to _BLOCK are broadcast, more meet
+    the chunks in blocks of about that many, each of them in _PARTS pieces of the chunks.
     """
     from asoflow.functions.columns import dot, norm
 
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10,000 queries a call")
     q = queries.select("query_id", F.col("v").alias("qv"), norm(F.col("v")).alias("qn"))
-    scored = chunks.withColumn("vn", norm(F.col("v"))).join(F.broadcast(q), F.col("id") != F.col("query_id"))
+    c, other = chunks.withColumn("vn", norm(F.col("v"))), F.col("id") != F.col("query_id")
+    n = queries.count()
+    if n <= _BLOCK:
+        scored = c.join(F.broadcast(q), other)
+    else:
+        blocks = -(-n // _BLOCK)
+        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+        c = c.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        scored = c.join(q, ["_block", "_part"]).where(other)
     scored = scored.select("query_id", "id", "document", F.round(dot(F.col("v"), F.col("qv")) / (F.col("vn") * F.col("qn")), 6).alias("score"))
     order = (F.desc("score"), F.asc("id"))
     kept = scored.withColumn("_d", F.row_number().over(Window.partitionBy("query_id", "document").orderBy(*order))).where(F.col("_d") <= per_document)

@@ -158,3 +158,19 @@ def test_classify_deliveries(spark):
     got = {r["offset"]: r["status"] for r in R.classify_deliveries(df).collect()}
     assert got == {0: "accepted", 1: "duplicate_event", 2: "event_conflict", 3: "duplicate_business", 4: "business_conflict", 5: "accepted"}
     assert R.accounting(R.classify_deliveries(df)).first()["balanced"] is True
+
+
+def test_cosine_search_in_blocks(spark, monkeypatch):
+    rows = [(k, k % 4, [float((k * a) % 7 - 3), float(k % 5), 1.0]) for k, a in zip(range(90), [3, 5, 2] * 30, strict=True)]
+    chunks = spark.createDataFrame(rows, "id long, document long, v array<double>")
+    queries = chunks.where("id % 3 = 0").selectExpr("id as query_id", "v")
+    whole = sorted(map(tuple, T.cosine_search(chunks, queries, 5, 2).select("query_id", "id", "document", "score", "rank").collect()))
+    monkeypatch.setattr(T, "_BLOCK", 7)
+    assert sorted(map(tuple, T.cosine_search(chunks, queries, 5, 2).select("query_id", "id", "document", "score", "rank").collect())) == whole
+    assert len(whole) == 30 * 5
+
+
+def test_cosine_search_takes_any_number_of_queries(spark):
+    chunks = spark.createDataFrame([(k, k, [1.0, k / 3]) for k in range(3)], "id long, document long, v array<double>")
+    queries = spark.range(100, 10_101).selectExpr("id as query_id", "array(1.0d, 0.5d) as v")
+    assert T.cosine_search(chunks, queries, 1, 1).count() == 10_001
