@@ -10,10 +10,11 @@ from their sizes are discarded:
 2. All columns, for the rows left: columns with one row leave, and with them rows whose
    remaining columns can't reach the bound for any partner's size.
 3. Block of each row's rarest columns: the product as a join on the column and on a band of
-   sizes. To keep it linear for groups of near copies, first every row meets the row that leads
+   sizes. A pair is kept if a column that it shares could be its first one, by the places of the column in
+   both rows; pairs of which no column could are discarded. To keep it linear for groups of near copies, first every row meets the row that leads
    its column; linked rows become one component, and then only rows of different components
    meet. The links inside a component can't change it.
-4. Remaining columns, for the pairs left: exact overlap counts.
+4. All columns, for the pairs left: exact overlap counts, against the bound.
 
 Equal sets are one row of the matrix throughout.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from asoflow.llm.graph import connected_components
 from asoflow.llm.shingles import digest, lists_of, shingle_sets
-from asoflow.llm.store import stored
+from asoflow.llm.store import join_classes, stored
 
 #: Bits of the fixed-size map of document ids that spares most texts a shuffle.
 _MAP_WORDS = 1 << 17
@@ -127,12 +128,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     Null and blank texts have an empty set, link with nothing and are their own component. The
     id names the document: rows that repeat an id belong to one node; rows with a null id come
-    back with null set_id and component_id. Extra columns are not read. No cap applies to columns, sizes or
-    partners; near copies are never expanded into all pairs.
+    back with null set_id and component_id. An empty table gives an empty one. Extra columns are not read,
+    whatever their names. No cap applies to columns, sizes or partners; near copies are never expanded into all
+    pairs, so links inside a component are found as far as they decide it, not counted.
     """
     seen = stored(_prints(docs, id_col, text_col, words, percent, False))
     narrow = seen.select("doc", "n", "d1", "d2")
-    reps = narrow.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"))
+    reps = narrow.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("m"))
     rows = stored(_candidates(docs, seen, reps, id_col, text_col, words, percent))
     entries = stored(_entries(rows, percent))
 
@@ -162,13 +164,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     ends = ends.join(large.groupBy("col", "band").agg(F.min("cb").alias("lob"), F.max("cb").alias("hib")), ["col", "band"])
     mixed = ends.where("lo <> hi or lob <> hib or lo <> lob").select("col", "band")
     rest = small.join(mixed, ["col", "band"], "left_semi").join(large, ["col", "band"]).where(fits & (F.col("ca") != F.col("cb")))
-    rest = rest.select("a", "b").distinct()
-    more = _overlaps(rest, rows, percent)
+    more = _overlaps(rest.select("a", "b").distinct(), rows, percent)
     final = connected_components(stored(links.select("a", "b").union(more)))
 
-    sets = narrow.join(reps, ["n", "d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc"))
-    out = sets.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"), F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    linked = join_classes(narrow.where("n > 0 and doc is not null"), stored(classes), ["n", "d1", "d2"], "m").select("doc", "n", "rep", "component")
+    alone = narrow.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("component"))
+    return linked.union(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"), F.col("component").alias("component_id"))
+
+
+SQL = {
+    "op6_ngram_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    t as (select doc_id, case when len(w) >= 3 then list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+    c as (select s, min(doc_id) as id, len(s) as n from t where len(s) > 0 group by s), x as (select id, n, unnest(s) as g from c),
+    p as (select a.id as a, b.id as b from x a join x b on a.g = b.g and a.id < b.id and 100 * b.n >= 90 * a.n and 100 * a.n >= 90 * b.n group by all having 190 * count(*) >= 90 * (any_value(a.n) + any_value(b.n))),
+    e as (select a, b from p union select b, a from p), r as (select id, id as k from c union select e.b, r.k from r join e on e.a = r.id), m as (select id, min(k) as component_id from r group by 1)
+    select t.doc_id, cast(len(t.s) as bigint) as n_shingles, coalesce(c.id, t.doc_id) as set_id, coalesce(m.component_id, t.doc_id) as component_id from t left join c on c.s = t.s and len(t.s) > 0 left join m on m.id = c.id""",
+}
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

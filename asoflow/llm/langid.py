@@ -59,18 +59,27 @@ class Model:
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int, landmarks: int) -> DataFrame:
-    """Learning texts: at most `most` rows, as many of each language, by hash of the id; among them the landmarks."""
-    keys = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    languages = max(1, keys.select("_lang").distinct().count())
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    keys = keys.distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max(1, most // languages))
-    keys = keys.withColumn("landmark", F.col("_k") <= max(1, landmarks // languages))
-    found = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("text"))
-    return stored(found.join(F.broadcast(keys), ["_id", "_lang"]).select(F.col("_lang").alias("lang"), "text", "landmark"))
+    """Learning texts: at most `most` ids, as many of each language (of the `most` most frequent ones), by hash of the id; among them the landmarks.
+
+    A bound on the hash that follows from the language's count leaves a few more than wanted of each, so
+    ranking them is small work whatever the table's size. Of rows that repeat an id the smallest text learns.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.where(F.col("_lang").isNotNull() & F.col("text").isNotNull() & ~held_out("_id"))
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_id", 0.02).alias("_n"))
+    counts = stored(counts.orderBy(F.desc("_n"), "_lang").limit(most))
+    languages = max(1, counts.count())
+    each = max(1, most // languages)
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    near = rows.join(F.broadcast(counts), "_lang").where(place * F.col("_n") < (each * 1.2 + 30) * (1 << 30))  # at most `most` languages
+    near = near.groupBy("_lang", "_id").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(place, "_id"))
+    kept = near.withColumn("_k", rank).where(F.col("_k") <= each)
+    return stored(kept.select(F.col("_lang").alias("lang"), "text", (F.col("_k") <= max(1, landmarks // languages)).alias("landmark")))
 
 
 def fit(docs: DataFrame, most: int = 4000, landmarks: int = 240, alphabet: int = 160, ridge: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Learn from at most `most` rows that aren't held out; None if there is none with a language. The driver gets numbers of the landmarks and one kernel row per sampled text, all bounded by the parameters and the texts' alphabets."""
+    """Learn from the texts of at most `most` ids that aren't held out; None if there is none with a language, as in an empty table. The driver gets numbers of the landmarks and one kernel row per sampled text, all bounded by the parameters and the texts' alphabets. Other columns are not read."""
     sample = _sample(docs, id_col, text_col, lang_col, most, landmarks)
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +147,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     A null text or one without a letter is `und` with score 0, as all are without a model. A
     tie goes to the first language in order. Rows repeat as input rows do; a null id counts as held out.
-    The columns that carry names come back with each row, in a struct `row`.
+    An empty table gives an empty one. Other columns are not read, whatever their names. The columns that carry names come back with each row, in a struct `row`.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"), *([F.struct(*carry).alias("row")] if carry else []))
     kept = ["row"] if carry else []

@@ -3,8 +3,10 @@
 Every document of a source should be copied target / size-of-source times. The whole part of that
 number is certain; the fraction is a probability. Probabilities meet in pairs: mass,
 weighted by the documents' sizes, moves at random from one side to the other until one of them
-is 0 or 1, which keeps the words of both together exactly. In a leaf, a small group of a
-source's documents, each document in turn, from the largest, meets all smaller ones as one side.
+is 0 or 1, which keeps the words of both together exactly. All documents of a source have the same
+fraction at first; so in a leaf, a small group of a
+source's documents, each document in turn, from the largest, meets all smaller ones as one side, a pair
+of a document and a lump: expectations and words stay as in any pair, and what is left open is small.
 Each leaf leaves one fraction at most, mostly of its smallest document; these go up a reduction
 tree, a level of which is one groupBy, in which documents meet one by one, until one fraction of
 each source is left, which a last draw rounds. So a source's words miss its target by the size of

@@ -117,7 +117,7 @@ class RuleEnsemble:
     @classmethod
     def fit(cls, labelled: DataFrame, trees: int = 40, depth: int = 3, lasso: float = 0.002) -> RuleEnsemble:
         """labelled: the STATISTICS and label (0 or 1), a bounded table."""
-        labelled = labelled.select(*STATISTICS, F.col("label").cast("double")).coalesce(2).persist()  # small by its bound
+        labelled = labelled.select(*STATISTICS, F.col("label").cast("double")).coalesce(2).persist()  # written and small by its bound
         counts = {int(r["label"]): r["count"] for r in labelled.groupBy("label").count().collect()}
         if len(counts) < 2:  # nothing to tell apart
             labelled.unpersist()
@@ -153,16 +153,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_0
     Returns one row per input row: id_col, held_out, score (0 to 1, the probability of label
     1), predicted (1 if score >= cut, else 0). Only labelled rows that aren't held out train, at
     most most_labelled of them, chosen by a hash of the id; of several labels of one id the
-    lowest counts, null and other labels don't. Only the text's statistics are inputs of a score.
+    lowest counts, null and other labels don't; of several rows of one id the one of the smallest statistics trains.
+    Only the text's statistics are inputs of a score.
     A null text is scored as the empty one, a null id as held out. If no or just one label is
-    there to learn from, all scores are equal (0.5 or near that label). Other columns aren't read
+    there to learn from, all scores are equal (0.5 or near that label); an empty table of documents gives an
+    empty one. Repeated rows get equal scores. Other columns aren't read
     unless carry names them: these come back in a struct `row`.
     """
     seen = stored(text_statistics(docs, id_col, text_col, carry))
     marked = labels.where("quality in (0, 1)").select(F.col(id_col).alias("_id"), "quality").groupBy("_id").agg(F.min("quality").alias("label"))
     marked = marked.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
-    train = seen.join(F.broadcast(marked), seen[id_col] == marked["_id"])  # at most most_labelled rows
-    score = RuleEnsemble.fit(train).column()
+    found = seen.join(F.broadcast(marked), seen[id_col] == marked["_id"])  # at most most_labelled ids
+    found = found.groupBy("_id").agg(F.min(F.struct(*STATISTICS)).alias("_s"), F.min("label").alias("label"))
+    score = RuleEnsemble.fit(stored(found.select("_s.*", "label"))).column()  # written: fitting reads no documents
     out = seen.select(id_col, F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), score.alias("score"), *(["row"] if carry else []))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 

@@ -196,7 +196,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     Returns id_col, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex over the ids as
     little-endian unsigned 32-bit integers and over the decoded UTF-8 text); with_ids adds ids
     (array of int) and decoded. Null counts as the empty text, whose ids are begin and end.
-    Rows repeat if input rows do; other columns are not read. The model is read on the driver
+    Rows repeat if input rows do, equal texts get equal ids, a null id stays null; an empty table gives an empty one.
+    Texts of any length are encoded whole. Other columns are not read, whatever their names. The model is read on the driver
     and travels with the tasks: its size is that of the vocabulary.
     """
     model = read_model(model_path)

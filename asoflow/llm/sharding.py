@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from asoflow.llm.store import stored
+from asoflow.llm.store import join_classes, stored
 
 _BUCKET_ROWS = 4_000
 
@@ -51,9 +51,12 @@ def _propagate(linked: DataFrame, shards: int, fair: float, turn: int, buckets:
     grants = stored(asks.withColumn("part", (_pick(room, "to") - F.col("start")) / F.col("b")).where("part > 0").select("gid", "shard", "to", "part"))
     if grants.isEmpty():
         return None
-    draw = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-    moved = linked.join(grants, ["gid", "shard"], "left")
-    return stored(moved.select("id", "gid", "size", "crc", "row", F.when((F.col("to").isNotNull()) & (draw < F.col("part")), F.col("to")).otherwise(F.col("shard")).alias("shard")))
+    draw = F.pmod(F.xxhash64("row", "n", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+    # parts of groups above a thousandth of all bytes are fewer than a thousand: their rows stay where they are
+    keys = ["gid", "shard"]
+    hot = held.where(F.col("b") * 1000 > fair * shards).select(*keys).join(grants, keys, "left")
+    moved = linked.join(F.broadcast(hot), keys).unionByName(linked.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(grants, keys, "left"))
+    return stored(moved.select("id", "gid", "size", "crc", "row", "n", F.when((F.col("to").isNotNull()) & (draw < F.col("part")), F.col("to")).otherwise(F.col("shard")).alias("shard")))
 
 
 def _even_out(rows: DataFrame, shards: int, fair: float, buckets: int, passes: int) -> DataFrame:
@@ -65,7 +68,7 @@ def _even_out(rows: DataFrame, shards: int, fair: float, buckets: int, passes: i
             break
         small = F.col("size") <= (max(over) / 4 if k else float("inf"))
         queue = rows.where((_pick(over, "shard") > 0) & small).withColumn("linked", F.col("gid").isNotNull())
-        queue = _running(queue, ["shard", "linked"], "size", ["row", "id"], buckets)
+        queue = _running(queue, ["shard", "linked"], "size", ["row", "n"], buckets)
         free = {r["shard"]: r["b"] for r in queue.where("not linked").groupBy("shard").agg(F.sum("size").alias("b")).collect()}
         first = F.when(F.col("linked"), _pick([free.get(s) or 0 for s in range(shards)], "shard")).otherwise(0.0)
         queue = queue.withColumn("start", first + F.col("start") + F.col("size") / 2)
@@ -77,10 +80,8 @@ def _even_out(rows: DataFrame, shards: int, fair: float, buckets: int, passes: i
         for s in range(shards):
             to = F.coalesce(to, F.when((at >= gap) & (at < gap + under[s]), s)) if under[s] else to
             gap += under[s]
-        queue = queue.where(goes).withColumn("to", F.coalesce(to, F.col("shard"))).groupBy("row", "id", "shard").agg(F.max("to").alias("to"))
-        queue = queue.select(F.col("row").alias("r"), F.col("id").alias("i"), F.col("shard").alias("from"), "to")
-        same = F.col("row").eqNullSafe(F.col("r")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("shard") == F.col("from"))
-        kept = rows.join(queue, same, "left").select("id", "gid", "size", "crc", "row", F.coalesce("to", "shard").alias("shard"))
+        queue = queue.where(goes).select("n", F.coalesce(to, F.col("shard")).alias("to"))
+        kept = rows.join(queue, "n", "left").select("id", "gid", "size", "crc", "row", "n", F.coalesce("to", "shard").alias("shard"))
         rows = stored(kept)
     return rows
 
@@ -93,19 +94,19 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 5, passes: int = 4, id
     too, else null), law ('bytes'), shard, slot (0, 1, 2 ... within the shard), grown_shard
     (null: this law has none).
 
-    Null texts are linked with nothing; empty texts are equal texts. Repeated rows count each;
-    those that share id and text may move together when sizes are evened out. A null id is
-    allowed. Groups larger than a shard are spread over as few as the quotas allow.
+    Null texts are linked with nothing; empty texts are equal texts. Repeated rows count and move
+    each for itself. A null id is allowed. Groups larger than a shard are spread over as few as the quotas allow.
     Other columns are not read; an empty table gives an empty one.
     """
     text = F.col(text_col)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     digest = F.sha2(text.cast("binary"), 256)
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("crc"), digest.alias("digest"))
-    rows = stored(rows.withColumn("row", F.xxhash64("id", "digest")))
-    many = rows.where("digest is not null").groupBy("digest").count().where("count > 1").select("digest", F.col("digest").alias("gid"))
-    rows = rows.join(many, "digest", "left").drop("digest").withColumn("shard", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int"))
-    rows = stored(rows.select("id", "gid", "size", "crc", "row", "shard"))
+    rows = stored(rows.withColumns({"row": F.xxhash64("id", "digest"), "n": F.monotonically_increasing_id()}))  # written, so the numbers stay
+    classes = stored(rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("m")))
+    named = join_classes(rows.where("digest is not null"), classes, ["digest"], "m").withColumn("gid", F.when(F.col("m") > 1, F.col("digest"))).drop("m")
+    rows = named.unionByName(rows.where("digest is null"), allowMissingColumns=True).withColumn("shard", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int"))
+    rows = stored(rows.select("id", "gid", "size", "crc", "row", "n", "shard"))
     total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     fair, buckets = (total["b"] or 0) / shards, max(16, total["n"] // (_BUCKET_ROWS * shards))
     linked, alone = rows.where("gid is not null"), rows.where("gid is null")
@@ -115,7 +116,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 5, passes: int = 4, id
             break
         linked = after
     rows = _even_out(linked.unionByName(alone), shards, fair, buckets, passes)
-    rows = _running(rows.withColumn("one", F.lit(1).cast("long")), ["shard"], "one", ["row", "id"], buckets)
+    rows = _running(rows.withColumn("one", F.lit(1).cast("long")), ["shard"], "one", ["row", "n"], buckets)
     return rows.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("gid").alias("group_id"),
         F.lit("bytes").alias("law"), "shard", F.col("start").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

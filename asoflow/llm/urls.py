@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -18,27 +20,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: A small labelled table for the classifier; fixed values, invented hosts.
-BLOCKED_URLS = """
-http://casino-bonus.bet.example/slots/free-spins http://best-casino.example/poker/win-cash http://xxx-cams.example/live/girls http://hot-sex-video.example/watch/xxx
-http://cheap-pills.example/buy/viagra-online http://pharmacy-deal.example/order/cialis http://free-crack.example/download/keygen.exe http://warez-torrent.example/full/crack.zip
-http://win-iphone.example/claim/prize http://lottery-winner.example/claim/cash-now http://get-rich-fast.example/earn/money-home http://payday-loan.example/apply/instant-cash
-http://track.clickads.example/click?id=1 http://ads.popunder.example/banner/redirect http://adserver.example/pixel/track.gif http://redirect-click.example/out/aff?id=9
-http://login-verify.paypai.example/secure/account-update http://secure-bank-login.example/verify/password http://account-suspended.example/confirm/login http://free-gift-card.example/generator/codes
-http://porn-tube.example/videos/milf http://adult-dating.example/join/hookup http://escort-girls.example/city/vip http://nude-pics.example/gallery/teen
-http://seo-links.example/buy/backlinks http://essay-cheap.example/order/write-my-essay http://replica-watch.example/buy/rolex http://miracle-diet.example/weight-loss/pills
-http://bet-sports.example/odds/bonus http://roulette-online.example/play/jackpot http://spyware-free.example/scan/download.exe http://bitcoin-doubler.example/invest/profit
-""".split()
-ALLOWED_URLS = """
-http://www.example.org/ http://docs.example.org/guide/install.html http://blog.example.net/2024/05/a-walk http://en.example.org/wiki/History
-http://news.example.com/world/article-12.html http://www.university.example/faculty/papers http://library.example/catalog/books http://m.example.net/de/page/7
-http://museum.example/exhibits/roman http://www.example.de/ueber-uns http://recipes.example/soup/lentil http://weather.example/city/forecast
-http://forum.example.org/thread/1203 http://www.example.fr/fr/actualites http://shop.example.com/en/shoes http://science.example/physics/optics
-http://health.example.gov/topics/flu http://api.example.io/reference/v2 http://www.example.es/es/cultura http://travel.example/italy/rome
-http://music.example/composers/bach http://garden.example/plants/roses http://history.example.edu/lectures/9 http://code.example.org/project/readme
-http://kids.example/stories/fox http://www.example.net/en/2551?page=2 http://photos.example/landscape/alps http://city.example.gov/council/minutes
-http://journal.example/issue/4/article/3 http://blog.example.com/de/5871.html http://the.example.org/fr/118 http://sport.example/football/results
-""".split()
+#: Where the labelled urls of the classifier lie: lines of label (1 to block) and url.
+LABELLED_URLS = Path(__file__).with_name("labelled_urls.csv")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,12 +45,12 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def char_grams(text: Column, sizes: Sequence[int]) -> Column:
-    """All character n-grams of these sizes, with marks for the ends."""
-    whole = F.concat(F.lit("\x02"), text, F.lit("\x03"))
+    """All character n-grams of these sizes, with marks for the ends. The text is cut into characters once, so the work is linear in its length; a text shorter than a size gives itself."""
+    chars = F.regexp_extract_all(F.concat(F.lit("\x02"), text, F.lit("\x03")), F.lit("(?s)."), F.lit(0))
 
     def of_size(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.substring(whole, i, F.lit(n)))
+        places = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
 
     return F.concat(*[of_size(n) for n in sizes])
 
@@ -101,9 +84,10 @@ class UrlClassifier:
         return scored.drop("_host_grams", "_path_grams", "_h", "_p", "_x", "_block", "_prob", "_raw")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """BLOCKED_URLS and ALLOWED_URLS as host, path and label."""
-    rows = [(u, 1.0) for u in BLOCKED_URLS] + [(u, 0.0) for u in ALLOWED_URLS]
+def labelled_urls(spark: SparkSession, path: str | Path = LABELLED_URLS) -> DataFrame:
+    """A small file of label,url lines as host, path and label. The driver reads it: it goes to the workers as rows."""
+    with open(path, encoding="utf-8", newline="") as lines:
+        rows = [(url, float(label)) for label, url in csv.reader(lines)]
     return spark.createDataFrame(rows, "url string, label double").select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label")
 
 
@@ -118,9 +102,9 @@ def judge_urls(
     rule's, else the classifier's: block from a probability of 0.5), block_score.
 
     labelled (host, path, label 1 to block), a small table, trains the classifier; without it
-    labelled_urls() does. Where one verdict has no labelled url there is nothing to learn: every
+    labelled_urls() does, whose urls are invented. Where one verdict has no labelled url there is nothing to learn: every
     score is then that of the other (0.5 if there are none at all). Urls that are null or hold no :// have empty host and path and are judged
-    as such. Other columns are not read.
+    as such. Repeated rows are judged alike, an empty table gives an empty one. Other columns are not read, whatever their names.
     """
     if labelled is None:
         labelled = labelled_urls(pages.sparkSession)

@@ -8,8 +8,12 @@ task writes the same record again.
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,8 +76,8 @@ def derivatives(found: DataFrame) -> DataFrame:
     found: record_id, target_uri, date, http_headers, payload, payload_digest (more columns are
     not read). Returns page_id, warc_type, record_id, refers_to (the response's id), target_uri,
     date, content_type, block, block_digest, content_length (bytes), source_headers (of the
-    response). Null payloads count as empty and give an empty conversion. Repeated responses
-    give repeated records with the same ids.
+    response), payload_digest (of the response). Null payloads count as empty and give an empty conversion;
+    null targets and dates stay null. Repeated responses give repeated records with the same ids. An empty table gives an empty one.
     """
     text = plain_text(F.col("payload"))
     fields = F.to_json(
@@ -89,17 +93,75 @@ def derivatives(found: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), text.alias("block")),
     )
-    made = found.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), F.inline(kinds))
+    made = found.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), "payload_digest", F.inline(kinds))
     made = made.withColumn("block_digest", sha1_base32(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
     return made.withColumn("record_id", _uuid(F.col("warc_type"), F.col("refers_to"), F.col("block_digest")))
 
 
+def response_records(read: DataFrame) -> DataFrame:
+    """The response records among those of read_warc, as derivatives takes them: the HTTP header is cut off at its blank line, chunks are joined and gzip is undone, and the payload is decoded by the charset that the header names (else UTF-8; what doesn't decode becomes U+FFFD).
+
+    The record's own payload digest is kept; where it has none, that of the payload's bytes is taken. Responses without a
+    header have an empty one; null blocks count as empty. page_id is null.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for block in pdf["block"]:
+                head, payload = http_parts(block or b"")
+                charset = re.search(r"(?im)^content-type:.*charset=[\"']?([\w.:-]+)", head)
+                try:
+                    text = payload.decode(charset[1] if charset else "utf-8", "replace")
+                except LookupError:  # a charset that doesn't exist
+                    text = payload.decode("utf-8", "replace")
+                own = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                rows.append((head, text.replace("\x00", "\ufffd"), own))
+            made = pd.DataFrame(rows, columns=["http_headers", "payload", "own"])
+            yield pd.concat([pdf.drop(columns="block").reset_index(drop=True), made], axis=1)
+
+    found = read.where("warc_type = 'response'").select("record_id", "target_uri", F.col("headers")["WARC-Date"].alias("date"), F.col("headers")["WARC-Payload-Digest"].alias("told"), "block")
+    kept = found.mapInPandas(run, "record_id string, target_uri string, date string, told string, http_headers string, payload string, own string")
+    return kept.select(F.lit(None).cast("long").alias("page_id"), "record_id", "target_uri", "date", "http_headers", "payload", F.coalesce("told", "own").alias("payload_digest"))
+
+
+def http_parts(block: bytes) -> tuple[str, bytes]:
+    """Header (with its line ends) and payload of an HTTP message, chunks joined and gzip undone."""
+    if not block.startswith(b"HTTP/"):
+        return "", block
+    head, _, payload = block.partition(b"\r\n\r\n")
+    text = head.decode("latin-1") + "\r\n"
+    if re.search(r"(?im)^transfer-encoding:.*chunked", text):
+        parts, at = [], 0
+        while line := re.compile(rb"([0-9a-fA-F]+)[^\n]*\n").match(payload, at):
+            size = int(line[1], 16)
+            parts.append(payload[line.end() : line.end() + size])
+            at = line.end() + size + 2
+            if not size:
+                break
+        payload = b"".join(parts)
+    if re.search(r"(?im)^content-encoding:.*gzip", text):
+        try:
+            payload = gzip.decompress(payload)
+        except (OSError, EOFError, zlib.error):  # kept as it came
+            pass
+    return text, payload
+
+
+def response_files(found: DataFrame) -> DataFrame:
+    """Responses as records for write_warc: the block is the HTTP header, a blank line and the payload."""
+    block = F.concat("http_headers", F.lit("\r\n"), "payload")
+    made = found.select(F.lit("response").alias("warc_type"), "record_id", F.lit(None).cast("string").alias("refers_to"), "target_uri", "date", F.lit("application/http; msgtype=response").alias("content_type"), block.alias("block"), "payload_digest")
+    return made.withColumns({"block_digest": sha1_base32(F.col("block")), "content_length": F.octet_length("block").cast("long")})
+
+
 def serialized(records: DataFrame) -> DataFrame:
-    """Each record as the lines of a WARC file, without its last line end: column value."""
+    """Each record as the lines of a WARC file, without its last line end: column value. Header fields that are null are left out."""
+    digest = [F.concat(F.lit("WARC-Payload-Digest: "), F.col("payload_digest"))] if "payload_digest" in records.columns else []
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.0"), F.concat(F.lit("WARC-Type: "), F.col("warc_type")), F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
         F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to")), F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")), F.concat(F.lit("WARC-Date: "), F.col("date")),
-        F.concat(F.lit("WARC-Block-Digest: "), F.col("block_digest")), F.concat(F.lit("Content-Type: "), F.col("content_type")), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
+        F.concat(F.lit("WARC-Block-Digest: "), F.col("block_digest")), *digest, F.concat(F.lit("Content-Type: "), F.col("content_type")), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )
     return records.select(F.concat(head, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n")).alias("value"))
 
@@ -113,7 +175,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: warc_type, record_id, refers_to, target_uri, headers (map), block (binary). A file is one task, read in order."""
 
     def run(batches: Iterator) -> Iterator:
-        import gzip
         import io
 
         for pdf in batches:
@@ -139,4 +200,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both records of every page, with what they keep of the response."""
     made = derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "date", "source_headers", "content_type", "content_length", "block_digest", "block", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "date", "source_headers", "payload_digest", "content_type", "content_length", "block_digest", "block", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
