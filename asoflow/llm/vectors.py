@@ -285,7 +285,7 @@ class _Estimates:
                 self.guess[row, at] = -np.inf
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2.5, bits: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2.5, bits: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k candidates of largest cosine for each query, by randomly rotated one-bit codes.
 
     The index is built once and written: a vector's code is the packed signs of its rotated
@@ -306,9 +306,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: float = 2
     smallest vector. An empty table gives an empty one; other columns are not read.
     """
     columns = [id_col, vector_col]
-    marked = _marked(usable(vectors.select(*columns), id_col, vector_col)).dropDuplicates(["mark", "id"])
-    crowd = F.row_number().over(Window.partitionBy("mark").orderBy("id"))
-    pool = stored(marked.withColumn("_k", crowd).where(F.col("_k") <= k + 1).select("id", "v"))
+    marked = stored(_marked(usable(vectors.select(*columns), id_col, vector_col)))
+    crowded = marked.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("mark")
+    rank = F.row_number().over(Window.partitionBy("mark").orderBy("id"))
+    ends = marked.join(crowded, "mark", "left_semi").dropDuplicates(["mark", "id"]).withColumn("_k", rank).where(F.col("_k") <= k + 1)
+    pool = stored(marked.join(crowded, "mark", "left_anti").select("id", "v").union(ends.select("id", "v")))
     asked = stored(usable(queries.select(*columns), id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")))
     code_blocks, query_blocks = max(1, -(-pool.count() // _CODES)), max(1, -(-asked.count() // _QUERIES))
 
