@@ -46,10 +46,16 @@ def single_match(df: DataFrame, other: DataFrame, key: Sequence[str], agree: Seq
 
 
 def plan_match(series: DataFrame, plans: DataFrame, on: str, day: str, origin: Column, fact_key: Sequence[str]) -> DataFrame:
-    """The plan of the narrowest scope in force on the day and known at the origin, latest version first; ambiguous where two tie."""
-    rank = F.expr("case scope when 'global' then 0 when 'channel' then 1 when 'location' then 2 else 3 end")
-    plan = plans.withColumn("scope_rank", rank).withColumnRenamed(on, "_on")
-    joined = series.join(plan, (F.col(on) == F.col("_on")) & (F.col("from_day") <= F.col(day)) & (F.col(day) < F.col("to_day")) & (F.col("known") <= origin)).drop("_on")
+    """The plan of the narrowest scope in force on the day and known at the origin, latest version first; ambiguous where two tie.
+
+    A plan without a location holds for all, one of channel 'all' for every channel; any other must be
+    that of the series. A location narrows more than a channel.
+    """
+    rank = F.when(F.col("_location").isNotNull(), 2).otherwise(0) + F.when(F.col("_channel") != "all", 1).otherwise(0)
+    plan = plans.withColumnsRenamed({on: "_on", "location": "_location", "channel": "_channel"}).withColumn("scope_rank", rank)
+    scope = (F.col("_location").isNull() | (F.col("_location") == F.col("location"))) & ((F.col("_channel") == "all") | (F.col("_channel") == F.col("channel")))
+    rule = (F.col(on) == F.col("_on")) & (F.col("from_day") <= F.col(day)) & (F.col(day) < F.col("to_day")) & (F.col("known") <= origin) & scope
+    joined = series.join(plan, rule).drop("_on", "_location", "_channel")
     by = Window.partitionBy(*fact_key)
     best = joined.withColumn("_r", F.rank().over(by.orderBy(F.desc("scope_rank"), F.desc("version")))).where("_r = 1").drop("_r")
     return best.withColumn("ambiguous", F.count("*").over(by) > 1)
@@ -93,3 +99,49 @@ def return_violations(claims: DataFrame, sales: DataFrame, key: Sequence[str], w
         .when(F.datediff("returned", "_day") > window_days, "after_window").when(F.col("_all") > F.col("_sold"), "more_than_sold")
     )
     return joined.withColumn("reason", reason).drop("_sold", "_day", "_all")
+
+
+def on_day(df: DataFrame, routes: DataFrame, day: str) -> DataFrame:
+    """Rows with the stock that their location is routed to on the day. routes: location, stock and a half-open interval of days; rows without a route go."""
+    r = routes.select(F.col("location").alias("_l"), "stock", "from_day", "to_day")
+    return df.join(r, (F.col("location") == F.col("_l")) & (F.col("from_day") <= F.col(day)) & (F.col(day) < F.col("to_day"))).drop("_l", "from_day", "to_day")
+
+
+def promotion_exposure(asked: DataFrame, promotions: DataFrame, days: int) -> DataFrame:
+    """Whether a promotion that is known on the day runs in the next days at the product's stock: asked (product, stock, day) with exposed. promotions: product, stock, active (a day it runs) and known."""
+    reach = promotions.select("product", "stock", "known", F.explode(F.transform(F.sequence(F.lit(1), F.lit(days)), lambda k: F.date_sub(F.col("active"), k))).alias("day"))
+    hits = reach.where(F.col("known") <= F.col("day")).select("product", "stock", "day").distinct().withColumn("_hit", F.lit(True))
+    return asked.join(hits, ["product", "stock", "day"], "left").select("product", "stock", "day", F.coalesce("_hit", F.lit(False)).alias("exposed"))
+
+
+def truth_census(days: DataFrame, predictions: DataFrame, key: Sequence[str], mature: Column) -> DataFrame:
+    """Days of truth windows by what can be said of them: unknown (no outcome), immature (later than `mature`), insufficient (nothing to predict from), evaluable; with how many are predicted and high. predictions: key, units, before."""
+    joined = days.join(predictions.select(*key, "units", "before"), list(key), "left")
+    status = F.when(F.col("units").isNull(), "unknown").when(F.col("day") > mature, "immature").when(F.col("before").isNull(), "insufficient").otherwise("evaluable")
+    return joined.groupBy(status.alias("status")).agg(F.count("*").alias("n_days"), F.count_if(F.expr("units > before")).alias("n_predicted"), F.count_if(F.expr("units > 60")).alias("n_high"))
+
+
+def tags_and_overlaps(df: DataFrame, tags: str, none: str) -> DataFrame:
+    """A row for each tag of a row (`none` if it has none) and one for each pair of its tags, as a+b."""
+    t = F.col(tags)
+    pairs = F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.size(t)), lambda y: F.concat(x, F.lit("+"), y))))
+    own = F.when(F.size(t) == 0, F.array(F.lit(none))).otherwise(F.concat(t, pairs))
+    return df.select(*[c for c in df.columns if c != tags], F.explode(own).alias("tag"))
+
+
+def episode_metrics(episodes: DataFrame, alerts: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """How episodes (key, start, end, known, young) are caught by alerts (key, day), rolled up: all, those excluded as too young, detected, recall, repeated alerts, mean delay from the start and mean lead before the episode was known.
+
+    Alerts meet the episodes of their own day: episodes are listed by day, which bounds the join by the days they hold.
+    """
+    days = episodes.select(*key, "start", F.explode(F.sequence("start", "end")).alias("day")).join(alerts.select(*key, "day"), [*key, "day"])
+    caught = days.groupBy(*key, "start").agg(F.min("day").alias("_first"), F.count("*").alias("_k"))
+    j = episodes.join(caught, [*key, "start"], "left")
+    old = ~F.col("young")
+    n = F.count_if(old)
+    found = F.count_if(old & F.col("_first").isNotNull())
+    return j.rollup(*by).agg(
+        F.count("*").alias("n_all"), F.count_if(F.col("young")).alias("n_excluded"), n.alias("n_episodes"), found.alias("n_detected"), F.round(F.try_divide(found, n), 6).alias("recall"),
+        F.sum(F.when(old, F.greatest(F.coalesce("_k", F.lit(0)) - 1, F.lit(0)))).alias("n_repeats"), F.round(F.avg(F.when(old, F.datediff("_first", "start"))), 6).alias("mean_delay"),
+        F.round(F.avg(F.when(old, F.datediff("known", "_first"))), 6).alias("mean_lead"),
+    )

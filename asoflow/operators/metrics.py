@@ -2,16 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_BUCKETS = 64
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, where nulls are equal; one row if there are no keys."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    rule = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, rule).drop(*[f"_r_{k}" for k in keys])
+
+
+def cumulative(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """The distinct values of each group (nulls don't count) with n, their rows, upto, the rows up to the value, and total.
+
+    Equal values are one row before anything is sorted. The values of a group are cut at its approximate
+    quantiles into buckets; a window sorts a bucket, and only the buckets' sums meet per group. Which cuts
+    are taken doesn't change the result.
+    """
+    cells = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    shares = [k / _BUCKETS for k in range(1, _BUCKETS)]
+    cuts = cells.groupBy(*group).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))  # a short list for each group
+    placed = _joined(cells, cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    whole = Window.partitionBy(*group)
+    sums = placed.groupBy(*group, "_b").agg(F.sum("n").alias("_s"))
+    before = F.sum("_s").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_s")
+    sums = sums.select(*group, "_b", before.alias("_skip"), F.sum("_s").over(whole).alias("total"))
+    inside = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _joined(placed, sums, [*group, "_b"]).withColumn("upto", F.col("_skip") + F.sum("n").over(inside)).drop("_skip", "_b")
+
+
+def order_statistic(df: DataFrame, group: Sequence[str], value: str, rank: Callable[[Column], Column]) -> DataFrame:
+    """The rank(n)-th smallest value of each group of n, null if there is none, and n."""
+    found = cumulative(df, group, value)
+    reached = F.when((rank(F.col("total")) >= 1) & (F.col("upto") >= rank(F.col("total"))), F.col(value))
+    return found.groupBy(*group).agg(F.max("total").alias("n"), F.min(reached).alias("statistic"))
+
+
+def ranked_down(df: DataFrame, group: Sequence[str], score: str, tie: str) -> DataFrame:
+    """Adds rank, the place of each row of its group by falling score and then rising tie, and n; rows without a score go. A window holds the rows of one score."""
+    found = cumulative(df, group, score).select(*group, score, (F.col("total") - F.col("upto")).alias("_above"), F.col("total").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*group, score).orderBy(tie))
+    return _joined(df, found, [*group, score]).withColumn("rank", F.col("_above") + place).drop("_above")
+
+
 def capacity_threshold(df: DataFrame, group: Sequence[str], score: str, share: float) -> DataFrame:
     """The score that at most floor(n * share) rows of a group exceed."""
-    ranked = df.select(*group, score, F.row_number().over(Window.partitionBy(*group).orderBy(score)).alias("_r"), F.count("*").over(Window.partitionBy(*group)).alias("n"))
-    return ranked.where(F.col("_r") == F.col("n") - F.floor(F.col("n") * share)).select(*group, F.col(score).alias("threshold"), "n")
+    return order_statistic(df, group, score, lambda n: n - F.floor(n * share)).select(*group, F.col("statistic").alias("threshold"), "n")
 
 
 def point_sums(y: str = "y", p: str = "p") -> list[Column]:
@@ -77,44 +122,72 @@ def interval_metrics(df: DataFrame, group: Sequence[str], y: str, low: str, high
 
 def residual_quantile(df: DataFrame, group: Sequence[str], residual: Column, coverage: float, min_rows: int) -> DataFrame:
     """Split-conformal quantile: the ceil((n + 1) * coverage)-th smallest residual of each group; not ready with fewer rows or an unattainable rank."""
-    rows = df.select(*group, residual.alias("_r")).where("_r is not null")
-    w = Window.partitionBy(*group)
-    ranked = rows.select(*group, "_r", F.row_number().over(w.orderBy("_r")).alias("_k"), F.count("*").over(w).alias("n"))
-    rank = F.ceil(F.round((F.col("n") + 1) * coverage, 9))
-    picked = ranked.groupBy(*group, "n").agg(F.max(F.when(F.col("_k") == rank, F.col("_r"))).alias("q"))
-    ready = (F.col("n") >= min_rows) & (rank <= F.col("n"))
-    return picked.select(*group, "n", F.when(ready, F.col("q")).alias("quantile"), F.when(ready, "ready").otherwise("not_ready").alias("status"))
-
-
-def pooled_order_statistic(df: DataFrame, levels: Sequence[Sequence[str]], value: str, share: float, min_rows: int) -> DataFrame:
-    """An order statistic of the finest pool with enough rows, falling back level by level (the last is the coarsest): one row per group of the finest level."""
-    out = df.select(*levels[0]).distinct()
-    found = []
-    for k, level in enumerate(levels):
-        w = Window.partitionBy(*level)
-        ranked = df.select(*level, value, F.row_number().over(w.orderBy(value)).alias("_k"), F.count("*").over(w).alias("_n")) if level else None
-        if ranked is None:
-            stat = df.agg(F.count(value).alias(f"_n{k}"), F.expr(f"percentile_disc({share}) within group (order by `{value}`)").alias(f"_s{k}"))
-            out = out.crossJoin(F.broadcast(stat))  # one row
+    rank = lambda n: F.ceil(F.round((n + 1) * coverage, 9))
+    picked = order_statistic(df.select(*group, residual.alias("_r")), group, "_r", rank)
+    ready = (F.col("n") >= min_rows) & (rank(F.col("n")) <= F.col("n"))
+    return picked.select(*group, "n", F.when(ready, F.col("statistic")).alias("quantile"), F.when(ready, "ready").otherwise("not_ready").alias("status"))
+
+
+def _fallback(groups: DataFrame, levels: Sequence[Sequence[str]], found: Sequence[DataFrame], ready: Column, columns: Sequence[str]) -> DataFrame:
+    """For each group of the finest level, the columns of the first level that is ready, and which it is; nulls if none is."""
+    out, picks = groups, []
+    for k, (level, stats) in enumerate(zip(levels, found, strict=True)):
+        stats = stats.withColumn(f"_l{k}", F.when(ready, F.struct(*columns, F.lit(k).alias("level")))).select(*level, f"_l{k}")
+        if level:
+            other = stats.select(*[F.col(c).alias(f"_r_{c}") for c in level], f"_l{k}")
+            out = out.join(other, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in level]), "left").drop(*[f"_r_{c}" for c in level])
         else:
-            stat = ranked.where(F.col("_k") == F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * share, 9)))).select(*level, F.col("_n").alias(f"_n{k}"), F.col(value).alias(f"_s{k}"))
-            out = out.join(stat, list(level), "left")
-        found.append(F.when(F.col(f"_n{k}") >= min_rows, F.struct(F.col(f"_s{k}").alias("statistic"), F.lit(k).alias("level"))))
-    return out.select(*levels[0], F.coalesce(*found).alias("_f")).select(*levels[0], "_f.statistic", "_f.level")
+            out = out.crossJoin(F.broadcast(stats))  # one row
+        picks.append(F.col(f"_l{k}"))
+    return out.withColumn("_f", F.coalesce(*picks)).select(*groups.columns, *[F.col(f"_f.{c}").alias(c) for c in columns], "_f.level")
+
+
+def endpoint_shift(df: DataFrame, levels: Sequence[Sequence[str]], y: str, low: str, high: str, tail: float, min_rows: int) -> DataFrame:
+    """How far the ends of forecast bands are to be shifted, for each group of the finest level.
+
+    lower_shift is the floor((n + 1) * tail)-th smallest y - low, upper_shift the
+    ceil((n + 1) * (1 - tail))-th smallest y - high of the finest pool, from the levels in order (the last
+    may be all rows), that has min_rows rows, all with a band, and both ranks. Where no pool has, the shifts and level are null.
+    """
+    rows = df.where(F.col(y).isNotNull()).withColumns({"_lo": F.col(y) - F.col(low), "_hi": F.col(y) - F.col(high)})
+    first, last = lambda n: F.floor(F.round((n + 1) * tail, 9)), lambda n: F.ceil(F.round((n + 1) * (1 - tail), 9))
+    found = []
+    for level in levels:
+        sizes = rows.groupBy(*level).agg(F.count("*").alias("rows"), F.count_if(F.col("_lo").isNull() | F.col("_hi").isNull()).alias("without"))
+        a = order_statistic(rows, level, "_lo", first).select(*level, F.col("statistic").alias("lower_shift"))
+        b = order_statistic(rows, level, "_hi", last).select(*level, F.col("statistic").alias("upper_shift"))
+        found.append(_joined(_joined(sizes, a, level), b, level))
+    n = F.col("rows")
+    ready = (n >= min_rows) & (F.col("without") == 0) & (first(n) >= 1) & (last(n) <= n)
+    return _fallback(rows.select(*levels[0]).distinct(), levels, found, ready, ["lower_shift", "upper_shift", "rows"])
 
 
 def shortest_band(df: DataFrame, group: Sequence[str], residual: str, coverage: float) -> DataFrame:
-    """The shortest window of sorted residuals that holds ceil((n + 1) * coverage) of them."""
-    w = Window.partitionBy(*group)
-    counted = df.select(*group, residual, F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(residual)).alias("_k"))
-    need = F.least(F.col("n"), F.ceil(F.round((F.col("n") + 1) * coverage, 9)))
-    counted = counted.withColumn("_need", need)
-    ends = counted.select(*group, F.col("_k").alias("_end"), F.col(residual).alias("_high"))
-    met = counted.withColumn("_end", F.col("_k") + F.col("_need") - 1).join(ends, [*group, "_end"])
-    best = met.groupBy(*group, "n").agg(F.min(F.struct((F.col("_high") - F.col(residual)).alias("width"), F.col(residual).alias("low"), F.col("_high").alias("high"))).alias("_b"))
+    """The shortest window of sorted residuals that holds ceil((n + 1) * coverage) of them (all, if that is more): n, low, high; ties to the lowest.
+
+    For each distinct residual as lower end the upper end is the value at a later rank; values are found by
+    slices of ranks, a few thousand to a group, so that no task holds a group.
+    """
+    cells = cumulative(df, group, residual).withColumns({"_first": F.col("upto") - F.col("n") + 1, "_slice": F.ceil(F.col("total") / 4096)})
+    need = F.least(F.col("total"), F.ceil(F.round((F.col("total") + 1) * coverage, 9)))
+    lows = cells.withColumn("_end", F.col("_first") + need - 1).where(F.col("_end") <= F.col("total"))
+    lows = lows.select(*group, "total", F.col(residual).alias("low"), "_end", F.floor(F.col("_end") / F.col("_slice")).alias("_at"))
+    spans = F.sequence(F.floor(F.col("_first") / F.col("_slice")), F.floor(F.col("upto") / F.col("_slice")))
+    highs = cells.select(*group, F.col(residual).alias("high"), "_first", "upto", F.explode(spans).alias("_at"))
+    met = _joined(lows, highs, [*group, "_at"]).where((F.col("_first") <= F.col("_end")) & (F.col("_end") <= F.col("upto")))
+    width = F.round(F.col("high") - F.col("low"), 9)
+    best = met.groupBy(*group).agg(F.max("total").alias("n"), F.min(F.struct(width.alias("w"), "low", "high")).alias("_b"))
     return best.select(*group, "n", F.col("_b.low").alias("low"), F.col("_b.high").alias("high"))
 
 
+def signed_band(df: DataFrame, levels: Sequence[Sequence[str]], y: str, p: str, coverage: float, min_rows: int) -> DataFrame:
+    """The shortest band of signed residuals, scaled by the root of the forecast (0.5 at least), of the finest pool with min_rows rows: low, high and level for each group of the finest level."""
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    rows = rows.withColumn("_r", F.round((F.col(y) - F.col(p)) / F.greatest(F.lit(0.5), F.sqrt(F.greatest(F.col(p), F.lit(0.0)))), 6))
+    found = [shortest_band(rows, level, "_r", coverage) for level in levels]
+    return _fallback(rows.select(*levels[0]).distinct(), levels, found, F.col("n") >= min_rows, ["low", "high", "n"])
+
+
 def confusion(predicted: Column, y: Column, false_alarm: float = 1.0, miss: float = 5.0) -> list[Column]:
     tp, fp, fn = (F.count_if(predicted & (y == 1)), F.count_if(predicted & (y == 0)), F.count_if(~predicted & (y == 1)))
     return [
@@ -123,14 +196,14 @@ def confusion(predicted: Column, y: Column, false_alarm: float = 1.0, miss: floa
     ]
 
 
-def average_precision(df: DataFrame, group: Sequence[str], p: str, y: str) -> DataFrame:
+def average_precision(df: DataFrame, group: Sequence[str], p: str, y: str, digits: int = 6) -> DataFrame:
     """Sum of recall steps times precision over distinct scores, ties taken together; null unless both classes are there."""
     ties = df.groupBy(*group, p).agg(F.sum(y).alias("_t"), F.count("*").alias("_n"))
     down = Window.partitionBy(*group).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = ties.withColumns({"_ct": F.sum("_t").over(down), "_cn": F.sum("_n").over(down)})
     sums = steps.groupBy(*group).agg(F.sum("_t").alias("n_positive"), F.sum("_n").alias("n"), F.sum(F.col("_t") * F.col("_ct") / F.col("_cn")).alias("_s"))
     both = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n"))
-    return sums.select(*group, "n", "n_positive", F.round(F.when(both, F.col("_s") / F.col("n_positive")), 6).alias("average_precision"))
+    return sums.select(*group, "n", "n_positive", F.round(F.when(both, F.col("_s") / F.col("n_positive")), digits).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, group: Sequence[str], p: str, y: str) -> DataFrame:
@@ -147,20 +220,29 @@ def brier(df: DataFrame, group: Sequence[str], p: str, y: str) -> DataFrame:
     return df.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))), 6).alias("brier"), F.round(rate, 6).alias("prevalence"), F.round(rate * (1 - rate), 6).alias("constant_brier"))
 
 
-def reliability(df: DataFrame, group: Sequence[str], p: str, y: str, bins: int = 5) -> DataFrame:
+def reliability(df: DataFrame, group: Sequence[str], p: str, y: str, bins: int = 5, digits: int = 6) -> DataFrame:
     """Bins of equal width: rows, mean probability, rate, and gap, the bin's part of the expected calibration error."""
     from asoflow.functions.columns import reliability_bin
 
     own = df.groupBy(*group, reliability_bin(F.col(p), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("_p"), F.avg(F.col(y).cast("double")).alias("_y"))
     total = F.sum("n").over(Window.partitionBy(*group))
-    return own.select(*group, "bin", "n", F.round("_p", 6).alias("mean_p"), F.round("_y", 6).alias("rate"), F.round(F.abs(F.col("_p") - F.col("_y")) * F.col("n") / total, 6).alias("gap"))
+    return own.select(*group, "bin", "n", F.round("_p", 6).alias("mean_p"), F.round("_y", 6).alias("rate"), F.round(F.abs(F.col("_p") - F.col("_y")) * F.col("n") / total, digits).alias("gap"))
+
 
+def top_k_per_origin(df: DataFrame, group: Sequence[str], score: str, tie: str, share: float) -> DataFrame:
+    """The first ceil(n * share) rows of each group by falling score, then tie, with their rank."""
+    ranked = ranked_down(df, group, score, tie)
+    return ranked.where(F.col("rank") <= F.ceil(F.round(F.col("n") * share, 9))).drop("n")
 
-def top_k_per_origin(df: DataFrame, group: Sequence[str], order: Sequence[Column], share: float) -> DataFrame:
-    """The first ceil(n * share) rows of each group in a total order, with their rank."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumns({"rank": F.row_number().over(w.orderBy(*order)).cast("long"), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("rank") <= F.ceil(F.round(F.col("_n") * share, 9))).drop("_n")
+
+def poisson_steps(most: int = 11) -> list[float]:
+    """Bounds of a uniform draw at which a Poisson(1) number goes up by one."""
+    steps, total, term = [], 0.0, 0.36787944117144233
+    for k in range(1, most + 1):
+        total += term
+        steps.append(total)
+        term /= k
+    return steps
 
 
 def cluster_bootstrap(cells: DataFrame, cluster: Sequence[str], numerator: str, denominator: str, replicates: int, coverage: float = 0.95, min_clusters: int = 10, seed: int = 42) -> DataFrame:
@@ -173,13 +255,9 @@ def cluster_bootstrap(cells: DataFrame, cluster: Sequence[str], numerator: str,
     """
     sums = cells.groupBy(*cluster).agg(F.sum(numerator).alias("_a"), F.sum(denominator).alias("_b"))
     whole = sums.agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"), F.count("*").alias("clusters"))
-    u = F.pmod(F.xxhash64(*cluster, "rep", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        total += term
-        steps.append(F.when(u >= total, 1).otherwise(0))
-        term /= k
-    times = sum(steps[1:], steps[0])
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in cluster], F.col("rep").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = reduce(lambda x, y: x + y, [F.when(u >= t, 1).otherwise(0) for t in poisson_steps()])
     drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_m", times)
     reps = drawn.groupBy("rep").agg(F.sum(F.col("_a") * F.col("_m")).alias("a"), F.sum(F.col("_b") * F.col("_m")).alias("b")).withColumn("ratio", F.try_divide("a", "b"))
     tail = (1 - coverage) / 2
@@ -204,12 +282,30 @@ def best_candidate(df: DataFrame, group: Sequence[str], metric: str, name: str,
     return picked.select(*group, F.when(wins | F.col("_base").isNull(), F.col(f"_best.{name}")).otherwise(F.lit(baseline)).alias("chosen"), F.round(f"_best.{metric}", 6).alias("best_metric"))
 
 
-def gates(df: DataFrame, rules: Sequence[tuple[Column, str]], ready: Column) -> DataFrame:
-    """verdict passed, failed or not_ready, with the reasons of what failed."""
+def gates(df: DataFrame, failed: Sequence[tuple[Column, str]], unavailable: Sequence[tuple[Column, str]] = ()) -> DataFrame:
+    """verdict passed, failed or not_ready, with all failed_reasons and not_ready_reasons; what isn't ready isn't failed. A rule that is null doesn't hold."""
     from asoflow.functions.columns import all_reasons
 
-    why = all_reasons(rules)
-    return df.withColumn("reasons", F.concat_ws(",", why)).withColumn("verdict", F.when(~ready, "not_ready").when(F.col("reasons") == "", "passed").otherwise("failed"))
+    out = df.withColumns({"failed_reasons": F.concat_ws(",", all_reasons(failed)), "not_ready_reasons": F.concat_ws(",", all_reasons(unavailable)) if unavailable else F.lit("")})
+    return out.withColumn("verdict", F.when(F.col("not_ready_reasons") != "", "not_ready").when(F.col("failed_reasons") != "", "failed").otherwise("passed"))
+
+
+def risk_gates(scores: DataFrame, required: Sequence[str], least: int = 50, least_class: int = 10, most_ece: float = 0.2) -> DataFrame:
+    """Gates of a risk model over all rows and by segment (column segment; p, y): average precision above prevalence, Brier score below that of the constant rate of all rows, calibration error within its budget. A required segment that is missing or small is not ready."""
+    tags = F.array(F.struct(F.lit("all").alias("_s")), F.struct(F.concat(F.lit("segment:"), "segment").alias("_s")))
+    g = scores.select("p", "y", F.inline(tags)).where("_s is not null").withColumnRenamed("_s", "segment").crossJoin(F.broadcast(scores.agg(F.avg("y").alias("rate"))))  # one row
+    own = g.groupBy("segment").agg(
+        F.count("*").alias("n"), F.sum("y").alias("n_positive"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"), F.avg("y").alias("prevalence"),
+        F.avg((F.col("rate") - F.col("y")) * (F.col("rate") - F.col("y"))).alias("constant"),
+    )
+    ap = average_precision(g, ["segment"], "p", "y", digits=12).select("segment", "average_precision")
+    ece = reliability(g, ["segment"], "p", "y", digits=12).groupBy("segment").agg(F.sum("gap").alias("ece"))
+    wanted = scores.sparkSession.createDataFrame([("all",), *[(s,) for s in required]], "segment string")
+    m = wanted.join(own, "segment", "left").join(ap, "segment", "left").join(ece, "segment", "left")
+    few = (F.col("n") < least) | (F.col("n_positive") < least_class) | (F.col("n") - F.col("n_positive") < least_class)
+    failed = [(F.col("average_precision") <= F.col("prevalence"), "no_skill"), (F.col("brier") >= F.col("constant"), "brier"), (F.col("ece") > most_ece, "calibration")]
+    out = gates(m, failed, [(F.col("n").isNull(), "required_segment_missing"), (few, "insufficient_support")])
+    return out.select("segment", F.coalesce("n", F.lit(0)).alias("n"), "not_ready_reasons", "failed_reasons", "verdict")
 
 
 def capacity_queue(df: DataFrame, p: str, tie: str, share: float) -> DataFrame:
@@ -225,3 +321,16 @@ def capacity_queue(df: DataFrame, p: str, tie: str, share: float) -> DataFrame:
     counts = counts.select("_b", (F.sum("_c").over(above.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_above"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
     placed = bucketed.join(F.broadcast(counts), "_b").withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(p), tie)))  # 4097 buckets at most
     return placed.withColumn("taken", F.col("_above") + F.col("_k") <= F.ceil(F.round(F.col("_n") * share, 9))).drop("_b", "_above", "_n", "_k")
+
+
+def final_report(queue: DataFrame, dimensions: Sequence[str], wanted: Sequence[tuple[str, str]]) -> DataFrame:
+    """One frozen queue (taken, p, y) by dimension and value: rows, what the queue takes, recall, Brier score, and a gate against the group's constant rate. Wanted groups that are empty or of one class are not_evaluable."""
+    tags = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in dimensions])
+    e = F.col("p") - F.col("y")
+    m = queue.select("taken", "p", "y", F.inline(tags)).groupBy("dimension", "value").agg(
+        F.count("*").alias("n"), F.count_if(F.col("taken")).alias("n_taken"), F.count_if(F.col("taken") & (F.col("y") == 1)).alias("tp"), F.sum("y").alias("_y"), F.avg(e * e).alias("_b"), F.avg("y").alias("_r"),
+    )
+    asked = queue.sparkSession.createDataFrame(list(wanted), "dimension string, value string")
+    gate = F.when(F.col("n").isNull() | (F.col("_y") == 0) | (F.col("_y") == F.col("n")), "not_evaluable").when(F.col("_b") >= F.col("_r") * (1 - F.col("_r")), "failed").otherwise("passed")
+    out = asked.join(m, ["dimension", "value"], "left")
+    return out.select("dimension", "value", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_taken", "tp")], F.round(F.try_divide("tp", "_y"), 6).alias("recall"), F.round("_b", 6).alias("brier"), gate.alias("gate"))

@@ -28,17 +28,22 @@ def rolling(df: DataFrame, key: Sequence[str], day: str, value: str, widths: Seq
     return df.withColumns(out)
 
 
+def facts_of_origins(df: DataFrame, origins: DataFrame, key: Sequence[str], day: str, ages: Sequence[int]) -> DataFrame:
+    """Each origin with the facts of the days that are so many days old at it, and their age. The days are listed and joined on equality, so an origin never meets its series' whole history."""
+    asked = origins.withColumn("age", F.explode(F.array(*[F.lit(a) for a in ages]))).withColumn(day, F.expr("date_sub(origin, age)"))
+    return asked.join(df, [*key, day])
+
+
 def origin_lags(df: DataFrame, origins: DataFrame, key: Sequence[str], day: str, value: str, lags: Sequence[int]) -> DataFrame:
-    """Value on origin + 1 - lag, for each origin and lag: one pass over the facts of the lagged days."""
-    met = origins.join(df, list(key)).where(F.datediff(F.date_add("origin", 1), F.col(day)).isin(*lags))
-    picks = [F.max(F.when(F.datediff(F.date_add("origin", 1), F.col(day)) == k, F.col(value))).alias(f"lag_{k}") for k in lags]
+    """Value on origin + 1 - lag, for each origin and lag."""
+    met = facts_of_origins(df, origins, key, day, [k - 1 for k in lags])
+    picks = [F.max(F.when(F.col("age") == k - 1, F.col(value))).alias(f"lag_{k}") for k in lags]
     return origins.join(met.groupBy(*origins.columns).agg(*picks), origins.columns, "left")
 
 
 def empirical_baselines(df: DataFrame, origins: DataFrame, key: Sequence[str], day: str, value: str) -> DataFrame:
     """last_observed, moving_average (28 days), median_7 and the last value on the same weekday (seasonal), from facts up to each origin."""
-    age = F.datediff("origin", day)
-    met = origins.join(df, list(key)).where((age >= 0) & (age < 28))
+    met, age = facts_of_origins(df, origins, key, day, range(28)), F.col("age")
     return met.groupBy(*origins.columns).agg(
         F.max_by(value, day).alias("last_observed"), F.avg(value).alias("moving_average"), F.median(F.when(age < 7, F.col(value))).alias("median_7"),
         F.max_by(F.when(age % 7 == 6, F.col(value)), F.when(age % 7 == 6, F.col(day))).alias("seasonal"), F.count(value).alias("known"),
@@ -84,3 +89,10 @@ def membership(df: DataFrame, day: str, train_end: str, tune_end: str, test_end:
         .when(d <= F.lit(tune_end).cast("date"), "purged").when(d <= F.lit(test_end).cast("date"), "test").otherwise("outside")
     )
     return df.withColumn("role", role)
+
+
+def window_tensor(df: DataFrame, origins: DataFrame, key: Sequence[str], day: str, value: str, days: int) -> DataFrame:
+    """For each origin the values of its last days, oldest first, each with a flag that it is missing (then 0), in one array."""
+    asked = origins.withColumn(day, F.explode(F.sequence(F.date_sub("origin", days - 1), F.col("origin"))))
+    rows = asked.join(df, [*key, day], "left").groupBy(*key, "origin").agg(F.sort_array(F.collect_list(F.struct(day, value))).alias("_h"))  # so many days each
+    return rows.select(*key, "origin", F.flatten(F.transform("_h", lambda x: F.array(F.coalesce(x[value], F.lit(0.0)), F.when(x[value].isNull(), 1.0).otherwise(0.0)))).alias("tensor"))

@@ -65,8 +65,9 @@ def version_chain_violations(df: DataFrame, key: Sequence[str], version: str = "
 
 def ambiguous_keys(df: DataFrame, origin: Column, key: Sequence[str], version: str = "version", available: str = "available") -> DataFrame:
     """Keys whose highest version known at the origin isn't unique."""
-    found = df.where(F.col(available) <= origin).groupBy(*key).agg(F.max(version).alias("_v"), F.collect_list(version).alias("_all"))
-    return found.where(F.size(F.filter("_all", lambda x: x == F.col("_v"))) > 1).select(*key)
+    counts = df.where(F.col(available) <= origin).groupBy(*key, version).agg(F.count("*").alias("_n"))  # a hot key's repeats are counted, not listed
+    top = counts.groupBy(*key).agg(F.max(F.struct(F.col(version).alias("v"), F.col("_n").alias("n"))).alias("_top"))
+    return top.where("_top.n > 1").select(*key)
 
 
 def label_join(members: DataFrame, outcomes: DataFrame, key: Sequence[str], cutoff: str, version: str = "version", available: str = "available", value: str = "units") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from asoflow.functions import columns as C
 from asoflow.operators import metrics as M
 from asoflow.plans.registry import query
 from asoflow.plans.views import sql
@@ -78,18 +79,48 @@ def _(spark, d):
     return M.residual_quantile(_errors(spark, d), ["h", "product"], F.round(F.abs("e"), 6), 0.9, 30)
 
 
-@query("ag08_endpoint_shift", sql(f"""with e as (select product, channel, location, round(e, 6) as e from {_RES}), a as (select product, channel, location, count(*) as n, quantile_disc(e, 0.05) as q from e group by all), b as (select product, channel, count(*) as n, quantile_disc(e, 0.05) as q from e group by all), c as (select count(*) as n, quantile_disc(e, 0.05) as q from e)
-    select a.product, a.channel, a.location, case when a.n >= 150 then a.q when b.n >= 600 then b.q else c.q end as statistic, case when a.n >= 150 then 0 when b.n >= 150 then 1 else 2 end as level from a join b using (product, channel) cross join c""".replace("b.n >= 600", "b.n >= 150"), "forecasts"))
+_BANDS = "(select product, channel, location, round(y - (p - 40), 6) as lo, round(y - (p + 40), 6) as hi from forecasts where y is not null)"
+_SHIFT = """select {keys} count(*) as rows, count(*) filter (lo is null) as without, min(lo) filter (kl >= floor(round((n + 1) * 0.05, 9)) and lo is not null) as lower_shift, min(hi) filter (kh >= ceil(round((n + 1) * 0.95, 9)) and hi is not null) as upper_shift
+    from (select *, count(*) over w as n, row_number() over (w order by lo nulls last) as kl, row_number() over (w order by hi nulls last) as kh from {bands} window w as (partition by {by})) group by {group}"""
+_READY = "{t}.rows >= 150 and {t}.without = 0 and floor(round(({t}.rows + 1) * 0.05, 9)) >= 1 and ceil(round(({t}.rows + 1) * 0.95, 9)) <= {t}.rows"
+
+
+def _shift(keys: str) -> str:
+    return _SHIFT.format(keys=f"{keys}," if keys else "", by=keys or "1", group=keys or "()", bands=_BANDS)
+
+
+def _pick(column: str) -> str:
+    return "case " + " ".join(f"when {_READY.format(t=t)} then {t}.{column}" for t in "abc") + f" end as {column}"
+
+
+@query("ag08_endpoint_shift", sql(f"""with a as ({_shift('product, channel, location')}), b as ({_shift('product, channel')}), c as ({_shift('')})
+    select a.product, a.channel, a.location, {_pick('lower_shift')}, {_pick('upper_shift')}, {_pick('rows')}, case when {_READY.format(t='a')} then 0 when {_READY.format(t='b')} then 1 when {_READY.format(t='c')} then 2 end as level from a join b using (product, channel) cross join c""", "forecasts"))
 def _(spark, d):
-    e = _errors(spark, d).withColumn("e", F.round("e", 6))
-    return M.pooled_order_statistic(e, [["product", "channel", "location"], ["product", "channel"], []], "e", 0.05, 150)
+    f = forecasts(spark, d).withColumns({"low": F.col("p") - 40, "high": F.col("p") + 40})
+    out = M.endpoint_shift(f, [["product", "channel", "location"], ["product", "channel"], []], "y", "low", "high", 0.05, 150)
+    return out.withColumns({c: F.round(c, 6) for c in ("lower_shift", "upper_shift")})
+
+
+_SCALED = "(select product, channel, round((y - p) / greatest(0.5, sqrt(greatest(p, 0.0))), 6) as r from forecasts where y is not null and p is not null)"
+
 
+def _window(keys: str) -> str:
+    name, by = (f"{keys}," if keys else ""), keys or "1"
+    same = " and ".join(["b.k = a.k + least(a.n, ceil(round((a.n + 1) * 0.8, 9))) - 1", *[f"a.{c} = b.{c}" for c in keys.split(", ") if c]])
+    return f"""select * from (select {', '.join([*[f'a.{c}' for c in keys.split(', ') if c], 'a.n as n', 'a.r as low', 'b.r as high'])}, row_number() over (partition by {', '.join(f'a.{c}' for c in keys.split(', ')) if keys else '1'} order by round(b.r - a.r, 9), a.r) as place
+        from s{len(keys.split(', ')) if keys else 0} a join s{len(keys.split(', ')) if keys else 0} b on {same}) where place = 1"""
 
-@query("ag34_shortest_band", sql(f"""with s as (select h, round(e, 6) as e, row_number() over (partition by h order by round(e, 6)) as k, count(*) over (partition by h) as n from {_RES}), m as (select a.h, a.n, a.e as low, b.e as high, row_number() over (partition by a.h order by round(b.e - a.e, 9), a.e) as r from s a join s b on a.h = b.h and b.k = a.k + least(a.n, ceil(round((a.n + 1) * 0.8, 9))) - 1)
-    select h, n, round(high - low, 5) as width from m where r = 1""", "forecasts"))
+
+def _sorted(keys: str) -> str:
+    return f"select *, row_number() over (partition by {keys or '1'} order by r) as k, count(*) over (partition by {keys or '1'}) as n from {_SCALED}"
+
+
+@query("ag34_shortest_band", sql(f"""with s2 as ({_sorted('product, channel')}), s1 as ({_sorted('product')}), s0 as ({_sorted('')}), a as ({_window('product, channel')}), b as ({_window('product')}), c as ({_window('')}), g as (select distinct product, channel from {_SCALED})
+    select g.product, g.channel, case when a.n >= 4000 then round(a.high - a.low, 5) when b.n >= 4000 then round(b.high - b.low, 5) when c.n >= 4000 then round(c.high - c.low, 5) end as width, case when a.n >= 4000 then a.n when b.n >= 4000 then b.n when c.n >= 4000 then c.n end as n,
+    case when a.n >= 4000 then 0 when b.n >= 4000 then 1 when c.n >= 4000 then 2 end as level from g left join a using (product, channel) left join b on b.product = g.product cross join c""", "forecasts"))
 def _(spark, d):
-    b = M.shortest_band(_errors(spark, d).withColumn("e", F.round("e", 6)), ["h"], "e", 0.8)
-    return b.select("h", "n", F.round(F.col("high") - F.col("low"), 5).alias("width"))
+    b = M.signed_band(forecasts(spark, d), [["product", "channel"], ["product"], []], "y", "p", 0.8, 4000)
+    return b.select("product", "channel", F.round(F.col("high") - F.col("low"), 5).alias("width"), "n", "level")
 
 
 @query("ag13_confusion", sql("""select segment, count(case when p >= 0.5 and y = 1 then 1 end) as tp, count(case when p >= 0.5 and y = 0 then 1 end) as fp, count(case when p < 0.5 and y = 1 then 1 end) as fn, count(case when p < 0.5 and y = 0 then 1 end) as tn,
@@ -105,7 +136,8 @@ def _(spark, d):
     return M.average_precision(scores(spark, d), ["segment"], "p", "y")
 
 
-@query("ag15_roc_auc", sql("""select a.segment, count(distinct a.doc_id) as n_positive, count(distinct b.doc_id) as n_negative, round(avg(case when a.p > b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end), 6) as roc_auc from scores a join scores b on a.segment = b.segment and a.y = 1 and b.y = 0 group by 1""", "scores"))
+@query("ag15_roc_auc", sql("""with c as (select segment, count(*) filter (y = 1) as n_positive, count(*) filter (y = 0) as n_negative from scores group by 1), r as (select a.segment, round(avg(case when a.p > b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end), 6) as roc_auc from scores a join scores b on a.segment is not distinct from b.segment and a.y = 1 and b.y = 0 group by 1)
+    select c.segment, n_positive, n_negative, roc_auc from c left join r on c.segment is not distinct from r.segment""", "scores"))
 def _(spark, d):
     return M.roc_auc(scores(spark, d), ["segment"], "p", "y")
 
@@ -138,7 +170,7 @@ def _(spark, d):
 
 @query("wn13_topk_per_origin", sql("""select segment, doc_id, p, rank from (select segment, doc_id, p, row_number() over (partition by segment order by p desc, doc_id) as rank, count(*) over (partition by segment) as n from scores) where rank <= ceil(round(n * 0.1, 9))""", "scores"))
 def _(spark, d):
-    return M.top_k_per_origin(scores(spark, d), ["segment"], [F.desc("p"), F.asc("doc_id")], 0.1).select("segment", "doc_id", "p", "rank")
+    return M.top_k_per_origin(scores(spark, d), ["segment"], "p", "doc_id", 0.1).select("segment", "doc_id", "p", "rank")
 
 
 @query("ag22_cluster_sums", sql(f"select cast(floor((target - date '1998-01-01') / 28) as bigint) as block, product, count(*) as n, round(sum(abs(e)), 4) as s_abs, sum(y) as s_y from {_RES} group by all", "forecasts"))
@@ -147,7 +179,12 @@ def _(spark, d):
     return e.groupBy("block", "product").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("e")), 4).alias("s_abs"), F.sum("y").alias("s_y"))
 
 
-@query("ag23_cluster_bootstrap")
+_POISSON = " + ".join(f"case when u >= {t!r} then 1 else 0 end" for t in M.poisson_steps())
+
+
+@query("ag23_cluster_bootstrap", sql(f"""with c as (select cast(floor((target - date '1998-01-01') / 28) as bigint) as block, product, location, channel, sum(abs(e)) as a, sum(y) as b from {_RES} group by all), u as (select a, b, rep, cast(('0x' || substr(md5(block || '|' || product || '|' || location || '|' || channel || '|' || rep || '|42'), 1, 8)) as bigint) / 4294967296.0 as u from c cross join (select unnest(range(1, 501)) as rep)),
+    m as (select rep, a, b, {_POISSON} as m from u), r as (select rep, sum(a * m) / nullif(sum(b * m), 0) as ratio from m group by 1), l as (select quantile_cont(ratio, 0.025) as low, quantile_cont(ratio, 0.975) as high, count(ratio) as valid from r), w as (select sum(a) / sum(b) as estimate, count(*) as clusters from c)
+    select round(estimate, 6) as estimate, case when clusters >= 10 and valid = 500 then round(low, 6) end as low, case when clusters >= 10 and valid = 500 then round(high, 6) end as high, clusters, valid from w cross join l""", "forecasts"))
 def _(spark, d):
     e = _errors(spark, d).withColumns({"block": F.floor(F.datediff("target", F.lit("1998-01-01").cast("date")) / 28), "a": F.abs("e")})
     return M.cluster_bootstrap(e, ["block", *SERIES], "a", "y", 500)
@@ -208,27 +245,54 @@ def _(spark, d):
     return M.best_candidate(m, ["product"], "metric", "name", "plain", 0.05)
 
 
-@query("ml10_forecast_gate", sql("""with m as (select product, count(*) as n, count(y) as ny, sum(abs(p - y)) / count(y) as mae, sum(p - y) / sum(y) as nb from forecasts where p is not null and y is not null group by 1)
-    select product, concat_ws(',', case when mae > 95 then 'mae' end, case when abs(nb) > 0.02 then 'bias' end) as reasons, case when n < 4000 then 'not_ready' when mae > 95 or abs(nb) > 0.02 then 'failed' else 'passed' end as verdict from m""", "forecasts"))
+@query("ml10_forecast_gate", sql("""with f as (select *, 1.02 * p as q from forecasts), g as (select 'product' as dimension, product as value, y, p, q from f union all select 'channel', channel, y, p, q from f union all select 'global', 'global', y, p, q from f),
+    m as (select dimension, value, count(y) as n, count(*) as rows, count(case when y is not null and p is not null then 1 end) as n_predicted, avg(abs(p - y)) as mae, avg(abs(q - y)) as base, avg((p - y) * (p - y)) as mse, avg((q - y) * (q - y)) as base_mse, sum(p - y) / nullif(sum(case when p is not null then y end), 0) as nb, avg(y) as mean_y,
+    avg(case when p is not null and y is not null then case when y between p - 150 and p + 150 then 1.0 else 0.0 end end) as coverage, avg(case when p is not null and y is not null then 300.0 + 10.0 * greatest(p - 150 - y, 0) + 10.0 * greatest(y - p - 150, 0) end) as score from g group by all)
+    select dimension, value, n, concat_ws(',', case when n < case when dimension = 'global' then 2000 else 500 end then 'insufficient_sample' end, case when n_predicted < 0.5 * n then 'prediction_coverage_incomplete' end, case when nb is null then 'bias_not_evaluable' end, case when mean_y is null or mean_y = 0 then 'zero_actuals' end) as not_ready_reasons,
+    concat_ws(',', case when abs(nb) > 0.02 then 'bias' end, case when n < 0.2 * rows then 'eligibility_coverage' end, case when dimension = 'global' and mae > base * 0.995 then 'mae_improvement' end, case when dimension <> 'global' and mae > base * 1.02 then 'mae_regression' end, case when mse > base_mse * 1.02 then 'mse_regression' end, case when coverage < 0.9 then 'interval_coverage' end, case when 300.0 > 3.0 * mean_y then 'interval_width' end, case when score > 4.0 * mean_y then 'interval_score' end) as failed_reasons,
+    case when not_ready_reasons <> '' then 'not_ready' when failed_reasons <> '' then 'failed' else 'passed' end as verdict from m""", "forecasts"))
 def _(spark, d):
-    m = forecasts(spark, d).where("p is not null and y is not null").groupBy("product").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"), (F.sum(F.col("p") - F.col("y")) / F.sum("y")).alias("nb"))
-    return M.gates(m, [(F.col("mae") > 95, "mae"), (F.abs("nb") > 0.02, "bias")], F.col("n") >= 4000).select("product", "reasons", "verdict")
-
-
-@query("ml11_risk_gates", sql("""with b as (select segment, count(*) as n, avg((p - y) * (p - y)) as br, avg(y) * (1 - avg(y)) as cb, avg(y) as pr from scores group by 1) select segment, case when br >= cb then 'brier' else '' end as reasons, case when n < 50 then 'not_ready' when br >= cb then 'failed' else 'passed' end as verdict from b""", "scores"))
+    """The forecast against a reference of 1.02 times its value, by product, by channel and over all, with a band of 150 to either side (coverage 0.8)."""
+    f = forecasts(spark, d).withColumns({"q": 1.02 * F.col("p"), "low": F.col("p") - 150, "high": F.col("p") + 150})
+    e, b = F.col("p") - F.col("y"), F.col("q") - F.col("y")
+    both = e.isNotNull()
+    score = F.when(both, C.interval_score(F.col("y"), F.col("low"), F.col("high"), 0.8))
+    inside = F.when(both, F.col("y").between(F.col("low"), F.col("high")).cast("double"))
+    sums = {"n": F.count("y"), "rows": F.count("*"), "np": F.count_if(both), "sa": F.sum(F.abs(e)), "sb": F.sum(F.abs(b)), "qa": F.sum(e * e), "qb": F.sum(b * b), "se": F.sum(e), "sy": F.sum("y"), "sp": F.sum(F.when(both, F.col("y"))), "si": F.sum(inside), "ss": F.sum(score)}
+    cells = f.groupBy("product", "channel").agg(*[x.alias(c) for c, x in sums.items()])
+    tags = F.array(F.struct(F.lit("global").alias("dimension"), F.lit("global").alias("value")), *[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("product", "channel")])
+    m = cells.select(*sums, F.inline(tags)).groupBy("dimension", "value").agg(*[F.sum(c).alias(c) for c in sums])
+    mean, all_ = F.col("sy") / F.col("n"), F.col("dimension") == "global"
+    bias = F.try_divide("se", "sp")
+    waiting = [
+        (F.col("n") < F.when(all_, 2000).otherwise(500), "insufficient_sample"), (F.col("np") < 0.5 * F.col("n"), "prediction_coverage_incomplete"), (bias.isNull(), "bias_not_evaluable"),
+        (F.coalesce(F.col("sy"), F.lit(0.0)) == 0, "zero_actuals"),
+    ]
+    failed = [
+        (F.abs(bias) > 0.02, "bias"), (F.col("n") < 0.2 * F.col("rows"), "eligibility_coverage"), (all_ & (F.col("sa") > F.col("sb") * 0.995), "mae_improvement"), (~all_ & (F.col("sa") > F.col("sb") * 1.02), "mae_regression"),
+        (F.col("qa") > F.col("qb") * 1.02, "mse_regression"), (F.col("si") / F.col("np") < 0.9, "interval_coverage"), (300.0 > 3.0 * mean, "interval_width"), (F.col("ss") / F.col("np") > 4.0 * mean, "interval_score"),
+    ]
+    return M.gates(m, failed, waiting).select("dimension", "value", "n", "not_ready_reasons", "failed_reasons", "verdict")
+
+
+_REQUIRED = "('all'), ('segment:en'), ('segment:fr'), ('segment:de'), ('segment:es'), ('segment:xx')"
+_TAGGED = "select 'all' as segment, p, y from scores union all select 'segment:' || segment, p, y from scores where segment is not null"
+_AP = "select segment, sum(t * ct / cn) / sum(t) as ap from (select *, sum(t) over w as ct, sum(n) over w as cn from (select segment, p, sum(y) as t, count(*) as n from g group by all) window w as (partition by segment order by p desc rows unbounded preceding)) group by 1"
+_ECE = "select segment, sum(abs(mp - my) * n) / sum(n) as ece from (select segment, least(floor(p * 5), 4) as bin, count(*) as n, avg(p) as mp, avg(y) as my from g group by all) group by 1"
+
+
+@query("ml11_risk_gates", sql(f"""with g as ({_TAGGED}), b as (select segment, count(*) as n, cast(sum(y) as bigint) as n_positive, avg((p - y) * (p - y)) as br, avg(y) as pr, avg(((select avg(y) from scores) - y) * ((select avg(y) from scores) - y)) as cb from g group by 1), ap as ({_AP}), e as ({_ECE}), q as (select * from (values {_REQUIRED}) v(segment))
+    select q.segment, coalesce(n, 0) as n, concat_ws(',', case when n is null then 'required_segment_missing' end, case when n < 50 or n_positive < 10 or n - n_positive < 10 then 'insufficient_support' end) as not_ready_reasons,
+    concat_ws(',', case when ap <= pr then 'no_skill' end, case when br >= cb then 'brier' end, case when ece > 0.2 then 'calibration' end) as failed_reasons, case when not_ready_reasons <> '' then 'not_ready' when failed_reasons <> '' then 'failed' else 'passed' end as verdict
+    from q left join b using (segment) left join ap using (segment) left join e using (segment)""", "scores"))
 def _(spark, d):
-    b = M.brier(scores(spark, d), ["segment"], "p", "y")
-    return M.gates(b, [(F.col("brier") >= F.col("constant_brier"), "brier")], F.col("n") >= 50).select("segment", "reasons", "verdict")
+    return M.risk_gates(scores(spark, d), ["segment:en", "segment:fr", "segment:de", "segment:es", "segment:xx"])
 
 
 @query("ml12_capacity_comparison", sql("""with r as (select f, y, row_number() over (partition by f order by p desc, doc_id) as k, count(*) over (partition by f) as n from scores cross join (select unnest([0.4, 0.5])::double as f)) select f as share, count(case when k <= ceil(round(n * f, 9)) then 1 end) as workload, count(case when k <= ceil(round(n * f, 9)) and y = 0 then 1 end) + 5 * count(case when k > ceil(round(n * f, 9)) and y = 1 then 1 end) as cost from r group by 1""", "scores"))
 def _(spark, d):
     s = scores(spark, d).withColumn("share", F.explode(F.array(F.lit(0.4), F.lit(0.5))))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("share")
-    taken = F.row_number().over(w.orderBy(F.desc("p"), "doc_id")) <= F.ceil(F.round(F.count("*").over(w) * F.col("share"), 9))
-    s = s.withColumn("taken", taken)
+    s = M.ranked_down(s, ["share"], "p", "doc_id").withColumn("taken", F.col("rank") <= F.ceil(F.round(F.col("n") * F.col("share"), 9)))
     return s.groupBy("share").agg(F.count_if(F.expr("taken")).alias("workload"), (F.count_if(F.expr("taken and y = 0")) + 5 * F.count_if(F.expr("not taken and y = 1"))).alias("cost"))
 
 

@@ -37,20 +37,34 @@ def demand_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(*SERIES, "day", F.inline(F.filter(F.array(first, second), lambda x: x.isNotNull())))
 
 
+def span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the first and last day of shipment."""
+    return table(spark, sf_dir, "lineitem").agg(F.min(F.to_date("l_shipdate")).alias("first_day"), F.max(F.to_date("l_shipdate")).alias("last_day"))
+
+
+def weeks(spark: SparkSession, sf_dir: str, ahead: int = 0) -> DataFrame:
+    """All Sundays of the data as origins, at least `ahead` days before its end: a short list."""
+    sundays = F.expr(f"sequence(date_add(trunc(first_day, 'week'), 6), date_sub(last_day, {ahead}), interval 7 days)")
+    return span(spark, sf_dir).where(F.expr(f"date_add(trunc(first_day, 'week'), 6) <= date_sub(last_day, {ahead})")).select(F.explode(sundays).alias("origin"))
+
+
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price plans: parts by quarter of 1998, half-open intervals, a scope each, a second version known 30 days later for some."""
-    part = table(spark, sf_dir, "part").where("p_partkey <= 400")
-    base = part.select(F.col("p_partkey").alias("part"), "p_size", "p_retailprice", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    """Price plans of all parts by quarter of the data, half-open intervals: one for all places and channels and, for three quarters
+    of the parts, one for a channel, a location (the region's name) or both; a second version known 30 days later for some."""
+    part, region = table(spark, sf_dir, "part"), table(spark, sf_dir, "region")
+    quarters = span(spark, sf_dir).select(F.posexplode(F.expr("sequence(trunc(first_day, 'quarter'), last_day, interval 3 months)")).alias("k", "from_day"))
+    base = part.select(F.col("p_partkey").alias("part"), "p_size", "p_retailprice").crossJoin(F.broadcast(quarters))  # quarters of the data
+    base = base.join(F.broadcast(region), (F.col("part") + F.col("k")) % 5 == F.col("r_regionkey"))  # five regions
+    narrow = F.element_at(F.array(*map(F.lit, ("global", "channel", "location", "location_channel"))), (F.col("p_size") % 4 + 1).cast("int"))
     base = base.select(
-        "part", "k", (F.col("p_size") % 5).alias("m5"), "p_retailprice",
-        F.element_at(F.array(*map(F.lit, ("global", "channel", "location", "location_channel"))), (F.col("p_size") % 4 + 1).cast("int")).alias("scope"),
-        F.add_months(F.lit("1998-01-01").cast("date"), F.col("k") * 3).alias("from_day"), F.add_months(F.lit("1998-01-01").cast("date"), F.col("k") * 3 + 3).alias("to_day"),
+        "part", "k", (F.col("p_size") % 5).alias("m5"), "p_retailprice", "from_day", F.add_months("from_day", 3).alias("to_day"), "r_name",
+        F.element_at(F.array(*map(F.lit, "ANR")), ((F.col("part") + F.col("k")) % 3 + 1).cast("int")).alias("one"), F.explode(F.array_distinct(F.array(F.lit("global"), narrow))).alias("scope"),
     )
     versions = base.select("*", F.explode(F.when(F.col("m5") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("v")).withColumn("version", F.col("v").cast("long"))
     return versions.select(
-        "part", "scope", "from_day", "to_day", "version",
-        F.date_add("from_day", F.when(F.col("version") == 2, 30).otherwise(-10)).alias("known"),
-        (F.round(F.col("p_retailprice") * (100 + F.col("k")), 0) + F.when(F.col("version") == 2, 500).otherwise(0)).cast("long").alias("price_cents"),
+        "part", "scope", F.when(F.col("scope").startswith("location"), F.col("r_name")).alias("location"), F.when(F.col("scope").endswith("channel"), F.col("one")).otherwise("all").alias("channel"),
+        "from_day", "to_day", "version", F.date_add("from_day", F.when(F.col("version") == 2, 30).otherwise(-10)).alias("known"),
+        (F.round(F.col("p_retailprice") * (100 + F.col("k")), 0) + F.when(F.col("version") == 2, 500).otherwise(0) - F.length("scope")).cast("long").alias("price_cents"),
     )
 
 
@@ -66,23 +80,23 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock movements of 1998 by series: an opening, weekly receipts, block adjustments and daily sales.
+    """Stock movements by series over all weeks of the data: an opening, weekly receipts, block adjustments and daily sales.
 
     kind_rank orders movements of one day; the balance at a week's start is the largest weekly
     sale of its 28-day block, so it never goes below zero and touches it.
     """
-    start = F.lit("1998-01-05").cast("date")
-    sales = series_day(spark, sf_dir).where("day >= date'1998-01-05' and day < date'1998-12-28'")
-    sales = sales.withColumn("week", F.floor(F.datediff("day", start) / 7)).withColumn("block", F.floor(F.col("week") / 4))
-    weeks = sales.select(*SERIES).distinct().withColumn("week", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(50).cast("long"))))
-    weekly = weeks.join(sales.groupBy(*SERIES, "week").agg(F.sum("units").alias("sold")), [*SERIES, "week"], "left").withColumn("sold", F.coalesce("sold", F.lit(0.0))).withColumn("block", F.floor(F.col("week") / 4))
-    tops = weekly.groupBy(*SERIES, "block").agg(F.max("sold").alias("top"))
+    ends = span(spark, sf_dir).select(F.trunc("first_day", "week").alias("start"), F.floor(F.datediff("last_day", F.trunc("first_day", "week")) / 7).alias("last_week"))
+    sales = series_day(spark, sf_dir).crossJoin(F.broadcast(ends))  # one row
+    sales = sales.withColumn("week", F.floor(F.datediff("day", "start") / 7)).withColumn("block", F.floor(F.col("week") / 4))
+    weeks_ = sales.select(*SERIES, "start", "last_week").distinct().withColumn("week", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_week"))))
+    weekly = weeks_.join(sales.groupBy(*SERIES, "week").agg(F.sum("units").alias("sold")), [*SERIES, "week"], "left").withColumn("sold", F.coalesce("sold", F.lit(0.0))).withColumn("block", F.floor(F.col("week") / 4))
+    tops = weekly.groupBy(*SERIES, "start", "block").agg(F.max("sold").alias("top"))
     by = Window.partitionBy(*SERIES)
     tops = tops.withColumn("before", F.lag("top").over(by.orderBy("block")))
-    at_block = F.date_add(start, (F.col("block") * 28).cast("int"))
-    opening = tops.where("block = 0").select(*SERIES, start.alias("day"), F.lit(0).alias("kind_rank"), F.lit("opening_stock").alias("kind"), F.col("top").alias("delta"))
+    at_block = F.date_add("start", (F.col("block") * 28).cast("int"))
+    opening = tops.where("block = 0").select(*SERIES, F.col("start").alias("day"), F.lit(0).alias("kind_rank"), F.lit("opening_stock").alias("kind"), F.col("top").alias("delta"))
     adjust = tops.where("block > 0 and top <> before").select(*SERIES, at_block.alias("day"), F.lit(2).alias("kind_rank"), F.lit("inventory_adjustment").alias("kind"), (F.col("top") - F.col("before")).alias("delta"))
-    receipts = weekly.where("week < 50 and sold > 0").select(*SERIES, F.date_add(start, ((F.col("week") + 1) * 7).cast("int")).alias("day"), F.lit(1).alias("kind_rank"), F.lit("receipt").alias("kind"), F.col("sold").alias("delta"))
+    receipts = weekly.where("week < last_week and sold > 0").select(*SERIES, F.date_add("start", ((F.col("week") + 1) * 7).cast("int")).alias("day"), F.lit(1).alias("kind_rank"), F.lit("receipt").alias("kind"), F.col("sold").alias("delta"))
     sold = sales.select(*SERIES, "day", F.lit(3).alias("kind_rank"), F.lit("sale").alias("kind"), (-F.col("units")).alias("delta"))
     rows = opening.union(receipts).union(adjust).union(sold)
     seq = F.row_number().over(by.orderBy("day", "kind_rank")).cast("long")
@@ -122,10 +136,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moving average of the known days among the last 28 as forecast for 14 horizons, from weekly origins of 1998, with the outcome."""
+    """Moving average of the known days among the last 28 as forecast for 14 horizons, from all Sundays up to 14 days before the end, with the outcome. A day's units go to the four Sundays whose windows hold it."""
     day = series_day(spark, sf_dir)
-    origins = spark.range(0, 40).select(F.date_add(F.lit("1998-02-01").cast("date"), (F.col("id") * 7).cast("int")).alias("origin"))
-    past = day.join(origins, (F.col("day") <= F.col("origin")) & (F.col("day") > F.date_sub("origin", 28)))
+    last = span(spark, sf_dir).select(F.date_sub("last_day", 14).alias("last"))
+    sunday = F.date_add("day", (8 - F.dayofweek("day")) % 7)
+    past = day.select(*SERIES, "units", F.explode(F.array(*[F.date_add(sunday, 7 * k) for k in range(4)])).alias("origin")).join(F.broadcast(last), F.col("origin") <= F.col("last"))  # one row
     mean = past.groupBy(*SERIES, "origin").agg(F.avg("units").alias("yhat"), F.count("*").alias("known"))
     ahead = mean.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(14)))).withColumn("target", F.expr("date_add(origin, h)"))
     actual = day.select(*SERIES, F.col("day").alias("target"), F.col("units").alias("y"))
