@@ -8,7 +8,7 @@ from asoflow.operators import models as ML
 from asoflow.operators import panel as P
 from asoflow.plans.registry import query
 from asoflow.plans.views import sql
-from asoflow.sources.adapters import SERIES, capture, demand_versions, ledger, lines, scores, series_day, table
+from asoflow.sources.adapters import SERIES, demand_versions, ledger, lines, scores, series_day, table
 
 FEATURES = ["lag_1", "lag_7", "mean_28", "weekday"]
 
@@ -167,9 +167,3 @@ def _(spark, d):
     g = s.groupBy("location", "day").agg(F.count("*").alias("n"))
     j = lagged(s, SERIES, "day", "units", 7, "before").where("year(day) = 2000").join(g, ["location", "day"])
     return j.select(*SERIES, "day", "units", F.when(F.col("n") < 2, "source_incomplete").when(F.col("before").isNull(), "insufficient_history").otherwise("ready").alias("status"))
-
-
-@query("sm06_capture_as_of", sql("""select grain, max("offset") as last_offset, count(*) as n, arg_max(value, "offset") as last_value from capture where day <= date '2024-01-10' group by 1""", "capture"))
-def _(spark, d):
-    c = capture(spark, d).where("day <= date'2024-01-10'")
-    return c.groupBy("grain").agg(F.max("offset").alias("last_offset"), F.count("*").alias("n"), F.max_by("value", "offset").alias("last_value"))
