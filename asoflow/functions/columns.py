@@ -1,6 +1,7 @@
 """Scalar rules as column expressions."""
 
 import math
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -26,15 +27,16 @@ def nfc(column: Column) -> Column:
     """Unicode NFC. Texts of ASCII are so already and skip Python."""
     @F.pandas_udf("string")
     def compose(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFC")
+        return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
     return F.when(column.rlike(r"^[\x00-\x7F]*$"), column).otherwise(compose(column))
 
 
 def nfkc_casefold(column: Column) -> Column:
+    """Unicode NFKC, then full case folding; null stays null."""
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC").str.casefold()
+        return texts.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
     return fold(column)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,10 +66,79 @@ def calibrate(scored: DataFrame, label: str, least_per_class: int = 10) -> tuple
     return slope, intercept
 
 
-def calibrated(raw: Column, slope: float, intercept: float) -> Column:
+def calibrate_by(scored: DataFrame, label: str, segment: str, least_per_class: int = 10) -> tuple[float, float, dict[str, float]]:
+    """calibrate, and an offset for each segment that has enough rows of both classes: a logistic fit of the label on a
+    constant beside the calibrated margin, by Newton steps on sums that Spark takes; the segments are few."""
+    slope, intercept = calibrate(scored, label, least_per_class)
+    y, margin = F.col(label).cast("double"), F.col("raw") * slope + intercept
+    counts = scored.groupBy(segment).agg(F.sum(y).alias("k"), F.count("*").alias("n")).collect()
+    offsets = {r[segment]: 0.0 for r in counts if min(r["k"], r["n"] - r["k"]) >= least_per_class}
+    for _ in range(6):
+        p = 1 / (1 + F.exp(-(margin + offset_column(segment, offsets))))
+        for r in scored.groupBy(segment).agg(F.sum(y - p).alias("g"), F.sum(p * (1 - p)).alias("h")).collect():
+            if r[segment] in offsets:
+                offsets[r[segment]] += r["g"] / (r["h"] + 1.0)  # drawn towards none, as by a unit prior
+    return slope, intercept, offsets
+
+
+def offset_column(segment: str, offsets: dict[str, float]) -> Column:
+    """Each row's offset, 0 where its segment has none."""
+    return F.coalesce(*[F.when(F.col(segment) == name, F.lit(value)) for name, value in sorted(offsets.items())], F.lit(0.0))
+
+
+def calibrated(raw: Column, slope: float, intercept: float, offset: Column | None = None) -> Column:
     from asoflow.functions.columns import stable_sigmoid
 
-    return stable_sigmoid(raw * slope + intercept)
+    margin = raw * slope + intercept
+    return stable_sigmoid(margin if offset is None else margin + offset)
+
+
+def node_table(nodes: Sequence[tuple]) -> pd.DataFrame:
+    """Nodes of trees (tree, node, feature or None, threshold, left, right, value); a row goes left where its feature is at most the threshold. Numbers of a tree's nodes follow one another from 0, the root."""
+    return pd.DataFrame(list(nodes), columns=["tree", "node", "feature", "threshold", "left", "right", "value"])
+
+
+def exported_nodes(model, features: Sequence[str]) -> pd.DataFrame:
+    """The trees of an MLlib forest as a node table, a model's size."""
+    rows: list[list] = []
+
+    def walk(tree: int, node, numbers: list[int]) -> int:
+        at, own = numbers[0], len(rows)
+        numbers[0] += 1
+        rows.append([tree, at, None, 0.0, -1, -1, float(node.prediction())])
+        if node.getClass().getSimpleName() == "InternalNode":
+            rows[own][2:4] = [features[node.split().featureIndex()], float(node.split().threshold())]
+            rows[own][4] = walk(tree, node.leftChild(), numbers)
+            rows[own][5] = walk(tree, node.rightChild(), numbers)
+        return at
+
+    for k, tree in enumerate(model.trees):
+        walk(k, tree._call_java("rootNode"), [0])
+    return node_table(rows)
+
+
+def portable_scores(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], intercept: float = 0.0, mean: bool = False, name: str = "p") -> DataFrame:
+    """Adds the intercept plus the sum (or the mean) of all trees' leaves, not below zero: a pandas UDF over batches, to which the node table travels once, walks all trees at once."""
+    nodes = nodes.sort_values(["tree", "node"])
+    roots = np.flatnonzero(nodes["node"].to_numpy() == 0)
+    base = np.repeat(roots, np.diff(np.append(roots, len(nodes))))
+    inner = nodes["feature"].notna().to_numpy()
+    feature = np.array([list(features).index(f) if ok else 0 for f, ok in zip(nodes["feature"], inner, strict=True)])
+    threshold, value = nodes["threshold"].to_numpy(float), nodes["value"].to_numpy(float)
+    left, right = base + nodes["left"].to_numpy(int), base + nodes["right"].to_numpy(int)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            x = np.stack([c.to_numpy(float) for c in columns], axis=1)
+            at = np.tile(roots, (len(x), 1))
+            while inner[at].any():
+                goes = np.take_along_axis(x, feature[at], axis=1) <= threshold[at]
+                at = np.where(inner[at], np.where(goes, left[at], right[at]), at)
+            leaves = value[at]
+            yield pd.Series(np.maximum(0.0, intercept + (leaves.mean(axis=1) if mean else leaves.sum(axis=1))))
+
+    return df.withColumn(name, score(*[F.col(f).cast("double") for f in features]))
 
 
 def isolation_forest(df: DataFrame, group: Sequence[str], features: Sequence[str], trees: int = 32, sample: int = 256, least: int = 64, seed: int = 7) -> DataFrame:
@@ -149,24 +218,28 @@ def isolation_scores(df: DataFrame, forest: DataFrame, group: Sequence[str], fea
 
 
 def permutation_importance(df: DataFrame, score, groups: dict[str, Sequence[str]], label: str, key: Sequence[str], rounds: int = 5) -> DataFrame:
-    """Rise of the Brier score when a group of features is shuffled among rows: feature, brier, rise.
+    """Rise of the Brier score and drop of the average precision when a group of features is shuffled among rows: feature, brier, brier_rise, average_precision, precision_drop, rounds.
 
     A shuffle is a join of two row numbers: each row takes the features of the row that has its number in another hash order. Numbers are dealt within 64 hash buckets, so no task numbers the whole.
     score: a function that adds p to a DataFrame.
     """
-    from asoflow.operators.metrics import brier
+    from asoflow.operators.metrics import average_precision, brier
 
-    def value(rows: DataFrame) -> float:
-        return brier(score(rows), [], "p", label).first()["brier"]
+    def value(rows: DataFrame) -> tuple[float, float]:
+        scored = score(rows).select("p", label).persist()
+        found = brier(scored, [], "p", label).first()["brier"], average_precision(scored, [], "p", label).first()["average_precision"]
+        scored.unpersist()
+        return found[0], float("nan") if found[1] is None else found[1]
 
     base, out = value(df), []
     for name, columns in groups.items():
-        rises = []
+        found = []
         for r in range(rounds):
             bucket = F.pmod(F.xxhash64(*key, F.lit(r)), F.lit(64))
             own = df.withColumn("_b", bucket)
             own = own.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*key)))
             other = own.select("_b", *columns, F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*key, F.lit(100 + r)), *key)).alias("_k"))
-            rises.append(value(own.drop(*columns).join(other, ["_b", "_k"]).drop("_b", "_k")))
-        out.append((name, base, float(np.mean(rises)) - base))
-    return df.sparkSession.createDataFrame(out, "feature string, brier double, rise double")
+            found.append(value(own.drop(*columns).join(other, ["_b", "_k"]).drop("_b", "_k")))
+        mean = np.mean(found, axis=0)
+        out.append((name, base[0], float(mean[0]) - base[0], base[1], base[1] - float(mean[1]), rounds))
+    return df.sparkSession.createDataFrame(out, "feature string, brier double, brier_rise double, average_precision double, precision_drop double, rounds int")

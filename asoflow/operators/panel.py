@@ -96,3 +96,20 @@ def window_tensor(df: DataFrame, origins: DataFrame, key: Sequence[str], day: st
     asked = origins.withColumn(day, F.explode(F.sequence(F.date_sub("origin", days - 1), F.col("origin"))))
     rows = asked.join(df, [*key, day], "left").groupBy(*key, "origin").agg(F.sort_array(F.collect_list(F.struct(day, value))).alias("_h"))  # so many days each
     return rows.select(*key, "origin", F.flatten(F.transform("_h", lambda x: F.array(F.coalesce(x[value], F.lit(0.0)), F.when(x[value].isNull(), 1.0).otherwise(0.0)))).alias("tensor"))
+
+
+def truth_windows(df: DataFrame, key: Sequence[str], day: str, least: int) -> DataFrame:
+    """Runs of at least so many days of a series, with their peak and kind: spillover if the product has a run at another place on any of its days, else paired if another channel of the place has, else alone.
+
+    key: product, location, channel. Runs are compared by their days: no run meets all others of its product.
+    """
+    product, location, channel = key
+    w = Window.partitionBy(*key).orderBy(day)
+    runs = df.withColumn("_g", F.date_sub(F.col(day), F.row_number().over(w))).groupBy(*key, "_g").agg(F.min(day).alias("start"), F.max(day).alias("end"), F.max("known").alias("known"), F.count("*").alias("n_days"), F.max("units").alias("peak"))
+    runs = runs.where(F.col("n_days") >= least).drop("_g")
+    days = runs.select(*key, "start", F.explode(F.sequence("start", "end")).alias(day))
+    places = days.groupBy(product, day).agg((F.count_distinct(location) > 1).alias("_spills"))
+    channels = days.groupBy(product, location, day).agg((F.count_distinct(channel) > 1).alias("_paired"))
+    flags = days.join(places, [product, day]).join(channels, [product, location, day]).groupBy(*key, "start").agg(F.bool_or("_spills").alias("_spills"), F.bool_or("_paired").alias("_paired"))
+    kind = F.when(F.col("_spills"), "spillover").when(F.col("_paired"), "paired").otherwise("alone")
+    return runs.join(flags, [*key, "start"]).withColumn("kind", kind).drop("_spills", "_paired")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-_BLOCK, _PARTS = 10_000, 64
+_QUERIES, _VECTORS = 1_000, 20_000  # of one block of a search
 
 
-def corpus_scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Content ids of texts with one kind of line end: how many documents each has and the first."""
+def corpus_scan(docs: DataFrame, id_col: str, text_col: str, excluded: Sequence[tuple[Column, str]] = ()) -> DataFrame:
+    """Content ids of texts with one kind of line end: how many documents each has, the first, how many different byte checksums they have, and the reason for which documents are left out (the first rule that holds, null if none)."""
+    from asoflow.functions.columns import first_reason
+
     content = F.sha2(F.regexp_replace(text_col, "\r\n?", "\n"), 256)
-    return docs.groupBy(content.alias("content_id")).agg(F.count("*").alias("n_documents"), F.min(id_col).alias("first_id"))
+    reason = first_reason(excluded) if excluded else F.lit(None).cast("string")
+    return docs.groupBy(content.alias("content_id"), reason.alias("reason")).agg(F.count("*").alias("n_documents"), F.min(id_col).alias("first_id"), F.count_distinct(F.sha2(text_col, 256)).alias("n_checksums"))
 
 
 def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,12 +76,27 @@ def pieces(blocks: DataFrame, keys: Sequence[str], text_col: str, limit: int) ->
     return blocks.select(*keys, text_col).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", piece int, text string")
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines of text as chunks: id, ordinal, text, checksum, bytes and a token estimate; blank ones go, repeats in a document are one chunk with its first ordinal and count."""
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("ordinal", "text")).where("length(trim(text)) > 0")
-    sized = lines.withColumn("checksum", F.sha2("text", 256))
-    grouped = sized.groupBy(id_col, "checksum").agg(F.min("ordinal").cast("long").alias("ordinal"), F.count("*").alias("occurrences"), F.max(F.octet_length("text")).cast("long").alias("n_bytes"))
-    return grouped.withColumn("tokens", F.ceil(F.col("n_bytes") / 4))
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """Chunks of documents: the bounded pieces of their blocks, each once per document.
+
+    id, chunk_id (of the document, heading path, kind and content), chunk_index (order of first occurrence, from
+    0), kind, path, text, checksum, tokens (ceil(bytes / 4)), occurrences (block and piece of each, in order). A document's chunks meet in one window.
+    """
+    blocks = markdown_blocks(docs, id_col, text_col)
+    cut = pieces(blocks, [id_col, "block", "kind", "path"], "text", limit).withColumn("checksum", F.sha2("text", 256))
+    cid = F.sha2(F.concat_ws("\x1f", F.col(id_col).cast("string"), "path", "kind", "checksum"), 256)
+    at = F.struct("block", "piece")
+    once = cut.withColumn("chunk_id", cid).groupBy(id_col, "chunk_id", "kind", "path", "checksum").agg(F.first("text").alias("text"), F.min(at).alias("_first"), F.sort_array(F.collect_list(at)).alias("occurrences"))
+    index = F.row_number().over(Window.partitionBy(id_col).orderBy("_first")) - 1
+    return once.withColumns({"chunk_index": index.cast("long"), "tokens": F.ceil(F.octet_length("text") / 4)}).drop("_first")
+
+
+def chunk_ordinals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines of text as chunks: id, checksum, ordinal (order of first occurrence among the document's distinct lines, from 0), occurrences (line numbers), bytes and a token estimate; blank lines go."""
+    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("_n", "_t")).where("length(trim(_t)) > 0")
+    grouped = lines.groupBy(id_col, F.sha2("_t", 256).alias("checksum")).agg(F.sort_array(F.collect_list(F.col("_n").cast("long"))).alias("occurrences"), F.max(F.octet_length("_t")).cast("long").alias("n_bytes"))
+    index = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("occurrences")[0])) - 1
+    return grouped.withColumns({"ordinal": index.cast("long"), "tokens": F.ceil(F.col("n_bytes") / 4)})
 
 
 def exact_duplicates(docs: DataFrame, id_col: str, text_col: str, fields: Sequence[str]) -> DataFrame:
@@ -85,72 +105,170 @@ def exact_duplicates(docs: DataFrame, id_col: str, text_col: str, fields: Sequen
     return groups.where("n_documents > 1")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest id reachable from every id that has an edge (a, b): id, component. Labels spread over the edges and jump to the label's label, a round is written before the next."""
+    edges = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels, before = edges.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")), None
+    while True:
+        labels = written(labels)
+        mark = labels.agg(F.sum("component"), F.count("*")).first()
+        if mark == before:
+            return labels
+        before = mark
+        own = labels.select(F.col("id").alias("b"), F.col("component").alias("_c"))
+        near = edges.join(own, "b").groupBy(F.col("a").alias("id")).agg(F.min("_c").alias("_n"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("_j"))
+        labels = labels.join(near, "id", "left").join(jump, "component", "left").select("id", F.least("component", "_n", "_j").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3, least_words: int = 12, threshold_bp: int = 8000) -> DataFrame:
-    """Pairs of documents with a Jaccard similarity of at least threshold_bp / 10000 over word shingles: a, b, similarity_bp.
+    """Documents linked by a Jaccard similarity of at least threshold_bp / 10000 over word shingles: id, class_id (smallest id of the same set), component_id (smallest id reachable).
 
-    Equal shingle sets are one row (class) while candidates are searched, and so appear as pairs of class
-    representatives; the classes come from near_duplicate_classes. A pair must share one of the first shingles of both in
-    order of hash, whose number follows from the threshold, so only those are joined.
+    Words are runs of letters and digits of the text after NFKC and case folding; documents with fewer than
+    least_words are left out. Equal sets are one class. Shingles are ordered from the rarest; two sets that are similar enough
+    share one of the first few, whose number follows from the threshold. Each class first meets the class that leads such a
+    shingle (the longest); linked classes become one component, and then only classes of different components meet, so a group
+    of near copies is never expanded into all its pairs.
     """
     from pyspark.ml.feature import NGram
 
-    split = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    from asoflow.functions.columns import nfkc_casefold
+
+    split = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(nfkc_casefold(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where(F.size("w") >= least_words)
     grams = NGram(n=words, inputCol="w", outputCol="g").transform(split)
-    sets = grams.select("id", F.array_sort(F.array_distinct(F.transform("g", lambda x: F.xxhash64(x)))).alias("h")).where(F.size("h") >= least_words - words + 1)
-    reps = sets.groupBy("h").agg(F.min("id").alias("id")).withColumn("n", F.size("h"))
-    first = F.slice("h", 1, (F.col("n") - F.ceil(F.col("n") * threshold_bp / 10000) + 1).cast("int"))
-    heads = reps.select("id", "n", F.explode(first).alias("x"))
-    a, b = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), "x"), heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), "x")
-    fits = (F.col("a") < F.col("b")) & (F.col("na") * 10000 >= F.col("nb") * threshold_bp) & (F.col("nb") * 10000 >= F.col("na") * threshold_bp)
-    met = a.join(b, "x").where(fits).select("a", "b").distinct()
-    full = reps.select("id", "h")
-    both = met.join(full.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(full.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    scored = both.select("a", "b", F.floor(common * 10000 / (F.size("ha") + F.size("hb") - common)).alias("similarity_bp"))
-    return scored.where(F.col("similarity_bp") >= threshold_bp)
+    sets = grams.select("id", F.array_sort(F.array_distinct(F.transform("g", lambda x: F.xxhash64(x)))).alias("h")).where(F.size("h") > 0)
+    sets = written(sets.withColumn("d", F.sha2(F.to_json("h"), 256)))
+    classes = sets.groupBy("d").agg(F.min("id").alias("class"), F.first("h").alias("h"))
+    classes = written(classes.withColumn("n", F.size("h")))
+    cells = classes.select("class", "n", F.explode("h").alias("x"))
+    rare = cells.groupBy("x").agg(F.count("*").alias("f"))
+    ordered = cells.join(rare.where("f > 1"), "x").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("o"))
+    # a class has so many shingles that it may miss, less those that no one shares
+    width = F.col("n") - F.ceil(F.col("n") * threshold_bp / 10000) + 1 - (F.col("n") - F.size("o"))
+    heads = written(ordered.where(width > 0).select("class", "n", F.explode(F.slice("o", 1, width.cast("int"))).alias("c")).select("class", "n", "c.x"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        full = classes.select(F.col("class"), "h")
+        both = pairs.join(full.select(F.col("class").alias("a"), F.col("h").alias("ha")), "a").join(full.select(F.col("class").alias("b"), F.col("h").alias("hb")), "b")
+        common = F.size(F.array_intersect("ha", "hb"))
+        return both.where(common * 10000 >= threshold_bp * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+
+    fits = (F.col("na") * 10000 >= F.col("nb") * threshold_bp) & (F.col("nb") * 10000 >= F.col("na") * threshold_bp)
+    one, two = heads.select(F.col("class").alias("a"), F.col("n").alias("na"), "x"), heads.select(F.col("class").alias("b"), F.col("n").alias("nb"), "x")
+    lead = heads.groupBy("x").agg(F.max(F.struct("n", (-F.col("class")).alias("m"))).alias("s")).select("x", F.col("s.n").alias("nb"), (-F.col("s.m")).alias("b"))
+    first = written(verified(one.join(lead, "x").where(fits & (F.col("a") != F.col("b"))).select("a", "b").distinct()))
+    named = components(first)
+    placed = written(heads.join(named.withColumnRenamed("id", "class"), "class", "left").withColumn("c", F.coalesce("component", "class")).drop("component"))
+    mixed = placed.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("x")
+    one, two = (placed.join(mixed, "x", "left_semi").select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"), "x") for k in "ab")
+    rest = one.join(two, "x").where(fits & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
+    final = components(first.union(verified(rest)))
+    out = sets.select("id", "d").join(classes.select("d", "class"), "d").join(final.withColumnRenamed("id", "class"), "class", "left")
+    return out.select("id", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a folder that all executors share, and read back."""
+    from asoflow.sources.scratch import scratch
+
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: int) -> DataFrame:
     """The k best chunks of each query by exact cosine, at most per_document of one document; ties to the smaller id.
 
-    chunks: id, document, v. queries: query_id, v, any number: up to _BLOCK are broadcast, more meet
-    the chunks in blocks of about that many, each of them in _PARTS pieces of the chunks.
+    chunks: id, document, v. queries: query_id, v; any number of both. They meet in blocks by matrix products, and a
+    block returns k rows a query, which are enough: what comes after them in the block comes after as many in the
+    whole. Scores are rounded to six places before they are compared.
     """
-    from asoflow.functions.columns import dot, norm
-
-    q = queries.select("query_id", F.col("v").alias("qv"), norm(F.col("v")).alias("qn"))
-    c, other = chunks.withColumn("vn", norm(F.col("v"))), F.col("id") != F.col("query_id")
-    n = queries.count()
-    if n <= _BLOCK:
-        scored = c.join(F.broadcast(q), other)
-    else:
-        blocks = -(-n // _BLOCK)
-        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
-        c = c.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        scored = c.join(q, ["_block", "_part"]).where(other)
-    scored = scored.select("query_id", "id", "document", F.round(dot(F.col("v"), F.col("qv")) / (F.col("vn") * F.col("qn")), 6).alias("score"))
+    blocks, asks = max(1, -(-chunks.count() // _VECTORS)), max(1, -(-queries.count() // _QUERIES))
+    document = dict(chunks.dtypes)["document"]
+    v = F.col("v").cast("array<double>").alias("v")
+    side = chunks.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"), F.lit(False).alias("ask"), "id", "document", v)
+    other = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int").alias("q"), F.lit(True).alias("ask"), F.col("query_id").alias("id"), F.lit(None).cast(document).alias("document"), v)
+
+    def best(table: pa.Table) -> pa.Table:
+        ask = table.column("ask").to_numpy()
+        asked, pool = table.filter(pa.array(ask)), table.filter(pa.array(~ask))
+        found: dict[str, list] = {"query_id": [], "id": [], "document": [], "score": []}
+        if len(asked) and len(pool):
+            x, y = (np.stack([np.asarray(r, float) for r in t.column("v").to_pylist()]) for t in (asked, pool))
+            ids, documents, own = pool.column("id").to_numpy(), pool.column("document").to_pylist(), asked.column("id").to_numpy()
+            scores = np.round((x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1)), 6)
+            for q, row in zip(own, scores, strict=True):
+                row = np.where(ids == q, -np.inf, row)
+                wide, picked = 8 * k, []
+                while True:  # the best rows by score; more, if one document has too many of them
+                    least = np.partition(row, -wide)[-wide] if wide < len(row) else -np.inf
+                    at = np.flatnonzero(np.isfinite(row) & (row >= least))
+                    picked, held = [], {}
+                    for i in at[np.lexsort((ids[at], -row[at]))]:
+                        if held.setdefault(documents[i], 0) < per_document:
+                            held[documents[i]] += 1
+                            picked.append(i)
+                            if len(picked) == k:
+                                break
+                    if len(picked) == k or least == -np.inf:
+                        break
+                    wide *= 4
+                found["query_id"] += [int(q)] * len(picked)
+                found["id"] += ids[picked].tolist()
+                found["document"] += [documents[i] for i in picked]
+                found["score"] += row[picked].tolist()
+        return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "id": pa.array(found["id"], pa.int64()), "document": pa.array(found["document"], table.schema.field("document").type), "score": pa.array(found["score"], pa.float64())})
+
+    hits = side.unionByName(other).groupBy("c", "q").applyInArrow(best, f"query_id long, id long, document {document}, score double")
     order = (F.desc("score"), F.asc("id"))
-    kept = scored.withColumn("_d", F.row_number().over(Window.partitionBy("query_id", "document").orderBy(*order))).where(F.col("_d") <= per_document)
+    kept = hits.withColumn("_d", F.row_number().over(Window.partitionBy("query_id", "document").orderBy(*order))).where(F.col("_d") <= per_document)
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rank") <= k).drop("_d")
 
 
-def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
-    """recall at k and mean reciprocal rank over queries: hits (query_id, id, rank), relevant (query_id, id)."""
-    met = relevant.join(hits.where(F.col("rank") <= k), ["query_id", "id"], "left")
-    each = met.groupBy("query_id").agg((F.count("rank") / F.count("*")).alias("r"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
-    return each.agg(F.count("*").alias("n_queries"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"))
-
+def retrieval_metrics(hits: DataFrame, cases: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """One row over all cases: recall at k and mean reciprocal rank, how many citations stand, and how many cases and critical cases pass.
 
-def diversify(hits: DataFrame, least: float, budget: int, size_col: str) -> DataFrame:
-    """Best hit of each repository first, then of each document, then the rest, while the running size fits the budget. hits: query_id, id, repository, document, score."""
+    hits: query_id, id, rank. cases: query_id, wanted and forbidden (groups of chunks), n_wanted (how many chunks it wants), critical.
+    chunks: id, grp; a hit that isn't there is a citation that doesn't stand. A case passes if no hit is forbidden, all
+    citations stand and at least one wanted chunk is found. Latency isn't data and is left out.
+    """
+    met = hits.where(F.col("rank") <= k).join(chunks.select("id", "grp"), "id", "left")
+    joined = cases.join(met, "query_id", "left")
+    good = F.col("grp").eqNullSafe(F.col("wanted"))
+    each = joined.groupBy("query_id", "n_wanted", "critical").agg(
+        F.count_if(good).alias("found"), F.coalesce(1 / F.min(F.when(good, F.col("rank"))), F.lit(0.0)).alias("rr"), F.count_if(F.col("grp") == F.col("forbidden")).alias("banned"),
+        F.count("id").alias("cited"), F.count("grp").alias("bound"),
+    )
+    passed = (F.col("banned") == 0) & (F.col("cited") == F.col("bound")) & (F.col("found") > 0)
+    return each.agg(
+        F.count("*").alias("n_queries"), F.round(F.avg(F.try_divide("found", "n_wanted")), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.count_if(F.col("banned") == 0).alias("n_clean"),
+        F.round(F.try_divide(F.sum("bound"), F.sum("cited")), 6).alias("citation_rate"), F.count_if(passed).alias("n_passed"), F.round(F.try_divide(F.count_if(passed & F.col("critical")), F.count_if(F.col("critical"))), 6).alias("critical_pass_rate"),
+    )
+
+
+def diversify(hits: DataFrame, least: float, budget: int, size_col: str, most: int, per_document: int) -> DataFrame:
+    """The best hit of each repository first, then of each document not there yet, then the rest: in this order hits are taken as long as there are fewer than `most`, skipping those that don't fit the size budget or whose document has enough.
+
+    hits: query_id, id, repository, document, score and the size. Returns query_id, id, tier, used (size so far). A query's hits, few by the search's k, are folded in one row.
+    """
     hits = hits.where(F.col("score") >= least)
     order = (F.desc("score"), F.asc("id"))
     r = F.row_number().over(Window.partitionBy("query_id", "repository").orderBy(*order))
     d = F.row_number().over(Window.partitionBy("query_id", "document").orderBy(*order))
-    tiered = hits.withColumns({"_r": r, "_d": d}).withColumn("tier", F.when(F.col("_r") == 1, 0).when(F.col("_d") == 1, 1).otherwise(2))
-    w = Window.partitionBy("query_id").orderBy("tier", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tiered.withColumn("used", F.sum(size_col).over(w)).where(F.col("used") <= budget).drop("_r", "_d")
+    there = F.max((F.col("_r") == 1).cast("int")).over(Window.partitionBy("query_id", "document")) == 1
+    tiered = hits.withColumns({"_r": r, "_d": d}).withColumn("tier", F.when(F.col("_r") == 1, 0).when((F.col("_d") == 1) & ~there, 1).otherwise(2))
+    row = F.struct("tier", (-F.col("score")).alias("s"), "id", F.col("document").cast("string").alias("document"), F.col(size_col).cast("long").alias("size"))
+    queue = tiered.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("_q"))
+    kind = "array<struct<tier:int,id:bigint,document:string,used:bigint>>"
+
+    def take(state: Column, x: Column) -> Column:
+        fits = (state["used"] + x["size"] <= budget) & (F.size(state["hits"]) < most) & (F.size(F.filter(state["hits"], lambda h: h["document"].eqNullSafe(x["document"]))) < per_document)
+        hit = F.struct(x["tier"].alias("tier"), x["id"].alias("id"), x["document"].alias("document"), (state["used"] + x["size"]).alias("used"))
+        return F.struct(F.when(fits, state["used"] + x["size"]).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["hits"], F.array(hit))).otherwise(state["hits"]).alias("hits"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("hits"))
+    return queue.select("query_id", F.inline(F.aggregate("_q", start, take)["hits"])).select("query_id", "id", "tier", "used")
 
 
 def index_violations(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
@@ -163,7 +281,33 @@ def index_violations(chunks: DataFrame, vectors: DataFrame, dimension: int) -> D
     return bad.union(ids.join(own, "id", "left_anti").select("id", F.lit("no_vector"))).union(own.join(ids, "id", "left_anti").select("id", F.lit("no_chunk")))
 
 
+def hash_numbers(text: Column, size: int) -> Column:
+    """Numbers from -1 up to 1 that the text's digest decides."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(F.sha2(F.concat(i.cast("string"), F.lit(":"), text), 256), 1, 8), 16, 10).cast("double") / 2147483648.0 - 1)
+
+
 def hash_embedding(text: Column, size: int = 8) -> Column:
     """A unit vector that the text's digest decides, for tests."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(F.sha2(F.concat(i.cast("string"), F.lit(":"), text), 256), 1, 8), 16, 10).cast("double") / 2147483648.0 - 1)
+    raw = hash_numbers(text, size)
     return F.transform(raw, lambda x: x / F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, y: a + y * y)))
+
+
+def embedded_once(rows: DataFrame, checksum: str, text: str, embed: Callable[[Column], Column], name: str) -> DataFrame:
+    """rows with the embedding of their text, made once for each distinct checksum, and n_shared, how many rows share it."""
+    distinct = rows.groupBy(checksum).agg(F.count("*").alias("n_shared"), F.min(text).alias("_t"))
+    return rows.drop(text).join(distinct.withColumn(name, embed(F.col("_t"))).drop("_t"), checksum)
+
+
+@F.udtf(returnType="piece int, text string")
+class chunk_text:  # noqa: N801  a table function of SQL
+    """bounded_pieces of a text under a limit of bytes, with their ordinals."""
+
+    def eval(self, text: str, limit: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(bounded_pieces(text or "", limit))
+
+
+def within_budget(df: DataFrame, budget: int) -> DataFrame:
+    """df itself if it has at most budget rows, else an error: reads at most one row more than that to tell."""
+    if df.limit(budget + 1).count() > budget:
+        raise ValueError(f"more than {budget} rows")
+    return df

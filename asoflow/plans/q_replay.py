@@ -103,10 +103,16 @@ def _(spark, d):
     return s.unionByName(r).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("tx03_chunk_table", """with l as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as o from documents)
-    select doc_id, sha256(text) as checksum, min(o) as ordinal, count(*) as occurrences, max(strlen(text)) as n_bytes, cast(ceil(max(strlen(text)) / 4) as bigint) as tokens from l where length(trim(text)) > 0 group by all""")
+@query("tx03_chunk_table")
 def _(spark, d):
-    return T.paragraphs(table(spark, d, "documents"), "doc_id", "text")
+    c = T.chunk_table(table(spark, d, "documents"), "doc_id", "text", 1200)
+    return c.select("doc_id", "chunk_id", "chunk_index", "kind", "path", "checksum", "tokens", F.size("occurrences").alias("n_occurrences"), F.col("occurrences")[0]["block"].cast("long").alias("first_block"))
+
+
+@query("wn19_chunk_ordinals", """with l as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents), g as (select doc_id, sha256(text) as checksum, list(n order by n) as occurrences, max(strlen(text)) as n_bytes, min(n) as first from l where length(trim(text)) > 0 group by all)
+    select doc_id, checksum, occurrences, n_bytes, cast(ceil(n_bytes / 4) as bigint) as tokens, row_number() over (partition by doc_id order by first) - 1 as ordinal from g""")
+def _(spark, d):
+    return T.chunk_ordinals(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("tx04_exact_duplicates", "select sha256(text) as checksum, count(*) as n_documents, min(doc_id) as first_id, count(distinct source) as n_source, count(distinct lang) as n_lang from documents group by 1 having count(*) > 1")
@@ -114,17 +120,20 @@ def _(spark, d):
     return T.exact_duplicates(table(spark, d, "documents"), "doc_id", "text", ["source", "lang"])
 
 
-@query("tx05_near_duplicates", """with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents), s as (select doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s from w where len(w) >= 12),
-    s10 as (select * from s where len(s) >= 10), r as (select min(doc_id) as id, s from s10 group by s), x as (select id, len(s) as n, unnest(s) as g from r), p as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from x a join x b on a.g = b.g and a.id < b.id group by all)
-    select a, b, cast(floor(i * 10000 / (na + nb - i)) as bigint) as similarity_bp from p where floor(i * 10000 / (na + nb - i)) >= 8000""")
+@query("tx05_near_duplicates", """with recursive w as (select doc_id, regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\\p{L}\\p{N}]+') as w from documents), s as (select doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s from w where len(w) >= 12),
+    r as (select min(doc_id) as id, s from s group by s), x as (select id, len(s) as n, unnest(s) as g from r), p as (select a.id as a, b.id as b from x a join x b on a.g = b.g and a.id < b.id and b.n >= 0.8 * a.n and a.n >= 0.8 * b.n group by all having 18000 * count(*) >= 8000 * (any_value(a.n) + any_value(b.n))),
+    e as (select a, b from p union select b, a from p), k as (select id, id as c from r union select e.b, k.c from k join e on e.a = k.id), m as (select id, min(c) as c from k group by 1)
+    select s.doc_id as id, r.id as class_id, m.c as component_id from s join r on r.s = s.s join m on m.id = r.id""")
 def _(spark, d):
     return T.near_duplicates(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("tx07_embedding_cache", "select count(*) as n_chunks, count(distinct sha256(text)) as n_embedded, count(*) - count(distinct sha256(text)) as n_saved from conversations")
+@query("tx07_embedding_cache", """with c as (select conv_id, turn, sha256(text) as checksum, text from conversations), e as (select checksum, min(text) as text, count(*) as n from c group by 1)
+    select conv_id, turn, c.checksum, n as n_shared, list_transform(range(0, 2), lambda i: round(cast(('0x' || substr(sha256(i || ':' || e.text), 1, 8))::bigint as double) / 2147483648.0 - 1, 6)) as raw from c join e using (checksum)""")
 def _(spark, d):
-    c = table(spark, d, "conversations").groupBy(F.sha2("text", 256).alias("checksum")).agg(F.count("*").alias("n"))
-    return c.agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_embedded"), (F.sum("n") - F.count("*")).alias("n_saved"))
+    """Every distinct text is embedded once and joined back to all its turns."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("checksum"), "text")
+    return T.embedded_once(c, "checksum", "text", lambda x: F.transform(T.hash_numbers(x, 2), lambda y: F.round(y, 6)), "raw").select("conv_id", "turn", "checksum", "n_shared", "raw")
 
 
 _COS = """v as (select vec_id as id, vec_id % 7 as document, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), q as (select * from v where id % 50 = 0),
@@ -142,20 +151,26 @@ def _(spark, d):
     return _found(spark, d, 10)
 
 
-@query("tx09_diversify", f"""with {_COS}, h as (select r.*, e.label as repository, 100 + r.id % 50 as size from r join embeddings e on e.vec_id = r.id where rank <= 12 and score >= 0.0), t as (select *, case when row_number() over (partition by query_id, repository order by score desc, id) = 1 then 0 when row_number() over (partition by query_id, document order by score desc, id) = 1 then 1 else 2 end as tier from h)
-    select query_id, id, tier, used from (select *, cast(sum(size) over (partition by query_id order by tier, score desc, id rows unbounded preceding) as bigint) as used from t) where used <= 800""")
+@query("tx09_diversify", f"""with recursive {_COS}, h as (select r.*, e.label as repository, 100 + r.id % 7 * 60 as size from r join embeddings e on e.vec_id = r.id where rank <= 12 and score >= 0.0), n as (select *, row_number() over (partition by query_id, repository order by score desc, id) as rr, row_number() over (partition by query_id, document order by score desc, id) as dd from h),
+    t as (select *, case when rr = 1 then 0 when dd = 1 and max(case when rr = 1 then 1 else 0 end) over (partition by query_id, document) = 0 then 1 else 2 end as tier from n), o as (select *, row_number() over (partition by query_id order by tier, score desc, id) as place from t),
+    f as (select query_id, 0 as place, 0 as used, []::bigint[] as docs, false as fits, null::bigint as id, null::integer as tier from (select distinct query_id from o) union all
+    select f.query_id, o.place, case when g then f.used + o.size else f.used end, case when g then list_append(f.docs, o.document) else f.docs end, g, o.id, o.tier from f join (select * from o) o on o.query_id = f.query_id and o.place = f.place + 1 cross join lateral (select f.used + o.size <= 1000 and len(f.docs) < 5 and len(list_filter(f.docs, lambda x: x = o.document)) < 2 as g))
+    select query_id, id, tier, cast(used as bigint) as used from f where fits""")
 def _(spark, d):
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("repository"))
-    h = _found(spark, d, 12).join(labels, "id").withColumn("size", 100 + F.col("id") % 50)
-    return T.diversify(h, 0.0, 800, "size").select("query_id", "id", "tier", "used")
+    h = _found(spark, d, 12).join(labels, "id").withColumn("size", 100 + F.col("id") % 7 * 60)
+    return T.diversify(h, 0.0, 1000, "size", 5, 2)
 
 
-@query("tx10_retrieval_metrics", f"with {_COS}, rel as (select q.id as query_id, e.vec_id as id from q join embeddings l on l.vec_id = q.id join embeddings e on e.label = l.label and e.vec_id <> q.id and e.vec_id % 5 = 0), m as (select query_id, count(rank) / count(*) as r, coalesce(1 / min(rank), 0.0) as rr from rel left join (select * from r where rank <= 5) using (query_id, id) group by 1) select count(*) as n_queries, round(avg(r), 6) as recall, round(avg(rr), 6) as mrr from m")
+@query("tx10_retrieval_metrics", f"""with {_COS}, g as (select label, count(*) as n from embeddings group by 1), cases as (select q.id as query_id, e.label as wanted, (e.label + 1) % 10 as forbidden, g.n - 1 as n_wanted, q.id % 100 = 0 as critical from q join embeddings e on e.vec_id = q.id join g on g.label = e.label),
+    m as (select cases.query_id, n_wanted, critical, count(case when c.label = wanted then 1 end) as found, coalesce(1 / min(case when c.label = wanted then rank end), 0.0) as rr, count(case when c.label = forbidden then 1 end) as banned, count(r.id) as cited, count(c.label) as bound from cases left join (select * from r where rank <= 5) r on r.query_id = cases.query_id left join (select * from embeddings where vec_id % 41 <> 0) c on c.vec_id = r.id group by all)
+    select count(*) as n_queries, round(avg(found / nullif(n_wanted, 0)), 6) as recall, round(avg(rr), 6) as mrr, count(case when banned = 0 then 1 end) as n_clean, round(sum(bound) / sum(cited), 6) as citation_rate, count(case when banned = 0 and cited = bound and found > 0 then 1 end) as n_passed, round(count(case when critical and banned = 0 and cited = bound and found > 0 then 1 end) / nullif(count(case when critical then 1 end), 0), 6) as critical_pass_rate from m""")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
-    rel = e.where("id % 5 = 0").join(q, "label").where("id <> query_id").select("query_id", "id")
-    return T.retrieval_metrics(_found(spark, d, 5), rel)
+    """A query wants the vectors of its own label and may not get those of the next; some chunks are gone, so that citations to them don't stand."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"))
+    sizes = e.groupBy("grp").agg((F.count("*") - 1).alias("n_wanted"))
+    cases = e.where("id % 50 = 0").join(sizes, "grp").select(F.col("id").alias("query_id"), F.col("grp").alias("wanted"), ((F.col("grp") + 1) % 10).alias("forbidden"), "n_wanted", (F.col("id") % 100 == 0).alias("critical"))
+    return T.retrieval_metrics(_found(spark, d, 5), cases, e.where("id % 41 <> 0"))
 
 
 @query("tx11_index_validation", "select vec_id as id, 'no_chunk' as reason from embeddings where vec_id not in (select doc_id from documents where doc_id % 3 <> 0) union all select doc_id, 'no_vector' from documents where doc_id % 3 <> 0 and doc_id not in (select vec_id from embeddings)")
@@ -164,7 +179,13 @@ def _(spark, d):
     return T.index_violations(chunks, table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 64)
 
 
-@query("tx01_markdown_blocks")
+@query("tx01_markdown_blocks", r"""with l as (select doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) as n from documents),
+    f as (select *, regexp_matches(line, '^\s*(```|~~~)') as fence, sum(case when regexp_matches(line, '^\s*(```|~~~)') then 1 else 0 end) over (partition by doc_id order by n) as k from l), c as (select *, fence or k % 2 = 1 as code from f),
+    t as (select *, case when code then 'code' when regexp_matches(line, '^#{1,6}\s') then 'heading' when trim(line) = '' or regexp_matches(trim(line), '^(<!--.*-->|(-\s*){3,}|(\*\s*){3,}|(_\s*){3,})$') then 'gap' else 'text' end as kind, case when not code then length(regexp_extract(line, '^(#{1,6})\s', 1)) end as level from c),
+    b as (select *, sum(case when before is null or before <> kind or kind = 'heading' then 1 else 0 end) over (partition by doc_id order by n) as block from (select *, lag(kind) over (partition by doc_id order by n) as before from t)),
+    h as (select *, """ + ", ".join(f"max(case when kind = 'heading' and level = {k} then {{'n': n, 't': regexp_replace(line, '^#+\\s+', '')}} end) over w as h{k}, max(case when kind = 'heading' and level < {k} then n end) over w as r{k}" for k in range(1, 7)) + r""" from b window w as (partition by doc_id order by n rows unbounded preceding)),
+    p as (select *, concat_ws(' > ', """ + ", ".join(f"case when r{k} is null or h{k}.n > r{k} then h{k}.t end" for k in range(1, 7)) + """) as path from h)
+    select doc_id, cast(block as bigint) as block, kind, max_by(path, n) as path, sha256(string_agg(line, chr(10) order by n)) as checksum from p where kind in ('code', 'text') group by doc_id, block, kind""")
 def _(spark, d):
     return T.markdown_blocks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "block", "kind", "path", F.sha2("text", 256).alias("checksum"))
 
@@ -175,12 +196,12 @@ def _(spark, d):
     return p.select("doc_id", "piece", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("checksum"))
 
 
-@query("tx06_hash_embedding")
+@query("tx06_hash_embedding", """with n as (select doc_id, list_transform(range(0, 8), lambda i: cast(('0x' || substr(sha256(i || ':' || text), 1, 8))::bigint as double) / 2147483648.0 - 1) as v from documents) select doc_id, round(1.0, 6) as norm, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) as v from n""")
 def _(spark, d):
     from asoflow.functions.columns import norm
 
-    v = table(spark, d, "benchmark").select("item_id", T.hash_embedding(F.col("text")).alias("v"))
-    return v.select("item_id", F.round(norm(F.col("v")), 6).alias("norm"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    v = table(spark, d, "documents").select("doc_id", T.hash_embedding(F.col("text")).alias("v"))
+    return v.select("doc_id", F.round(norm(F.col("v")), 6).alias("norm"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
 @query("ud01_nfkc_casefold")
@@ -188,3 +209,24 @@ def _(spark, d):
     from asoflow.functions.columns import nfkc_casefold
 
     return table(spark, d, "documents").select("doc_id", F.sha2(nfkc_casefold(F.col("text")), 256).alias("checksum"))
+
+
+@query("ud02_chunk_text")
+def _(spark, d):
+    """The pieces of every text by a table function, in SQL."""
+    spark.udtf.register("chunk_text", T.chunk_text)
+    table(spark, d, "documents").createOrReplaceTempView("ud02_documents")
+    return spark.sql("select doc_id, p.piece, octet_length(p.text) as n_bytes, sha2(p.text, 256) as checksum from ud02_documents, lateral chunk_text(coalesce(ud02_documents.text, ''), 1200) p")
+
+
+@query("so02_bounded_limits", "select name, budget, n_rows, case when n_rows > budget then 'over_budget' else 'within' end as status from (select 'orders' as name, count(*) as n_rows from orders union all select 'nation', count(*) from nation union all select 'documents', count(*) from documents) cross join (select unnest([25, 1000, 100000000])::bigint as budget)")
+def _(spark, d):
+    """Row budgets: reading one row more than allowed tells whether a table keeps it; a table that doesn't is refused, not cut."""
+    rows = []
+    for name in ("orders", "nation", "documents"):
+        for budget in (25, 1000, 100_000_000):
+            try:
+                rows.append((name, budget, T.within_budget(table(spark, d, name), budget).count(), "within"))
+            except ValueError:
+                rows.append((name, budget, table(spark, d, name).count(), "over_budget"))
+    return spark.createDataFrame(rows, "name string, budget long, n_rows long, status string")

@@ -26,13 +26,15 @@ def _(spark, d):
     return bad.groupBy(F.col("expected_day").cast("date").alias("expected_day")).agg(F.count("*").alias("n_rows"))
 
 
+_LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+_LINE_CELLS = "concat_ws(chr(31), " + ", ".join(f"coalesce('=' || cast({c} as varchar), '~')" for c in sorted(_LINE)) + ")"
 _CELLS = "concat_ws(chr(31), coalesce('=' || cast(n_name as varchar), '~'), coalesce('=' || cast(n_nationkey as varchar), '~'), coalesce('=' || cast(n_regionkey as varchar), '~'))"
 
 
 @query("src03_content_digest", f"""select count(*) as n_rows, cast(sum(cast(('0x' || substr(h, 1, 12))::bigint as hugeint)) as varchar) as digest_a,
-    cast(sum(cast(('0x' || substr(h, 13, 12))::bigint as hugeint)) as varchar) as digest_b from (select sha256({_CELLS}) as h from nation)""")
+    cast(sum(cast(('0x' || substr(h, 13, 12))::bigint as hugeint)) as varchar) as digest_b from (select sha256({_LINE_CELLS}) as h from lineitem)""")
 def _(spark, d):
-    return S.content_digest(table(spark, d, "nation"))
+    return S.content_digest(table(spark, d, "lineitem").select(*_LINE))
 
 
 @query("src04_field_ranges", """select 'l_shipdate' as field, min(cast(l_shipdate as date)) as first_day, max(cast(l_shipdate as date)) as last_day, count(l_shipdate) as n_values from lineitem""")
@@ -52,11 +54,11 @@ def _(spark, d):
 
 
 @query("src12_result_events", sql("""select sha256(product || '|' || location || '|' || channel) as partition_key, sha256('forecast|' || product || '|' || location || '|' || channel || '|' || cast(origin as varchar) || '|' || h) as event_id,
-    'forecast' as kind, cast(target as varchar) as target_day, p from forecasts where p is not null and origin < date '1998-04-01'""", "forecasts"))
+    'forecast' as kind, cast(target as varchar) as target_day, p from forecasts where p is not null""", "forecasts"))
 def _(spark, d):
     from asoflow.sources.adapters import forecasts
 
-    return S_result_events(forecasts(spark, d).where("p is not null and origin < date'1998-04-01'"), "forecast", SERIES, ["origin", "h"]).select("partition_key", "event_id", "kind", F.col("target").cast("string").alias("target_day"), "p")
+    return S_result_events(forecasts(spark, d).where("p is not null"), "forecast", SERIES, ["origin", "h"]).select("partition_key", "event_id", "kind", F.col("target").cast("string").alias("target_day"), "p")
 
 
 def S_result_events(df, kind, key, version):
@@ -65,11 +67,11 @@ def S_result_events(df, kind, key, version):
     return result_events(df, kind, key, version)
 
 
-@query("src13_corpus_scan", """select sha256(text) as content_id, count(*) as n_documents, min(doc_id) as first_id from documents group by 1""")
+@query("src13_corpus_scan", """select sha256(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')) as content_id, case when length(text) < 100 then 'too_short' when source = 'src3' then 'excluded_source' end as reason, count(*) as n_documents, min(doc_id) as first_id, count(distinct sha256(text)) as n_checksums from documents group by all""")
 def _(spark, d):
     from asoflow.operators.text import corpus_scan
 
-    return corpus_scan(table(spark, d, "documents"), "doc_id", "text")
+    return corpus_scan(table(spark, d, "documents"), "doc_id", "text", [(F.length("text") < 100, "too_short"), (F.col("source") == "src3", "excluded_source")])
 
 
 @query("prj01_normalize", "select c_custkey, lower(trim(c_mktsegment)) as segment, upper(trim(c_name)) as name from customer")

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """Under spark.checkpoint.dir; a local temporary folder only where that is unset (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """Under spark.checkpoint.dir. Where that is unset, a local temporary folder on a local master (tests, one machine); on a cluster an error, since executors would write where no other one can read."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/asoflow-{uuid.uuid4().hex}"

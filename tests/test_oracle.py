@@ -4,6 +4,8 @@ from oracle import compare, connect
 from asoflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: queries of faults that the smallest tables may not have
+EMPTY: set[str] = set()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
@@ -15,9 +17,11 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, name):
     found = compare(spark, con, SF, QUERIES[name], SQL[name])
-    assert found is None or found == "no rows", found
+    assert found is None or (found == "no rows" and name in EMPTY), found
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    rows = QUERIES[name](spark, SF)
+    found = rows.collect()
+    assert found and all(any(v is not None for v in r) for r in found)
