@@ -86,7 +86,7 @@ def derivatives(found: DataFrame) -> DataFrame:
             F.octet_length(F.coalesce("payload", F.lit(""))).alias("payload_length"),
             F.regexp_extract(F.coalesce("payload", F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"),
             F.size(F.regexp_extract_all(F.coalesce("payload", F.lit("")), F.lit(r"(?i)<a\s[^>]*href"), F.lit(0))).alias("links"),
-            F.split(F.trim("http_headers"), "\r\n").alias("http_headers"),
+            F.split(F.regexp_replace("http_headers", r"[\r\n]+$", ""), "\r\n").alias("http_headers"),
         )
     )
     kinds = F.array(
