@@ -48,11 +48,12 @@ def char_grams(text: Column, sizes: Sequence[int]) -> Column:
     """All character n-grams of these sizes, with marks for the ends. The text is cut into characters once, so the work is linear in its length; a text shorter than a size gives itself."""
     chars = F.regexp_extract_all(F.concat(F.lit("\x02"), text, F.lit("\x03")), F.lit("(?s)."), F.lit(0))
 
-    def of_size(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+    def of_size(c: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
 
-    return F.concat(*[of_size(n) for n in sizes])
+    # as the variable of an outer function the characters are cut out once, not once for each n-gram
+    return F.flatten(F.transform(F.array(chars), lambda c: F.concat(*[of_size(c, n) for n in sizes])))
 
 
 class UrlClassifier:
