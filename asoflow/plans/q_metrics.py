@@ -277,7 +277,7 @@ def _(spark, d):
 
 _REQUIRED = "('all'), ('segment:en'), ('segment:fr'), ('segment:de'), ('segment:es'), ('segment:xx')"
 _TAGGED = "select 'all' as segment, p, y from scores union all select 'segment:' || segment, p, y from scores where segment is not null"
-_AP = "select segment, sum(t * ct / cn) / sum(t) as ap from (select *, sum(t) over w as ct, sum(n) over w as cn from (select segment, p, sum(y) as t, count(*) as n from g group by all) window w as (partition by segment order by p desc rows unbounded preceding)) group by 1"
+_AP = "select segment, case when sum(t) > 0 and sum(t) < sum(n) then sum(t * ct / cn) / sum(t) end as ap from (select *, sum(t) over w as ct, sum(n) over w as cn from (select segment, p, sum(y) as t, count(*) as n from g group by all) window w as (partition by segment order by p desc rows unbounded preceding)) group by 1"
 _ECE = "select segment, sum(abs(mp - my) * n) / sum(n) as ece from (select segment, least(floor(p * 5), 4) as bin, count(*) as n, avg(p) as mp, avg(y) as my from g group by all) group by 1"
 
 

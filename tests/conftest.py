@@ -5,4 +5,4 @@ from asoflow.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tests", cores="4", memory="6g", partitions=4)
+    return local_session("tests", cores="8", memory="8g", partitions=4)
