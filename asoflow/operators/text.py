@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
 
     from asoflow.functions.columns import nfkc_casefold
 
-    split = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(nfkc_casefold(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where(F.size("w") >= least_words)
+    split = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(nfkc_casefold(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where(F.size("w") >= least_words)
     grams = NGram(n=words, inputCol="w", outputCol="g").transform(split)
     sets = grams.select("id", F.array_sort(F.array_distinct(F.transform("g", lambda x: F.xxhash64(x)))).alias("h")).where(F.size("h") > 0)
     sets = written(sets.withColumn("d", F.sha2(F.to_json("h"), 256)))

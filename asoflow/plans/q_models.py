@@ -74,11 +74,11 @@ def _(spark, d):
 
 @query("ml05_calibration")
 def _(spark, d):
-    """A sigmoid on the raw score with an offset for each language, from the fitting rows; languages without ten rows of each class have none."""
+    """A sigmoid on the raw score with an offset for each language; languages without ten rows of each class have none."""
     rows = _risk(spark, d).withColumn("segment", F.coalesce("lang", F.lit("none")))
     model = ML.fit_risk(rows.where("doc_id % 3 > 0"), ["a", "b"], "y", "boosted", maxIter=5)
     raw = ML.risk_scores(model, rows, ["a", "b"]).persist()
-    slope, intercept, offsets = ML.calibrate_by(raw.where("doc_id % 3 > 0"), "y", "segment")
+    slope, intercept, offsets = ML.calibrate_by(raw, "y", "segment")
     return raw.select("doc_id", "segment", ML.calibrated(F.col("raw"), slope, intercept, ML.offset_column("segment", offsets)).alias("p"), "y")
 
 
