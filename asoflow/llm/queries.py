@@ -19,6 +19,7 @@ _MODULES = {
     "op8_sharding": "sharding",
     "op9_mixing": "mixing",
     "op10_url_filter": "urls",
+    "op11_substring_dedup": "substrings",
 }
 
 

@@ -24,6 +24,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
+_LOWER_BYTES = bytes(_LOWER.tolist())
 _BYTE = _mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))[_LOWER]
 _PLACE = _mix(np.arange(1001, 1001 + _LONG_WORD, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _STEP = _mix(np.arange(5001, 5065, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -48,8 +49,11 @@ def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_prints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words of some rows, and how many words lie before each row's start."""
+def word_prints(data: np.ndarray, at: np.ndarray, table: np.ndarray = _BYTE, fold: bytes | None = _LOWER_BYTES, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words of some rows, and how many words lie before each row's start.
+
+    table has a number for each byte; fold maps the bytes of long words, which have a hash with that seed (None: as they are).
+    """
     base = int(at[0])
     buf = data[base : int(at[-1])]
     at = at - base
@@ -65,18 +69,15 @@ def word_prints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, U), np.zeros(len(at), np.int64)
     word = np.cumsum(begins) - 1
     place = np.arange(len(buf)) - starts[word]
-    value = np.where(solid, _BYTE[buf] * _PLACE[np.clip(place, 0, _LONG_WORD - 1)], U(0))
+    value = np.where(solid, table[buf] * _PLACE[np.clip(place, 0, _LONG_WORD - 1)], U(0))
     prints = np.add.reduceat(value, starts)
     sizes = np.add.reduceat(solid.astype(np.int64), starts)
     for i in np.flatnonzero(sizes > _LONG_WORD):
-        prints[i] = xxhash.xxh64_intdigest(buf[starts[i] : starts[i] + sizes[i]].tobytes().translate(_LOWER_BYTES), 7)
+        prints[i] = xxhash.xxh64_intdigest(buf[starts[i] : starts[i] + sizes[i]].tobytes().translate(fold), seed)
     prints = _mix(prints + sizes.astype(U) * U(0xD6E8FEB86659FD93))
     return prints, np.searchsorted(starts, at, "left")
 
 
-_LOWER_BYTES = bytes(_LOWER.tolist())
-
-
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct fingerprints of its shingles of so many words; a shorter
     text counts as one shingle, a text without words gives none."""
