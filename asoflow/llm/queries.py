@@ -20,6 +20,7 @@ _MODULES = {
     "op9_mixing": "mixing",
     "op10_url_filter": "urls",
     "op11_substring_dedup": "substrings",
+    "op12_tokenizer_alignment": "alignment",
     "op13_source_divergence": "divergence",
 }
 
