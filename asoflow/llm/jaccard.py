@@ -147,9 +147,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     first = None
     for side, other, key in ((small, large, "b"), (large, small, "a")):
         own = "a" if key == "b" else "b"
-        lead = side.groupBy("col", "band").agg(F.max(F.struct(f"x{own}", (-F.col(own)).alias("tie"), *[c for c in side.columns if c not in ("col", "band", f"x{own}")])).alias("s")).select("col", "band", "s.*").drop("tie")
+        lead = side.groupBy("col", "band").agg(F.max(F.struct(f"x{own}", F.bitwise_not(own).alias("tie"), *[c for c in side.columns if c not in ("col", "band", f"x{own}")])).alias("s")).select("col", "band", "s.*").drop("tie")
         met = other.join(lead, ["col", "band"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.max(f"x{own}").alias("x"))
-        pick = met.groupBy(key).agg(F.max_by(own, F.struct("met", "x", -F.col(own))).alias(own)).select("a", "b")
+        pick = met.groupBy(key).agg(F.max_by(own, F.struct("met", "x", F.bitwise_not(own))).alias(own)).select("a", "b")
         first = pick if first is None else first.union(pick)
     first = first.distinct()
     links = stored(_overlaps(first, rows, percent))

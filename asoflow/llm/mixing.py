@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from asoflow.llm.store import stored
 
 _FAN_IN = 64
+_PARTS = 256  # of the rows of one key that are numbered apart
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,23 +106,35 @@ def _meet(state: F.Column, new: F.Column) -> F.Column:
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds place: 0, 1, 2 ... among rows of one key, in parts, so that many equal rows don't meet in one task."""
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("n"), F.lit(_PARTS)))
+    counts = parts.groupBy("key", "part").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    skips = counts.withColumn("skip", F.coalesce(F.sum("c").over(before), F.lit(0))).where("skip > 0").drop("c")  # repeated keys alone
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("n")) - 1
+    placed = parts.withColumn("place", inside).join(skips, ["key", "part"], "left")
+    return placed.withColumn("place", F.col("place") + F.coalesce("skip", F.lit(0))).drop("part", "skip")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
     """How many words, copies counted, a mix takes of each document.
 
     Returns id_col, size (words [^\\x20\\x09-\\x0D]+, null 0), source_size, target (of its source),
     copies, taken (copies times size), one row per input row. copies never exceeds most, rounded up. Rows
-    without words are taken 0 times; a null source is a source of its own, the last; a null id
-    is allowed, and repeated rows are rounded together, so they get the same copies. The draws are hashes of the
-    id, so a rerun agrees. Other columns are not read unless carry names them: these come back in a
+    without words are taken 0 times, very long texts are counted whole; a null source is a source of its own, the last. Every row
+    is rounded for itself, those with a null or repeated id too, so equal rows may get different copies. The draws are hashes of
+    id, source, text and, among equal rows, of a number from 0 on, so a rerun agrees; ties in size are ordered by them.
+    Other columns are not read unless carry names them: these come back in a
     struct `row`, so a row never has to be found again by its id. An empty table gives an empty one.
     """
     carried = [F.struct(*carry).alias("row")] if carry else []
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *carried))
+    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(text_col)).alias("print"), F.monotonically_increasing_id().alias("n"), *carried))  # written, so the numbers stay
     targets = stored(source_targets(sized, weights, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     rows = sized.join(F.broadcast(targets) if _few(targets) else targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-    fractions = rows.where("size > 0 and p > 1e-9").groupBy("id", "source", "p").agg(F.sum("size").alias("size"))
-    fractions = fractions.select("source", F.struct(F.col("size").cast("double").alias("size"), F.xxhash64("id", "source").alias("key"), "id", "p").alias("doc"))
+    fractions = rows.where("size > 0 and p > 1e-9").select("n", "source", "p", "size", F.xxhash64("id", "source", "size", "print").alias("key"))
+    fractions = _numbered(fractions).select("source", F.struct(F.col("size").cast("double").alias("size"), F.xxhash64("key", "place").alias("key"), "n", "p").alias("doc"))
     settled, level = None, 0
     while True:
         counts = fractions.groupBy("source").agg(F.count("*").alias("n"))
@@ -145,8 +158,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
         level += 1
     last = fractions.select("source", "doc", F.when(_draw(F.col("doc.key"), F.lit(13)) < F.col("doc.p"), 1).otherwise(0).alias("extra"))
     settled = settled.select("source", "doc", F.col("doc.p").cast("int").alias("extra")).union(last)
-    settled = settled.where("extra > 0").select(F.col("source").alias("s"), F.col("doc.id").alias("i"), "extra")
-    out = rows.join(settled, rows["id"].eqNullSafe(F.col("i")) & rows["source"].eqNullSafe(F.col("s")), "left")
+    out = rows.join(settled.where("extra > 0").select("doc.n", "extra"), "n", "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("p") > 1e-9, F.coalesce("extra", F.lit(0))).otherwise(0)).otherwise(0).cast("long")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
 

@@ -9,6 +9,7 @@ task writes the same record again.
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import html
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _DATE = "2024-01-01T00:00:00Z"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: the base 32 alphabet
@@ -43,21 +43,100 @@ def sha1_base32(block: Column) -> Column:
     return F.concat(F.lit("sha1:"), *letters)
 
 
-def _references(text: pd.Series) -> pd.Series:
-    """All named and numeric character references of HTML5, read once; a no-break space that one stands for is a space."""
-    return text.map(lambda x: html.unescape(_NO_BREAK.sub(" ", x)) if "&" in x else x)
+_RAW = re.compile(r"(?ai)<(script|style)\b")
+_CLOSE = {name: re.compile(rf"(?ai)</{name}\s*>") for name in ("script", "style")}
+_BREAKS = re.compile(r"(?ai)<(br|/?p|/?div|/?li|/?h[1-6]|/?tr|/?table|/?ul|/?ol|/?section|/?article|/?header|/?footer|/?nav|/title)\b")
+_LINK, _HREF, _TITLE, _TITLE_END = (re.compile(f"(?ai){x}") for x in (r"<a\s", "href", "<title", "</title"))
+_RECORDS = 1 << 20  # bytes of records that read_warc hands on at once
+
+
+def _without_raw(page: str) -> str:
+    """Scripts and styles that are closed become a space. A name whose end was sought once in vain isn't sought again."""
+    out, at, never = [], 0, set()
+    while found := _RAW.search(page, at if not out else max(at, out[-1][1])):
+        at, name = found.end(), found[1].lower()
+        if (end := page.find(">", at)) < 0 or len(never) == 2:
+            break
+        if name not in never:
+            if close := _CLOSE[name].search(page, end + 1):
+                out.append((found.start(), close.end()))
+            else:
+                never.add(name)
+    return _cut(page, out, " ")
+
+
+def _cut(page: str, spans: list[tuple[int, int]], by: str) -> str:
+    if not spans:
+        return page
+    ends = [0, *(e for _, e in spans)]
+    return by.join([*(page[a:b] for a, (b, _) in zip(ends, spans, strict=False)), page[ends[-1] :]])
+
+
+def _without(page: str, opening: re.Pattern | str, closing: str, by: str) -> str:
+    """What stands from an opening to the next closing goes; after an opening that is never closed, no other is."""
+    spans, at = [], 0
+    while True:
+        if isinstance(opening, str):
+            start = page.find(opening, at)
+            after = start + len(opening)
+        else:
+            found = opening.search(page, at)
+            start, after = (found.start(), found.end()) if found else (-1, 0)
+        end = page.find(closing, after) if start >= 0 else -1
+        if end < 0:
+            return _cut(page, spans, by)
+        at = end + len(closing)
+        spans.append((start, at))
+
+
+def _links(page: str) -> int:
+    """Anchors with a target: each takes the last href before the next >."""
+    refs, count, at = [m.start() for m in _HREF.finditer(page)], 0, 0
+    end = -1
+    while found := _LINK.search(page, at):
+        at = found.end()
+        if end < at:
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end
+        k = bisect.bisect_right(refs, end - 4) - 1
+        if k >= 0 and refs[k] >= at:
+            count, at = count + 1, refs[k] + 4
+    return count
+
+
+def _title(page: str) -> str:
+    start = _TITLE.search(page)
+    end = page.find(">", start.end()) if start else -1
+    close = _TITLE_END.search(page, end + 1) if end >= 0 else None
+    return page[end + 1 : close.start()] if close else ""
+
+
+def _plain(page: str) -> str:
+    text = _without(_without_raw(page), "<!--", "-->", " ")
+    text = _without(_without(text, _BREAKS, ">", "\n"), "<", ">", "")
+    if "&" in text:
+        text = html.unescape(_NO_BREAK.sub(" ", text))
+    text = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", text))
+    return text.strip(" \n")
+
+
+def page_parts(page: Column) -> Column:
+    """Struct of text, title and links of a page. Each is found in time linear in the page, whatever it holds.
+
+    For the text, scripts, styles, comments and tags go (those that are closed), all named and numeric character
+    references of HTML5 are read once, with a no-break space that one stands for as a space, and blank runs
+    shrink. links counts anchors with a href. A null page is empty.
+    """
+
+    def parts(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(_plain(x), _title(x), _links(x)) for x in pages], columns=["text", "title", "links"])
+
+    return F.pandas_udf(parts, "text string, title string, links int")(F.coalesce(page, F.lit("")))
 
 
 def plain_text(page: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags go, character references are read, blank runs shrink."""
-    text = F.coalesce(page, F.lit(""))
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?i)<(br|/?p|/?div|/?li|/?h[1-6]|/?tr|/?table|/?ul|/?ol|/?section|/?article|/?header|/?footer|/?nav|/title)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = F.regexp_replace(F.pandas_udf(_references, StringType())(text), r"[ \t\r\f]+", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    """Text of a page, by page_parts."""
+    return page_parts(page)["text"]
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -77,21 +156,21 @@ def derivatives(found: DataFrame) -> DataFrame:
     not read). Returns page_id, warc_type, record_id, refers_to (the response's id), target_uri,
     date, content_type, block, block_digest, content_length (bytes), source_headers (of the
     response), payload_digest (of the response). Null payloads count as empty and give an empty conversion;
-    null targets and dates stay null. Repeated responses give repeated records with the same ids. An empty table gives an empty one.
+    null targets and dates stay null. Repeated responses give repeated records with the same ids. Pages of any length are read whole,
+    in time linear in them. Columns of other names are not read, and those named like the output are replaced. An empty table gives an empty one.
     """
-    text = plain_text(F.col("payload"))
+    found = found.withColumn("parts", page_parts(F.col("payload")))
     fields = F.to_json(
         F.struct(
             F.col("target_uri").alias("target"), F.col("record_id").alias("response"), F.col("payload_digest"),
             F.octet_length(F.coalesce("payload", F.lit(""))).alias("payload_length"),
-            F.regexp_extract(F.coalesce("payload", F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"),
-            F.size(F.regexp_extract_all(F.coalesce("payload", F.lit("")), F.lit(r"(?i)<a\s[^>]*href"), F.lit(0))).alias("links"),
+            F.col("parts.title").alias("title"), F.col("parts.links").alias("links"),
             F.split(F.regexp_replace("http_headers", r"[\r\n]+$", ""), "\r\n").alias("http_headers"),
         )
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), text.alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), F.col("parts.text").alias("block")),
     )
     made = found.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), "payload_digest", F.inline(kinds))
     made = made.withColumn("block_digest", sha1_base32(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
@@ -177,6 +256,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import io
 
+        rows, held = [], 0
         for pdf in batches:
             for content in pdf["content"]:
                 stream = io.BytesIO(content)
@@ -191,8 +271,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         headers[name.strip()] = value.strip()
                     block = stream.read(int(headers.get("Content-Length", 0)))
                     row = [headers.get(x) for x in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI")]
-                    yield pd.DataFrame([[*row, headers, block]], columns=["warc_type", "record_id", "refers_to", "target_uri", "headers", "block"])
-
+                    rows.append([*row, headers, block])
+                    held += len(block)
+                    if held > _RECORDS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["warc_type", "record_id", "refers_to", "target_uri", "headers", "block"]
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, "warc_type string, record_id string, refers_to string, target_uri string, headers map<string,string>, block binary")
 
