@@ -111,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels, before = edges.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")), None
     while True:
         labels = written(labels)
-        mark = labels.agg(F.sum("component"), F.count("*")).first()
+        mark = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")), F.count("*")).first()  # ids may be as large as hashes
         if mark == before:
             return labels
         before = mark
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
 
     fits = (F.col("na") * 10000 >= F.col("nb") * threshold_bp) & (F.col("nb") * 10000 >= F.col("na") * threshold_bp)
     one, two = heads.select(F.col("class").alias("a"), F.col("n").alias("na"), "x"), heads.select(F.col("class").alias("b"), F.col("n").alias("nb"), "x")
-    lead = heads.groupBy("x").agg(F.max(F.struct("n", (-F.col("class")).alias("m"))).alias("s")).select("x", F.col("s.n").alias("nb"), (-F.col("s.m")).alias("b"))
+    lead = heads.groupBy("x").agg(F.max(F.struct("n", F.bitwise_not("class").alias("m"))).alias("s")).select("x", F.col("s.n").alias("nb"), F.bitwise_not("s.m").alias("b"))
     first = written(verified(one.join(lead, "x").where(fits & (F.col("a") != F.col("b"))).select("a", "b").distinct()))
     named = components(first)
     placed = written(heads.join(named.withColumnRenamed("id", "class"), "class", "left").withColumn("c", F.coalesce("component", "class")).drop("component"))
