@@ -14,6 +14,8 @@ two tiles, so its size is bounded. All numbers are integers.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from asoflow.llm.store import stored
 
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: bytes of terms, with A-Z as a-z; all others are spaces
+_TERM_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+_HELD = 400_000
 _LEAVES = 2048
 _TILE = 64
 _FRONT = 1 << 20  # node pairs that are held at once
@@ -32,14 +35,35 @@ _UNIT = 1_000_000_000
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows that hold it); null columns count as ''. Terms are runs of letters A-Z, lower-cased, and of characters beyond ASCII."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
-    words = docs.select(
-        F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)).alias("w")
-    )
-    every = F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    once = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    return words.select("lang", "source", F.inline(F.concat(every, once))).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """lang, source, term, n (occurrences), docs (rows that hold it); null columns count as ''. Terms are runs of letters A-Z, lower-cased, and of characters beyond ASCII.
+
+    A task counts by group what it reads and hands on its sums once it holds _HELD terms.
+    """
+
+    def sums(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, rows) in held.items():
+            for some in itertools.batched(n, 1 << 16):
+                columns = [[lang] * len(some), [source] * len(some), [t.decode() for t in some]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), *(pa.array([x[t] for t in some], pa.int64()) for x in (n, rows))], ["lang", "source", "term", "n", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = (text.as_py() or "").encode().translate(_TERM_BYTES).split()
+                n, rows = held.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(n)
+                n.update(words)
+                rows.update(set(words))
+                size += len(n)
+                if size > _HELD:
+                    yield from sums(held)
+                    held, size = {}, 0
+        yield from sums(held)
+
+    columns = [F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col)]
+    counted = docs.select(*columns, F.col(text_col).cast("string")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: Column, total: Column, terms: Column, extra: int) -> Column:
