@@ -21,23 +21,28 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(other, rule).drop(*[f"_r_{k}" for k in keys])
 
 
-def cumulative(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """The distinct values of each group (nulls don't count) with n, their rows, upto, the rows up to the value, and total.
+def running_sums(cells: DataFrame, group: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+    """cells (one row for each distinct value of a group) with, for each of sums, upto_ and total_: its sum over the values up to the row's own, and over the group.
 
-    Equal values are one row before anything is sorted. The values of a group are cut at its approximate
-    quantiles into buckets; a window sorts a bucket, and only the buckets' sums meet per group. Which cuts
-    are taken doesn't change the result.
+    The values of a group are cut at its approximate quantiles into buckets; a window sorts a bucket, and only the
+    buckets' sums meet per group. Which cuts are taken doesn't change the result.
     """
-    cells = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
     shares = [k / _BUCKETS for k in range(1, _BUCKETS)]
     cuts = cells.groupBy(*group).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))  # a short list for each group
     placed = _joined(cells, cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     whole = Window.partitionBy(*group)
-    sums = placed.groupBy(*group, "_b").agg(F.sum("n").alias("_s"))
-    before = F.sum("_s").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_s")
-    sums = sums.select(*group, "_b", before.alias("_skip"), F.sum("_s").over(whole).alias("total"))
+    held = placed.groupBy(*group, "_b").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.select(*group, "_b", *[(F.sum(f"_s_{s}").over(upto) - F.col(f"_s_{s}")).alias(f"_skip_{s}") for s in sums], *[F.sum(f"_s_{s}").over(whole).alias(f"total_{s}") for s in sums])
     inside = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _joined(placed, sums, [*group, "_b"]).withColumn("upto", F.col("_skip") + F.sum("n").over(inside)).drop("_skip", "_b")
+    out = _joined(placed, held, [*group, "_b"]).withColumns({f"upto_{s}": F.col(f"_skip_{s}") + F.sum(s).over(inside) for s in sums})
+    return out.drop("_b", *[f"_skip_{s}" for s in sums])
+
+
+def cumulative(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """The distinct values of each group (nulls don't count) with n, their rows, upto, the rows up to the value, and total. Equal values are one row before anything is sorted."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    return running_sums(cells, group, value, ["n"]).withColumnsRenamed({"upto_n": "upto", "total_n": "total"})
 
 
 def order_statistic(df: DataFrame, group: Sequence[str], value: str, rank: Callable[[Column], Column]) -> DataFrame:
@@ -197,21 +202,20 @@ def confusion(predicted: Column, y: Column, false_alarm: float = 1.0, miss: floa
 
 
 def average_precision(df: DataFrame, group: Sequence[str], p: str, y: str, digits: int = 6) -> DataFrame:
-    """Sum of recall steps times precision over distinct scores, ties taken together; null unless both classes are there."""
+    """Sum of recall steps times precision over distinct scores, ties taken together; null unless both classes are there. No window spans a group's scores."""
     ties = df.groupBy(*group, p).agg(F.sum(y).alias("_t"), F.count("*").alias("_n"))
-    down = Window.partitionBy(*group).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = ties.withColumns({"_ct": F.sum("_t").over(down), "_cn": F.sum("_n").over(down)})
-    sums = steps.groupBy(*group).agg(F.sum("_t").alias("n_positive"), F.sum("_n").alias("n"), F.sum(F.col("_t") * F.col("_ct") / F.col("_cn")).alias("_s"))
+    steps = running_sums(ties, group, p, ["_t", "_n"])
+    above = {c: F.col(f"total_{c}") - F.col(f"upto_{c}") + F.col(c) for c in ("_t", "_n")}
+    sums = steps.groupBy(*group).agg(F.sum("_t").alias("n_positive"), F.sum("_n").alias("n"), F.sum(F.col("_t") * above["_t"] / above["_n"]).alias("_s"))
     both = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n"))
     return sums.select(*group, "n", "n_positive", F.round(F.when(both, F.col("_s") / F.col("n_positive")), digits).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, group: Sequence[str], p: str, y: str) -> DataFrame:
-    """Exact rank statistic: ties count half. Works on distinct scores, not on pairs."""
-    ties = df.groupBy(*group, p).agg(F.sum(y).alias("_t"), F.count("*").alias("_n"))
-    up = Window.partitionBy(*group).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    steps = ties.withColumn("_below", F.coalesce(F.sum(F.col("_n") - F.col("_t")).over(up), F.lit(0)))
-    sums = steps.groupBy(*group).agg(F.sum("_t").alias("n_positive"), F.sum(F.col("_n") - F.col("_t")).alias("n_negative"), F.sum(F.col("_t") * (F.col("_below") + (F.col("_n") - F.col("_t")) / 2)).alias("_s"))
+    """Exact rank statistic: ties count half. Works on distinct scores, not on pairs; no window spans a group's scores."""
+    ties = df.groupBy(*group, p).agg(F.sum(y).alias("_t"), F.sum(1 - F.col(y)).alias("_f"))
+    steps = running_sums(ties, group, p, ["_f"])
+    sums = steps.groupBy(*group).agg(F.sum("_t").alias("n_positive"), F.sum("_f").alias("n_negative"), F.sum(F.col("_t") * (F.col("upto__f") - F.col("_f") / 2)).alias("_s"))
     return sums.select(*group, "n_positive", "n_negative", F.round(F.try_divide(F.col("_s"), F.col("n_positive") * F.col("n_negative")), 6).alias("roc_auc"))
 
 

@@ -130,6 +130,7 @@ def portable_scores(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str],
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
+            columns = (columns,) if isinstance(columns, pd.Series) else columns  # one feature comes alone
             x = np.stack([c.to_numpy(float) for c in columns], axis=1)
             at = np.tile(roots, (len(x), 1))
             while inner[at].any():

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asoflow.sources.scratch import written
+
 
 _QUERIES, _VECTORS = 1_000, 20_000  # of one block of a search
 
@@ -167,15 +169,6 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     return out.select("id", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to a folder that all executors share, and read back."""
-    from asoflow.sources.scratch import scratch
-
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: int) -> DataFrame:
     """The k best chunks of each query by exact cosine, at most per_document of one document; ties to the smaller id.
 
