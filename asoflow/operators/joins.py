@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: the scope of plans without a location or channel
+_ANY = "\x00any"
+
+
 def require_reference(df: DataFrame, dim: DataFrame, key: str, dim_key: str, reason: str) -> DataFrame:
     """Adds reason where the key has no row in dim."""
     there = dim.select(F.col(dim_key).alias("_there")).distinct()
@@ -49,13 +53,22 @@ def plan_match(series: DataFrame, plans: DataFrame, on: str, day: str, origin: C
     """The plan of the narrowest scope in force on the day and known at the origin, latest version first; ambiguous where two tie.
 
     A plan without a location holds for all, one of channel 'all' for every channel; any other must be
-    that of the series. A location narrows more than a channel.
+    that of the series. A location narrows more than a channel. Each fact asks for its four possible scopes by
+    equality, within its bucket of days, so it never meets the other versions of its key.
     """
-    rank = F.when(F.col("_location").isNotNull(), 2).otherwise(0) + F.when(F.col("_channel") != "all", 1).otherwise(0)
-    plan = plans.withColumnsRenamed({on: "_on", "location": "_location", "channel": "_channel"}).withColumn("scope_rank", rank)
-    scope = (F.col("_location").isNull() | (F.col("_location") == F.col("location"))) & ((F.col("_channel") == "all") | (F.col("_channel") == F.col("channel")))
-    rule = (F.col(on) == F.col("_on")) & (F.col("from_day") <= F.col(day)) & (F.col(day) < F.col("to_day")) & (F.col("known") <= origin) & scope
-    joined = series.join(plan, rule).drop("_on", "_location", "_channel")
+    from asoflow.operators.intervals import covering
+
+    held = plans.select(
+        F.col(on).alias("_on"), F.coalesce("location", F.lit(_ANY)).alias("_scope_location"), F.coalesce("channel", F.lit(_ANY)).alias("_scope_channel"), F.col("from_day").alias("start"), F.date_sub("to_day", 1).alias("end"),
+        *[c for c in plans.columns if c not in (on, "location", "channel", *series.columns)],
+    )
+    scopes = [F.struct(a.alias("_scope_location"), b.alias("_scope_channel"), F.lit(r).alias("scope_rank")) for a, b, r in (
+        (F.lit(_ANY), F.lit("all"), 0), (F.lit(_ANY), F.col("channel"), 1), (F.col("location"), F.lit("all"), 2), (F.col("location"), F.col("channel"), 3),
+    )]
+    asked = series.withColumn("_origin", origin).select("*", F.col(on).alias("_on"), F.inline(F.array_distinct(F.array(*scopes))))
+    asked = asked.where("scope_rank in (0, 2) or channel <> 'all'")
+    joined = covering(asked, held, ["_on", "_scope_location", "_scope_channel"], day).where(F.col("known") <= F.col("_origin"))
+    joined = joined.drop("_on", "_scope_location", "_scope_channel", "_origin", "start", "end")
     by = Window.partitionBy(*fact_key)
     best = joined.withColumn("_r", F.rank().over(by.orderBy(F.desc("scope_rank"), F.desc("version")))).where("_r = 1").drop("_r")
     return best.withColumn("ambiguous", F.count("*").over(by) > 1)
@@ -69,14 +82,18 @@ def lagged(df: DataFrame, key: Sequence[str], day: str, value: str, lag: int, na
 
 def window_intersection(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """Common parts of two sets of closed day windows of a key; known when both are."""
-    left = a.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("known").alias("_k"))
-    met = left.join(b, list(key)).where((F.col("_s") <= F.col("end")) & (F.col("start") <= F.col("_e")))
-    return met.select(*key, F.greatest("_s", "start").alias("start"), F.least("_e", "end").alias("end"), F.greatest("_k", "known").alias("known"))
+    from asoflow.operators.intervals import overlapping
+
+    met = overlapping(a.select(*key, "start", "end", F.col("known").alias("_k")), b.select(*key, "start", "end", "known"), key)
+    return met.select(*key, F.greatest("_start", "start").alias("start"), F.least("_end", "end").alias("end"), F.greatest("_k", "known").alias("known"))
 
 
 def episode_match(alerts: DataFrame, episodes: DataFrame, key: Sequence[str], alert_key: Sequence[str], tolerance: int) -> DataFrame:
     """Each alert with the episode of its series that covers its day (with a tolerance after the end): the one that ends first, then the smallest id."""
-    covered = alerts.join(episodes, list(key)).where((F.col("start") <= F.col("day")) & (F.col("day") <= F.date_add("end", tolerance)))
+    from asoflow.operators.intervals import covering
+
+    reach = episodes.select(*key, "start", F.date_add("end", tolerance).alias("end"), "episode_id")
+    covered = covering(alerts.select(*dict.fromkeys([*key, *alert_key, "day"])), reach, key, "day")
     best = covered.groupBy(*alert_key).agg(F.min(F.struct("end", "episode_id")).alias("_b"))
     return best.select(*alert_key, F.col("_b.episode_id").alias("episode_id"))
 
@@ -103,8 +120,10 @@ def return_violations(claims: DataFrame, sales: DataFrame, key: Sequence[str], w
 
 def on_day(df: DataFrame, routes: DataFrame, day: str) -> DataFrame:
     """Rows with the stock that their location is routed to on the day. routes: location, stock and a half-open interval of days; rows without a route go."""
-    r = routes.select(F.col("location").alias("_l"), "stock", "from_day", "to_day")
-    return df.join(r, (F.col("location") == F.col("_l")) & (F.col("from_day") <= F.col(day)) & (F.col(day) < F.col("to_day"))).drop("_l", "from_day", "to_day")
+    from asoflow.operators.intervals import covering
+
+    held = routes.select("location", "stock", F.col("from_day").alias("start"), F.date_sub("to_day", 1).alias("end"))
+    return covering(df, held, ["location"], day).drop("start", "end")
 
 
 def promotion_exposure(asked: DataFrame, promotions: DataFrame, days: int) -> DataFrame:
