@@ -14,10 +14,10 @@ remembered. A text in which some piece doesn't come back as its bytes is judged
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,9 @@ from asoflow.llm.store import join_classes, stored
 
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_KEPT = 100_000  # pieces that a worker remembers: bounds its memory alone
+_KEPT = 400_000  # pieces that a worker remembers: bounds its memory alone
 _KEPT_LENGTH = 64
+_TOGETHER = 1 << 15  # characters of pieces that are encoded as one text
 _PART = 1 << 20  # characters that are aligned at once (or one text)
 _FEW_PAIRS = 1_000_000
 _WORKERS: dict[str, _Aligner] = {}
@@ -42,13 +43,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _ends(coarse: Sequence[tuple[int, int]], sizes: Sequence[int]) -> list[int]:
-    """Byte ends of tokens: the coarse cut where it is as long as the token's bytes, else what the bytes say."""
-    at, out = 0, []
-    for (begin, end), size in zip(coarse, sizes, strict=True):
-        at = end if begin == at and end - begin == size else at + size
-        out.append(at)
-    return out
+def _ends(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens whose bytes make up the text: the coarse cut where the span (begin, end) is as long as the token's bytes, else what the bytes say."""
+    decoded = np.cumsum(sizes)
+    return np.where((coarse[:, 1] - coarse[:, 0] == sizes) & (coarse[:, 1] == decoded), coarse[:, 1], decoded)
 
 
 class _Aligner:
@@ -63,83 +61,94 @@ class _Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         letters = _byte_letters()
-        self.a_bytes: dict[int, bytes] = {}
+        found = {}
         for token, i in self.a.get_vocab(with_added_tokens=True).items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            found[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.a_bytes = [found.get(i, b"") for i in range(max(found) + 1)]
         self.b_bytes: list[bytes] = []
-        cuts = True
+        self.cuts = True
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
-            cuts &= self.b.is_control(i) or MARK not in piece.lstrip(MARK)
-        self.cuts = cuts
+            self.cuts &= self.b.is_control(i) or MARK not in piece.lstrip(MARK)
         self.known: dict[str, tuple | None] = {}
 
-    def align(self, texts: list[str]) -> list[tuple | None]:
-        """For each text n_a, n_b, n_groups, n_links, groups, pairs; None where the tokens' bytes aren't those of the text."""
-        if not texts:
-            return []
-        marked = [f" {t}" for t in texts]
-        out = []
-        for text, one, two in zip(marked, self.a.encode_batch(marked, add_special_tokens=False), self.b.encode(texts, return_type="proto", num_threads=1), strict=True):
-            raw = text.encode()
-            a, b = one.ids, [p.id for p in two.pieces]
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                out.append(None)
-                continue
-            coarse = one.offsets
-            if len(raw) > len(text):
-                at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))).tolist()
-                coarse = [(at[x], at[y]) for x, y in coarse]
-            a_ends = _ends(coarse, [len(x) for x in a_bytes])
-            b_ends = _ends([(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(two.pieces)], [len(x) for x in b_bytes])
-            out.append(_link(a, a_ends, b, b_ends))
-        return out
-
-    def pieces(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.cuts else [text]
+    def align(self, pieces: list[str]) -> list[tuple | None]:
+        """For each piece n_a, n_b, groups and the linked pairs; None where the tokens' bytes aren't those of the piece. The pieces are encoded as one text, with a space before each; where that doesn't come back as its bytes, halves of them are."""
+        text = " ".join(pieces)
+        raw = f" {text}".encode()
+        one, two = self.a.encode(f" {text}", add_special_tokens=False), list(self.b.encode(text, return_type="proto").pieces)
+        a, b = one.ids, [p.id for p in two]
+        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        same = b"".join(a_bytes) == raw and b"".join(b_bytes) == raw
+        if same:
+            coarse = np.fromiter(itertools.chain.from_iterable(one.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+            stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+            if len(raw) > len(text) + 1:  # where each character starts in the bytes
+                letters = np.frombuffer(f" {text}".encode("utf-32-le"), "<u4")
+                at = np.concatenate(([0], np.cumsum(1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000))))
+                coarse, stops = at[coarse], at[stops]
+            a_ends = _ends(coarse, np.fromiter(map(len, a_bytes), np.int64, len(a)))
+            spans = np.stack([np.fromiter((getattr(p, side) for p in two), np.int64, len(b)) for side in ("begin", "end")], axis=1) + 1  # after the space
+            spans[0, 0] = 0
+            b_ends = _ends(spans, np.fromiter(map(len, b_bytes), np.int64, len(b)))
+            if all(e[np.searchsorted(e, stops)].tolist() == stops.tolist() for e in (a_ends, b_ends)):
+                return _linked(a, a_ends, b, b_ends, stops)
+        if len(pieces) == 1:
+            return [None]
+        half = len(pieces) // 2
+        return self.align(pieces[:half]) + self.align(pieces[half:])
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple | None]:
-        cut = [self.pieces(t) if t else [] for t in texts]
+        cut = [(_CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
         if len(self.known) > _KEPT:
             self.known = {}
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        found = dict(zip(new, self.align(new), strict=True))
-        self.known.update((p, x) for p, x in found.items() if len(p) <= _KEPT_LENGTH)
+        known, plain, long, lo, held = self.known, [], [], 0, 0
+        for p in set(itertools.chain.from_iterable(cut)).difference(known):
+            if len(p) > _KEPT_LENGTH:
+                long.append(p)
+            if p[0].isspace() or p[-1].isspace():
+                known[p] = self.align([p])[0]
+            else:
+                plain.append(p)
+        for k, p in enumerate(plain):
+            held += len(p)
+            if held > _TOGETHER or k == len(plain) - 1:
+                known.update(zip(plain[lo : k + 1], self.align(plain[lo : k + 1]), strict=True))
+                lo, held = k + 1, 0
         for text, pieces in zip(texts, cut, strict=True):
             if not text:
                 yield None
                 continue
-            parts = [found[p] if p in found else self.known[p] for p in pieces]
-            if len(parts) == 1:
-                yield parts[0]
-            elif any(x is None for x in parts):
-                yield self.align([text])[0]
-            else:
-                yield _joined(parts)
-
-
-def _link(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple:
-    """Groups and links of tokens whose ends are in order, and whose last ends agree."""
-    i = j = first = second = 0
-    groups, pairs = [], Counter()
-    while i < len(a):
-        pairs[a[i] << 32 | b[j]] += 1
-        x, y = a_ends[i], b_ends[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append(f"{','.join(map(str, a[first:i]))}|{','.join(map(str, b[second:j]))}")
-            first, second = i, j
-    codes = np.array(sorted(pairs), np.int64)
-    return len(a), len(b), len(groups), sum(pairs.values()), ";".join(groups), codes, np.array([pairs[c] for c in codes.tolist()], np.int64)
+            parts = [known[p] for p in pieces]
+            if None in parts and len(parts) > 1:
+                parts = self.align([text])
+            yield None if parts[0] is None else _joined(parts)
+        for p in long:
+            del known[p]
+
+
+def _linked(a: list[int], a_ends: np.ndarray, b: list[int], b_ends: np.ndarray, stops: np.ndarray) -> list[tuple]:
+    """What stands between stops, which are ends of both. Between two neighbouring ends of either there is one token of both: a link; ends of both close a group."""
+    ends = np.union1d(a_ends, b_ends)
+    pairs = np.array(a, np.int64)[np.searchsorted(a_ends, ends)] << 32 | np.array(b, np.int64)[np.searchsorted(b_ends, ends)]
+    both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    names, upto = [list(map(str, x)) for x in (a, b)], [np.concatenate(([0], np.searchsorted(e, both, "right"))).tolist() for e in (a_ends, b_ends)]
+    groups = [
+        f"{names[0][i]}|{names[1][k]}" if j == i + 1 and m == k + 1 else f"{','.join(names[0][i:j])}|{','.join(names[1][k:m])}"
+        for i, j, k, m in zip(upto[0], upto[0][1:], upto[1], upto[1][1:], strict=False)
+    ]
+    cuts = [np.concatenate(([0], np.searchsorted(e, stops, "right"))).tolist() for e in (a_ends, b_ends, both, ends)]
+    return [(x[1] - x[0], y[1] - y[0], ";".join(groups[g[0] : g[1]]), pairs[p[0] : p[1]]) for x, y, g, p in zip(*(itertools.pairwise(c) for c in cuts), strict=True)]
 
 
 def _joined(parts: list[tuple]) -> tuple:
-    n = [sum(x[k] for x in parts) for k in range(4)]
-    codes, where = np.unique(np.concatenate([x[5] for x in parts]), return_inverse=True)
-    times = np.bincount(where, np.concatenate([x[6] for x in parts]), len(codes)).astype(np.int64)  # below 2^53
-    return *n, ";".join([x[4] for x in parts]), codes, times
+    """n_a, n_b, n_groups, n_links, groups, distinct pairs and their times of a text from its pieces."""
+    n_a, n_b, groups, pairs = zip(*parts, strict=True)
+    whole = ";".join(groups)
+    pairs = np.concatenate(pairs)
+    codes, times = np.unique(pairs, return_counts=True)
+    return sum(n_a), sum(n_b), whole.count(";") + 1, len(pairs), whole, codes, times
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
