@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asoflow.operators import markdown
+from asoflow.operators.markdown import bounded_pieces, chunk_table  # noqa: F401
 from asoflow.sources.scratch import written
 
 
@@ -25,43 +27,9 @@ def corpus_scan(docs: DataFrame, id_col: str, text_col: str, excluded: Sequence[
 
 
 def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of Markdown with the path of headings above: id, block, kind, path, text.
-
-    Covers headings with #, fences, comments on one line, rules, and paragraphs, lists and tables
-    as runs of lines. Each document's lines are folded in order inside one row's expression.
-    """
-    line = F.split(F.regexp_replace(text_col, "\r\n?", "\n"), "\n")
-    lines = docs.select(F.col(id_col), F.posexplode(line).alias("n", "line"))
-    w = Window.partitionBy(id_col).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
-    lines = lines.withColumn("_f", F.sum(fence.cast("int")).over(w)).withColumn("_code", fence | (F.col("_f") % 2 == 1))
-    level = F.when(~F.col("_code"), F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)))
-    drop = ~F.col("_code") & (F.trim("line").rlike(r"^(<!--.*-->|(-\s*){3,}|(\*\s*){3,}|(_\s*){3,})$"))
-    kind = F.when(F.col("_code"), "code").when(level > 0, "heading").when(drop | (F.trim("line") == ""), "gap").otherwise("text")
-    lines = lines.withColumns({"_kind": kind, "_level": level})
-    before = F.lag("_kind").over(Window.partitionBy(id_col).orderBy("n"))
-    begins = (before.isNull() | (before != F.col("_kind")) | (F.col("_kind") == "heading")).cast("int")
-    lines = lines.withColumn("_begin", begins).withColumn("block", F.sum("_begin").over(w))
-    for k in range(1, 7):  # the heading of each level, until one of a higher level comes
-        at = F.max(F.when((F.col("_kind") == "heading") & (F.col("_level") == k), F.struct("n", F.regexp_replace("line", r"^#+\s+", "").alias("t")))).over(w)
-        reset = F.max(F.when((F.col("_kind") == "heading") & (F.col("_level") < k), F.col("n"))).over(w)
-        lines = lines.withColumn(f"_h{k}", F.when(reset.isNull() | (at["n"] > reset), at["t"]))
-    path = F.concat_ws(" > ", *[f"_h{k}" for k in range(1, 7)])
-    kept = lines.where("_kind in ('code', 'text')").groupBy(id_col, "block", F.col("_kind").alias("kind")).agg(F.max_by(path, "n").alias("path"), F.sort_array(F.collect_list(F.struct("n", "line"))).alias("_l"))
-    return kept.select(id_col, "block", "kind", "path", F.concat_ws("\n", "_l.line").alias("text"))
-
-
-def bounded_pieces(text: str, limit: int) -> list[str]:
-    """Pieces of at most limit UTF-8 bytes, cut at the last line end or else space that fits, never inside a character."""
-    rest, out = text.strip("\n"), []
-    while len(rest.encode("utf-8")) > limit:
-        head = rest.encode("utf-8")[:limit].decode("utf-8", "ignore")
-        cut = head.rfind("\n") if head.rfind("\n") > 0 else head.rfind(" ")
-        cut = cut if cut > 0 else max(1, len(head))
-        piece = rest[:cut].strip("\n")
-        out += [piece] if piece else []
-        rest = rest[cut:].lstrip(" \n")
-    return out + ([rest] if rest else [])
+    """Blocks of Markdown with the path of headings above: id, block, kind (code or text), path, text. See markdown for what is read and left out."""
+    code = F.col("kind").isin("fence", "code_block")
+    return markdown.markdown_blocks(docs, id_col, text_col).withColumn("kind", F.when(code, "code").otherwise("text"))
 
 
 def pieces(blocks: DataFrame, keys: Sequence[str], text_col: str, limit: int) -> DataFrame:
@@ -78,21 +46,6 @@ def pieces(blocks: DataFrame, keys: Sequence[str], text_col: str, limit: int) ->
     return blocks.select(*keys, text_col).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", piece int, text string")
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """Chunks of documents: the bounded pieces of their blocks, each once per document.
-
-    id, chunk_id (of the document, heading path, kind and content), chunk_index (order of first occurrence, from
-    0), kind, path, text, checksum, tokens (ceil(bytes / 4)), occurrences (block and piece of each, in order). A document's chunks meet in one window.
-    """
-    blocks = markdown_blocks(docs, id_col, text_col)
-    cut = pieces(blocks, [id_col, "block", "kind", "path"], "text", limit).withColumn("checksum", F.sha2("text", 256))
-    cid = F.sha2(F.concat_ws("\x1f", F.col(id_col).cast("string"), "path", "kind", "checksum"), 256)
-    at = F.struct("block", "piece")
-    once = cut.withColumn("chunk_id", cid).groupBy(id_col, "chunk_id", "kind", "path", "checksum").agg(F.first("text").alias("text"), F.min(at).alias("_first"), F.sort_array(F.collect_list(at)).alias("occurrences"))
-    index = F.row_number().over(Window.partitionBy(id_col).orderBy("_first")) - 1
-    return once.withColumns({"chunk_index": index.cast("long"), "tokens": F.ceil(F.octet_length("text") / 4)}).drop("_first")
-
-
 def chunk_ordinals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines of text as chunks: id, checksum, ordinal (order of first occurrence among the document's distinct lines, from 0), occurrences (line numbers), bytes and a token estimate; blank lines go."""
     lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("_n", "_t")).where("length(trim(_t)) > 0")

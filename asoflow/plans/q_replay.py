@@ -103,7 +103,29 @@ def _(spark, d):
     return s.unionByName(r).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("tx03_chunk_table")
+#: Markdown lines as blocks with their paths
+_BLOCKS = r"""l as (select doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) as n from documents),
+    f as (select *, regexp_matches(line, '^\s*(```|~~~)') as fence, sum(case when regexp_matches(line, '^\s*(```|~~~)') then 1 else 0 end) over (partition by doc_id order by n) as k from l), c as (select *, fence or k % 2 = 1 as code from f),
+    t as (select *, case when code then 'code' when regexp_matches(line, '^#{1,6}\s') then 'heading' when trim(line) = '' or regexp_matches(trim(line), '^(<!--.*-->|(-\s*){3,}|(\*\s*){3,}|(_\s*){3,})$') then 'gap' else 'text' end as kind, case when not code then length(regexp_extract(line, '^(#{1,6})\s', 1)) end as level from c),
+    b as (select *, sum(case when before is null or before <> kind or kind = 'heading' then 1 else 0 end) over (partition by doc_id order by n) as block from (select *, lag(kind) over (partition by doc_id order by n) as before from t)),
+    h as (select *, """ + ", ".join(f"max(case when kind = 'heading' and level = {k} then {{'n': n, 't': regexp_replace(line, '^#+\\s+', '')}} end) over w as h{k}, max(case when kind = 'heading' and level < {k} then n end) over w as r{k}" for k in range(1, 7)) + r""" from b window w as (partition by doc_id order by n rows unbounded preceding)),
+    p as (select *, concat_ws(' > ', """ + ", ".join(f"case when r{k} is null or h{k}.n > r{k} then h{k}.t end" for k in range(1, 7)) + """) as path from h)"""
+
+
+def _cut(source: str, keys: str, limit: int = 1200) -> str:
+    """Recursive tables pc of a source's pieces: keys, k (from 1), part. The largest n with at most limit bytes is found bit by bit."""
+    bits = [0, *(1 << b for b in range(limit.bit_length() - 1, -1, -1))]
+    most = f"list_reduce({bits}, lambda a, b: case when a + b <= length(h) and strlen(left(h, a + b)) <= {limit} then a + b else a end)"
+    tail = "length(left(h, n0)) - length(regexp_extract(left(h, n0), '[^{0}]*$')) - 1"
+    return f"""pc as (select {keys}, 0 as k, null::varchar as part, trim(coalesce(text, ''), chr(10)) as rest from {source} union all
+    select {keys}, k + case when part <> '' then 1 else 0 end, part, rest from (select {keys}, k, trim(case when whole then r else left(r, cut) end, chr(10)) as part, case when whole then '' else ltrim(substr(r, cut + 1), ' ' || chr(10)) end as rest
+    from (select *, case when nl > 0 then nl when sp > 0 then sp else greatest(1, n0) end as cut from (select *, {tail.format(chr(92) + 'n')} as nl, {tail.format(' ')} as sp from (select *, {most} as n0
+    from (select {keys}, k, rest as r, left(rest, {limit}) as h, strlen(rest) <= {limit} as whole from pc where rest <> ''))))))"""
+
+
+@query("tx03_chunk_table", f"""with recursive {_BLOCKS}, bl as (select doc_id, block, case kind when 'code' then 'fence' else 'paragraph' end as kind, max_by(path, n) as path, string_agg(line, chr(10) order by n) as text from p where kind in ('code', 'text') group by all),
+    {_cut("bl", "doc_id, block, kind, path")}, ch as (select doc_id, kind, path, part, sha256(part) as checksum, min((block, k)) as first, count(*) as n_occurrences from pc where part <> '' group by doc_id, kind, path, part)
+    select doc_id, sha256(concat_ws(chr(31), doc_id::varchar, path, kind, checksum)) as chunk_id, row_number() over (partition by doc_id order by first) - 1 as chunk_index, kind, path, checksum, cast(ceil(strlen(part) / 4.0) as bigint) as tokens, cast(n_occurrences as integer) as n_occurrences, cast(first[1] as bigint) as first_block from ch""")
 def _(spark, d):
     c = T.chunk_table(table(spark, d, "documents"), "doc_id", "text", 1200)
     return c.select("doc_id", "chunk_id", "chunk_index", "kind", "path", "checksum", "tokens", F.size("occurrences").alias("n_occurrences"), F.col("occurrences")[0]["block"].cast("long").alias("first_block"))
@@ -179,18 +201,16 @@ def _(spark, d):
     return T.index_violations(chunks, table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 64)
 
 
-@query("tx01_markdown_blocks", r"""with l as (select doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) as n from documents),
-    f as (select *, regexp_matches(line, '^\s*(```|~~~)') as fence, sum(case when regexp_matches(line, '^\s*(```|~~~)') then 1 else 0 end) over (partition by doc_id order by n) as k from l), c as (select *, fence or k % 2 = 1 as code from f),
-    t as (select *, case when code then 'code' when regexp_matches(line, '^#{1,6}\s') then 'heading' when trim(line) = '' or regexp_matches(trim(line), '^(<!--.*-->|(-\s*){3,}|(\*\s*){3,}|(_\s*){3,})$') then 'gap' else 'text' end as kind, case when not code then length(regexp_extract(line, '^(#{1,6})\s', 1)) end as level from c),
-    b as (select *, sum(case when before is null or before <> kind or kind = 'heading' then 1 else 0 end) over (partition by doc_id order by n) as block from (select *, lag(kind) over (partition by doc_id order by n) as before from t)),
-    h as (select *, """ + ", ".join(f"max(case when kind = 'heading' and level = {k} then {{'n': n, 't': regexp_replace(line, '^#+\\s+', '')}} end) over w as h{k}, max(case when kind = 'heading' and level < {k} then n end) over w as r{k}" for k in range(1, 7)) + r""" from b window w as (partition by doc_id order by n rows unbounded preceding)),
-    p as (select *, concat_ws(' > ', """ + ", ".join(f"case when r{k} is null or h{k}.n > r{k} then h{k}.t end" for k in range(1, 7)) + """) as path from h)
+@query("tx01_markdown_blocks", f"""with {_BLOCKS}
     select doc_id, cast(block as bigint) as block, kind, max_by(path, n) as path, sha256(string_agg(line, chr(10) order by n)) as checksum from p where kind in ('code', 'text') group by doc_id, block, kind""")
 def _(spark, d):
     return T.markdown_blocks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "block", "kind", "path", F.sha2("text", 256).alias("checksum"))
 
 
-@query("tx02_bounded_pieces")
+_PIECES = f"""with recursive {_cut("documents", "doc_id")} select doc_id, cast(k - 1 as integer) as piece, strlen(part) as n_bytes, sha256(part) as checksum from pc where part <> ''"""
+
+
+@query("tx02_bounded_pieces", _PIECES)
 def _(spark, d):
     p = T.pieces(table(spark, d, "documents"), ["doc_id"], "text", 1200)
     return p.select("doc_id", "piece", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("checksum"))
@@ -211,12 +231,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(nfkc_casefold(F.col("text")), 256).alias("checksum"))
 
 
-@query("ud02_chunk_text")
+@query("ud02_chunk_text", _PIECES)
 def _(spark, d):
     """The pieces of every text by a table function, in SQL."""
     spark.udtf.register("chunk_text", T.chunk_text)
-    table(spark, d, "documents").createOrReplaceTempView("ud02_documents")
-    return spark.sql("select doc_id, p.piece, octet_length(p.text) as n_bytes, sha2(p.text, 256) as checksum from ud02_documents, lateral chunk_text(coalesce(ud02_documents.text, ''), 1200) p")
+    text = "select doc_id, p.piece, octet_length(p.text) as n_bytes, sha2(p.text, 256) as checksum from {docs} as t, lateral chunk_text(coalesce(t.text, ''), 1200) p"
+    return spark.sql(text, docs=table(spark, d, "documents"))
 
 
 @query("so02_bounded_limits", "select name, budget, n_rows, case when n_rows > budget then 'over_budget' else 'within' end as status from (select 'orders' as name, count(*) as n_rows from orders union all select 'nation', count(*) from nation union all select 'documents', count(*) from documents) cross join (select unnest([25, 1000, 100000000])::bigint as budget)")
