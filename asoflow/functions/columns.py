@@ -141,3 +141,32 @@ def one_hot(value: Column, vocabulary: Sequence[str], name: str) -> dict[str, Co
     out[f"{name}__missing"] = value.isNull().cast("int")
     out[f"{name}__unknown"] = F.coalesce((~value.isin(*vocabulary)).cast("int"), F.lit(0))
     return out
+
+
+def easter_sunday(year: Column) -> Column:
+    """Date of Easter in the Gregorian calendar, by the computus, in whole numbers."""
+
+    def div(x: Column, n: int) -> Column:
+        return F.floor(x / n).cast("int")
+
+    y = year.cast("int")
+    a, b, c = y % 19, div(y, 100), y % 100
+    g = div(b - div(b + 8, 25) + 1, 3)
+    h = (a * 19 + b - div(b, 4) - g + 15) % 30
+    w = (32 + (b % 4) * 2 + div(c, 4) * 2 - h - c % 4) % 7
+    n = h + w - div(a + h * 11 + w * 22, 451) * 7 + 114
+    return F.make_date(y, div(n, 31), n % 31 + 1)
+
+
+def movable_days(day: Column) -> dict[str, Column]:
+    """Flags of a day: Easter (Sunday and Monday), Christmas (25 and 26 December), Black Friday (the day after November's fourth Thursday) and the Monday after it, and public holidays (New Year, Easter Monday, 1 May, Christmas)."""
+    easter = easter_sunday(F.year(day))
+    md = F.month(day) * 100 + F.dayofmonth(day)
+    black = (F.month(day) == 11) & (F.dayofweek(day) == 6) & F.dayofmonth(day).between(23, 29)
+    cyber_of = F.date_sub(day, 3)
+    cyber = (F.month(cyber_of) == 11) & (F.dayofweek(cyber_of) == 6) & F.dayofmonth(cyber_of).between(23, 29)
+    christmas = md.isin(1225, 1226)
+    return {
+        "is_public_holiday": md.isin(101, 501) | christmas | (day == F.date_add(easter, 1)), "is_easter": (day == easter) | (day == F.date_add(easter, 1)),
+        "is_christmas": christmas, "is_black_friday": black, "is_cyber_monday": cyber,
+    }
