@@ -10,11 +10,13 @@ from their sizes are discarded:
 2. All columns, for the rows left: columns with one row leave, and with them rows whose
    remaining columns can't reach the bound for any partner's size.
 3. Block of each row's rarest columns: the product as a join on the column and on a band of
-   sizes. A pair is kept if a column that it shares could be its first one, by the places of the column in
-   both rows; pairs of which no column could are discarded. To keep it linear for groups of near copies, first every row meets the row that leads
-   its column; linked rows become one component, and then only rows of different components
-   meet. The links inside a component can't change it.
-4. All columns, for the pairs left: exact overlap counts, against the bound.
+   sizes, whose groupBy accumulates each pair's overlap count and the places of the last shared column in
+   both rows. A pair is discarded if its count and all that is left behind those places can't reach the bound. To keep
+   it linear for groups of near copies, first every row meets the row that leads
+   its column, and only these pairs are multiplied; linked rows become one component, and then only rows of
+   different components meet. The links inside a component can't change it.
+4. Block of the columns behind those places, for the pairs left: its counts are added to what the pair has,
+   and the sum is held against the bound.
 
 Equal sets are one row of the matrix throughout.
 """
@@ -69,20 +71,36 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(_BAND))).cast("int")
 
 
-def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact overlap reaches the bound."""
+def _within(percent: int) -> Column:
+    """Whether the count so far and what is left behind the last shared columns can reach the bound of the sizes."""
+    left = F.least(F.col("sa") - F.col("ka"), F.col("sb") - F.col("kb")) - 1
+    return (100 + percent) * (F.col("met") + left) >= percent * (F.col("na") + F.col("nb"))
+
+
+def _multiplied(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
+    """The block of the rarest columns for given pairs (a, b): a, b, na, nb, sa, sb, met, ka, kb, as the join gives them for all."""
+    one, two = (ordered.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"s{k}"), F.expr("slice(cols, 1, width)").alias(f"c{k}")) for k in "ab")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("common", F.array_intersect("ca", "cb")).where(F.size("common") > 0)
+    last = F.element_at("common", -1)  # in the order of a's columns, which is everyone's
+    return both.select("a", "b", "na", "nb", "sa", "sb", F.size("common").cast("long").alias("met"), *[(F.array_position(f"c{k}", last) - 1).cast("long").alias(f"k{k}") for k in "ab"])
+
+
+def _links(counted: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap reaches the bound: what they have so far plus the block behind the last shared columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, at), (y, by) = ((c.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))))) for c in (batch.column("ca"), batch.column("cb")))
-            common = [len(np.intersect1d(x[at[i] : at[i + 1]], y[by[i] : by[i + 1]], assume_unique=True)) for i in range(len(batch))]
-            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            kept = (100 + percent) * np.array(common, np.int64) >= percent * sizes
+            more = [len(np.intersect1d(x[at[i] : at[i + 1]], y[by[i] : by[i + 1]], assume_unique=True)) for i in range(len(batch))]
+            common = batch.column("met").to_numpy() + np.array(more, np.int64)
+            kept = (100 + percent) * common >= percent * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    one = rows.select(F.col("doc").alias("a"), F.col("cols").alias("ca"), F.col("n").alias("na"))
-    two = rows.select(F.col("doc").alias("b"), F.col("cols").alias("cb"), F.col("n").alias("nb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+    one, two = (ordered.select(F.col("doc").alias(k), F.col("cols").alias(f"c{k}")) for k in "ab")
+    rest = [F.slice(F.col(f"c{k}"), F.col(f"k{k}").cast("int") + 2, F.greatest(F.lit(0), F.size(f"c{k}") - F.col(f"k{k}").cast("int") - 1)).alias(f"c{k}") for k in "ab"]
+    near = counted.where(_within(percent)).select("a", "b", "na", "nb", "met", "ka", "kb")
+    joined = near.join(one, "a").withColumn("ca", rest[0]).join(two, "b").withColumn("cb", rest[1])
+    return joined.select("a", "b", "na", "nb", "met", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
 def _candidates(docs: DataFrame, seen: DataFrame, reps: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -103,19 +121,29 @@ def _candidates(docs: DataFrame, seen: DataFrame, reps: DataFrame, id_col: str,
     return _prints(texts.join(left, "doc", "left_semi"), "doc", "text", words, percent, True).select("doc", "n", "cols")
 
 
-def _entries(rows: DataFrame, percent: int) -> DataFrame:
-    """Step 2 and the entries of step 3: for each row left, its rarest columns with the sizes that a partner may have if the column is the first that they share."""
+def _ordered(rows: DataFrame, percent: int) -> DataFrame:
+    """Step 2: each row left with its shared columns from the rarest on, and how many of them (width) can be the first that it shares with a partner."""
     cells = rows.select("doc", "n", F.explode("cols").alias("col"))
     times = cells.groupBy("col").agg(F.count("*").alias("times")).where("times > 1")
     kept = cells.join(times, "col").groupBy("doc", "n").agg(F.count("*").alias("shared"), (F.sum("times") / F.col("n")).alias("central"), F.sort_array(F.collect_list(F.struct("times", "col"))).alias("cols"))
-    most = f"cast(floor({100 + percent} * (n - at) / {percent}) as bigint) - n"
-    least = f"cast(ceil({percent} * n / 100) as bigint)"
-    kept = kept.withColumn("at", F.expr("n - shared")).withColumn("most", F.expr(most)).where(f"most >= {least}")
+    kept = kept.withColumn("at", F.expr("n - shared")).where(f"{_most(percent)} >= {_least(percent)}")
     # beyond this place a first shared column comes too late for any partner
-    width = f"greatest(0, least(shared, n - {least} + 1 - (n - shared)))"
-    spread = kept.select("doc", "n", "shared", "central", F.posexplode(F.expr(f"slice(cols, 1, cast({width} as int))")).alias("k", "c"))
-    spread = spread.select("doc", "n", "central", F.expr("n - shared + k").alias("at"), F.col("c.col").alias("col"))
-    return spread.withColumn("most", F.expr(most)).withColumn("least", F.expr(least)).where("most >= least")
+    width = f"cast(greatest(0, least(shared, n - {_least(percent)} + 1 - (n - shared))) as int)"
+    return kept.select("doc", "n", "shared", "central", F.expr(width).alias("width"), F.col("cols.col").alias("cols"))
+
+
+def _most(percent: int) -> str:
+    return f"(cast(floor({100 + percent} * (n - at) / {percent}) as bigint) - n)"
+
+
+def _least(percent: int) -> str:
+    return f"cast(ceil({percent} * n / 100) as bigint)"
+
+
+def _entries(ordered: DataFrame, percent: int) -> DataFrame:
+    """The entries of step 3: for each row left, its rarest columns with the sizes that a partner may have if the column is the first that they share."""
+    spread = ordered.select("doc", "n", "shared", "central", F.posexplode(F.expr("slice(cols, 1, width)")).alias("k", "col")).withColumn("at", F.expr("n - shared + k"))
+    return spread.withColumn("most", F.expr(_most(percent))).withColumn("least", F.expr(_least(percent))).where("most >= least")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,23 +164,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     narrow = seen.select("doc", "n", "d1", "d2")
     reps = narrow.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("m"))
     rows = stored(_candidates(docs, seen, reps, id_col, text_col, words, percent))
-    entries = stored(_entries(rows, percent))
+    ordered = stored(_ordered(rows, percent))
+    entries = stored(_entries(ordered, percent))
 
-    small = entries.where("most >= n").select("col", _band(F.col("n")).alias("band"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("most").alias("mosta"), F.col("central").alias("xa"))
+    small = entries.where("most >= n").select("col", _band(F.col("n")).alias("band"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("most").alias("mosta"), F.col("central").alias("xa"), F.col("shared").alias("sa"), F.col("k").alias("ka"))
     large = entries.withColumn("most", F.least("most", "n")).withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most")))))
-    large = large.select("col", "band", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("least").alias("leastb"), F.col("most").alias("mostb"), F.col("central").alias("xb"))
+    large = large.select("col", "band", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("least").alias("leastb"), F.col("most").alias("mostb"), F.col("central").alias("xb"), F.col("shared").alias("sb"), F.col("k").alias("kb"))
     fits = (F.col("a") != F.col("b")) & (F.col("na") <= F.col("mostb")) & (F.col("na") >= F.col("leastb")) & (F.col("nb") <= F.col("mosta"))
 
     # the row that leads a column and band on either side is the one whose columns are the most common on average
     first = None
     for side, other, key in ((small, large, "b"), (large, small, "a")):
         own = "a" if key == "b" else "b"
-        lead = side.groupBy("col", "band").agg(F.max(F.struct(f"x{own}", F.bitwise_not(own).alias("tie"), *[c for c in side.columns if c not in ("col", "band", f"x{own}")])).alias("s")).select("col", "band", "s.*").drop("tie")
+        lead = side.groupBy("col", "band").agg(F.max(F.struct(f"x{own}", F.bitwise_not(own).alias("tie"), *[c for c in side.columns if c not in ("col", "band", f"x{own}", f"s{own}", f"k{own}")])).alias("s")).select("col", "band", "s.*").drop("tie")
         met = other.join(lead, ["col", "band"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.max(f"x{own}").alias("x"))
         pick = met.groupBy(key).agg(F.max_by(own, F.struct("met", "x", F.bitwise_not(own))).alias(own)).select("a", "b")
         first = pick if first is None else first.union(pick)
     first = first.distinct()
-    links = stored(_overlaps(first, rows, percent))
+    links = stored(_links(_multiplied(first, ordered), ordered, percent))
     named = stored(connected_components(links))
 
     def label(side: DataFrame, key: str) -> DataFrame:
@@ -164,7 +193,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     ends = ends.join(large.groupBy("col", "band").agg(F.min("cb").alias("lob"), F.max("cb").alias("hib")), ["col", "band"])
     mixed = ends.where("lo <> hi or lob <> hib or lo <> lob").select("col", "band")
     rest = small.join(mixed, ["col", "band"], "left_semi").join(large, ["col", "band"]).where(fits & (F.col("ca") != F.col("cb")))
-    more = _overlaps(rest.select("a", "b").distinct(), rows, percent)
+    counted = rest.groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count("*").alias("met"), F.max("ka").cast("long").alias("ka"), F.max("kb").cast("long").alias("kb"))
+    more = _links(counted, ordered, percent)
     final = connected_components(stored(links.select("a", "b").union(more)))
 
     classes = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
