@@ -217,6 +217,34 @@ def diversify(hits: DataFrame, least: float, budget: int, size_col: str, most: i
     return queue.select("query_id", F.inline(F.aggregate("_q", start, take)["hits"])).select("query_id", "id", "tier", "used")
 
 
+def greedy_budget(hits: DataFrame, least: float, budget: int, size_col: str, most: int, per_document: int) -> DataFrame:
+    """What diversify takes, as a grouped map over Arrow batches: a query's hits are one group, as many as its search returned (a bounded k), and are gone through in order once."""
+    found = hits.where(F.col("score") >= least).select("query_id", "id", "repository", "document", "score", F.col(size_col).cast("long").alias("size"))
+
+    def take(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (-r["score"], r["id"]))
+        first_of: dict[str, set] = {"repository": set(), "document": set()}
+        for r in rows:
+            r["top"] = r["repository"] not in first_of["repository"]
+            first_of["repository"].add(r["repository"])
+        led = {r["document"] for r in rows if r["top"]}
+        for r in rows:
+            fresh = r["document"] not in first_of["document"]
+            first_of["document"].add(r["document"])
+            r["tier"] = 0 if r["top"] else 1 if fresh and r["document"] not in led else 2
+        used, held, out = 0, {}, []
+        for r in sorted(rows, key=lambda r: (r["tier"], -r["score"], r["id"])):
+            if used + r["size"] <= budget and len(out) < most and held.get(r["document"], 0) < per_document:
+                used += r["size"]
+                held[r["document"]] = held.get(r["document"], 0) + 1
+                out.append((r["query_id"], r["id"], r["tier"], used))
+        kinds = (table.schema.field("query_id").type, table.schema.field("id").type, pa.int32(), pa.int64())
+        return pa.table([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["query_id", "id", "tier", "used"])
+
+    types = dict(found.dtypes)
+    return found.groupBy("query_id").applyInArrow(take, f"query_id {types['query_id']}, id {types['id']}, tier int, used long")
+
+
 def index_violations(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
     """Chunks without a vector, vectors without a chunk, wrong dimensions and norms: id, reason."""
     from asoflow.functions.columns import norm

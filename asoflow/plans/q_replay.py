@@ -173,11 +173,14 @@ def _(spark, d):
     return _found(spark, d, 10)
 
 
-@query("tx09_diversify", f"""with recursive {_COS}, h as (select r.*, e.label as repository, 100 + r.id % 7 * 60 as size from r join embeddings e on e.vec_id = r.id where rank <= 12 and score >= 0.0), n as (select *, row_number() over (partition by query_id, repository order by score desc, id) as rr, row_number() over (partition by query_id, document order by score desc, id) as dd from h),
+_DIVERSE = """h as (select r.*, e.label as repository, 100 + r.id % 7 * 60 as size from r join embeddings e on e.vec_id = r.id where rank <= 12 and score >= 0.0), n as (select *, row_number() over (partition by query_id, repository order by score desc, id) as rr, row_number() over (partition by query_id, document order by score desc, id) as dd from h),
     t as (select *, case when rr = 1 then 0 when dd = 1 and max(case when rr = 1 then 1 else 0 end) over (partition by query_id, document) = 0 then 1 else 2 end as tier from n), o as (select *, row_number() over (partition by query_id order by tier, score desc, id) as place from t),
     f as (select query_id, 0 as place, 0 as used, []::bigint[] as docs, false as fits, null::bigint as id, null::integer as tier from (select distinct query_id from o) union all
     select f.query_id, o.place, case when g then f.used + o.size else f.used end, case when g then list_append(f.docs, o.document) else f.docs end, g, o.id, o.tier from f join (select * from o) o on o.query_id = f.query_id and o.place = f.place + 1 cross join lateral (select f.used + o.size <= 1000 and len(f.docs) < 5 and len(list_filter(f.docs, lambda x: x = o.document)) < 2 as g))
-    select query_id, id, tier, cast(used as bigint) as used from f where fits""")
+    select query_id, id, tier, cast(used as bigint) as used from f where fits"""
+
+
+@query("tx09_diversify", f"with recursive {_COS}, {_DIVERSE}")
 def _(spark, d):
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("repository"))
     h = _found(spark, d, 12).join(labels, "id").withColumn("size", 100 + F.col("id") % 7 * 60)
