@@ -117,15 +117,18 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
+_CARRIED = 256  # sign bits beside a code, whatever the number of tables
+
+
 def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.9995, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of vectors whose cosine, in double precision, is at least threshold, and their components.
 
     Vectors of equal unit form are one node with a multiplicity. Every node gets a sign code from
     random hyperplanes in each of several tables; nodes that share a code meet. Buckets are cut
     into blocks, and each pair of blocks is one piece of work (a cell), so a hot bucket spreads over many tasks.
-    Codes travel first: a cell keeps the nodes that have a partner whose sign bits over all tables are near
-    enough and that it meets in no earlier table. Only for those the vectors are fetched, and
-    the cosine is taken; a cell returns one row per node, never its pairs.
+    Codes travel first, with a fixed number of sign bits: a cell keeps the nodes that have a partner whose bits are near
+    enough and that, by these bits, it meets in no earlier table. Only for those the vectors and the bits of all tables are fetched; a pair
+    counts in the first table that it shares, and the cosine is taken. A cell returns one row per node, never its pairs.
 
     Returns one row per input row: id_col, n_links (other vectors linked directly),
     component_id (smallest id reachable, itself included), kept (id_col = component_id). Every
@@ -145,59 +148,67 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.95, recal
     miss = (1 - recall) / 2
     bits, tables = tables_for(n, threshold, 1 - miss)
     total = bits * tables
-    differing = most_differing(total, threshold, miss)
 
-    def signs_of(column: pa.Array) -> np.ndarray:
+    carried = min(total, _CARRIED)  # sign bits that travel with every code
+    near_enough = most_differing(carried, threshold, miss)
+
+    def bits_of(column: pa.Array, count: int) -> np.ndarray:
         packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-        return np.unpackbits(packed, axis=1, count=total, bitorder="little")
+        return np.unpackbits(packed, axis=1, count=count, bitorder="little")
+
+    def codes_of(signs: np.ndarray, upto: int) -> np.ndarray:
+        """The codes of the first tables."""
+        return (signs[:, : upto * bits].reshape(len(signs), upto, bits) * (1 << np.arange(bits))).sum(axis=2, dtype=np.int64)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, at, x in _by_length(batch.column(1)):
                 planes = np.random.default_rng(20240 + size).standard_normal((size, total))
                 signs = _unit(x) @ planes > 0
-                own = (signs.reshape(-1, tables, bits) * (1 << np.arange(bits))).sum(axis=2, dtype=np.int64)
-                key = np.arange(tables, dtype=np.int64) << 40 | size % 512 << 31 | own
-                packed = [row.tobytes() for row in np.packbits(signs, axis=1, bitorder="little")]
-                node = np.repeat(batch.column(0).to_numpy()[at], tables)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key.reshape(-1)), pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), tables)))], ["node", "key", "signs"])
-
-    places = stored(nodes.select("node", "v").mapInArrow(code, "node long, key long, signs binary"))
+                keys = np.arange(tables, dtype=np.int64) << 40 | size % 512 << 31 | codes_of(signs, tables)
+                packed = np.packbits(signs, axis=1, bitorder="little")
+                head = np.packbits(signs[:, :carried], axis=1, bitorder="little")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[at]), lists, *(pa.array([row.tobytes() for row in p], pa.binary()) for p in (head, packed))], ["node", "keys", "head", "signs"])
+
+    coded = stored(nodes.select("node", "v").mapInArrow(code, "node long, keys array<long>, head binary, signs binary"))
+    places = coded.select("node", F.explode("keys").alias("key"), "head")
     held = places.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     met = places.join(held, "key").withColumn("blocks", F.ceil(F.col("held") / _CELL).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    met = met.select("node", "key", "signs", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = met.select("node", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "signs")
+    met = met.select("node", "key", "head", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = met.select("node", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "head")
     cells = cells.repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY, "node")
 
-    def pairs_in(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows of a cell that are near by their sign bits and share no code of an earlier table."""
-        signs = signs_of(batch.column("signs"))
+    def pairs_in(batch: pa.RecordBatch, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of a cell that are near by the carried bits and share no code of an earlier table: of those tables whose bits are carried, or with whole of all."""
+        heads = bits_of(batch.column("head"), carried)
         block, key = batch.column("block").to_numpy(), batch.column("key")[0].as_py()
         crossing = batch.column("i")[0].as_py() != batch.column("j")[0].as_py()
         table = key >> 40
-        spun = signs.astype(np.float32) * 2 - 1
-        earlier = (signs[:, : table * bits].reshape(len(signs), table, bits) * (1 << np.arange(bits))).sum(axis=2, dtype=np.int64)
-        for lo in range(0, len(signs), 512):
-            near = spun[lo : lo + 512] @ spun.T >= total - 2 * differing
-            near &= np.arange(len(signs)) > np.arange(lo, lo + len(near))[:, None]
+        spun = heads.astype(np.float32) * 2 - 1
+        earlier = codes_of(bits_of(batch.column("signs"), total), table) if whole else codes_of(heads, min(table, carried // bits))
+        for lo in range(0, len(heads), 512):
+            near = spun[lo : lo + 512] @ spun.T >= carried - 2 * near_enough
+            near &= np.arange(len(heads)) > np.arange(lo, lo + len(near))[:, None]
             if crossing:
                 near &= block != block[lo : lo + len(near), None]
             x, y = np.nonzero(near)
             for part in range(0, len(x), 1 << 18):
                 a, b = x[part : part + (1 << 18)] + lo, y[part : part + (1 << 18)]
-                fresh = ~(earlier[a] == earlier[b]).any(axis=1) if table else np.ones(len(a), bool)
+                fresh = ~(earlier[a] == earlier[b]).any(axis=1) if earlier.shape[1] else np.ones(len(a), bool)
                 yield a[fresh], b[fresh]
 
     def sift(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The rows of a cell that have a partner to verify."""
         wanted = np.zeros(len(batch), bool)
-        for a, b in pairs_in(batch):
+        for a, b in pairs_in(batch, False):
             wanted[a] = wanted[b] = True
-        return batch.select(["node", *_CELL_KEY, "block", "signs"]).filter(pa.array(wanted))
+        return batch.select(["node", *_CELL_KEY, "block", "head"]).filter(pa.array(wanted))
 
-    schema = "node long, key long, i int, j int, block int, signs binary"
+    schema = "node long, key long, i int, j int, block int, head binary"
     wanted = cells.mapInArrow(lambda batches: _in_cells(batches, sift), schema)
-    work = wanted.join(nodes.select("node", "v", "m", "lead"), "node").repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY, "node")
+    full = nodes.select("node", "v", "m", "lead").join(coded.select("node", "signs"), "node")
+    work = wanted.join(full, "node").repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY, "node")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Verified links of a cell, by node."""
@@ -205,7 +216,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.95, recal
         lead = batch.column("lead").to_numpy()
         unit, size = _ragged(batch.column("v"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in pairs_in(batch):
+        for a, b in pairs_in(batch, True):
             close = (unit[a] * unit[b]).sum(axis=1) >= threshold
             close &= size[a] == size[b]
             left.append(a[close])
