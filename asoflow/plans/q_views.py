@@ -152,13 +152,15 @@ def _(spark, d):
 
 
 @query("ds12_stockout_features", sql(f"""with {_DAYS}, {_STOCK}, o as (select product, location, channel, origin from (select distinct product, location, channel from ledger) cross join weeks),
-    a as (select o.product, o.location, o.channel, o.origin, max_by(balance, sequence) as available_qty, max_by(m.day, sequence) as moved_on, max(case when kind = 'receipt' then m.day end) as receipt from o join mv m on m.product = o.product and m.location = o.location and m.channel = o.channel and m.day <= origin and m.available <= origin group by all),
-    u as (select product, location, channel, day, -sum(delta) as u, max(available) as known from mv where kind = 'sale' group by all), hs as (select o.product, o.location, o.channel, o.origin, count(*) as n, sum(u) as s, sum(u * u) as q, count(case when t.in_stock then 1 end) as ni, sum(case when t.in_stock then u end) as si from o join u on u.product = o.product and u.location = o.location and u.channel = o.channel and u.day > origin - 28 and u.day <= origin and u.known <= origin
+    ev as (select product, location, channel, greatest(day, available) as t, {{'s': sequence, 'b': balance, 'd': day}} as m, case when kind = 'receipt' then day end as rc, false as asked from mv union all select product, location, channel, origin, null, null, true from o),
+    a as (select product, location, channel, t as origin, last.b as available_qty, last.d as moved_on, receipt from (select *, max(m) over w as last, max(rc) over w as receipt from ev window w as (partition by product, location, channel order by t range unbounded preceding)) where asked and last is not null),
+    u as (select product, location, channel, day, -sum(delta) as u, max(available) as known from mv where kind = 'sale' group by all), hs as (select o.product, o.location, o.channel, o.origin, count(*) as n, sum(u) as s, sum(u * u) as q, count(case when t.in_stock then 1 end) as ni, sum(case when t.in_stock then u end) as si from (select *, unnest([day + cast(7 - isodow(day) as integer), day + cast(14 - isodow(day) as integer), day + cast(21 - isodow(day) as integer), day + cast(28 - isodow(day) as integer)]) as origin from u) u join o on u.product = o.product and u.location = o.location and u.channel = o.channel and u.origin = o.origin and u.known <= o.origin
     join stock_day t on t.product = o.product and t.location = o.location and t.channel = o.channel and t.day = u.day group by all),
     c as (select product, location, channel, day, sum(case when in_stock is not null then 1 else 0 end) over w as cd, sum(case when not in_stock then 1 else 0 end) over w as cc, sum(onsets) over w as co from stock_day window w as (partition by product, location, channel order by day rows unbounded preceding)),
     hd as (select o.*, coalesce(x.cd, 0) - coalesce(y.cd, 0) as nd, coalesce(x.cc, 0) - coalesce(y.cc, 0) as nc, coalesce(z.cd, 0) - coalesce(y.cd, 0) as np, coalesce(z.co, 0) - coalesce(y.co, 0) as no from o left join c x on x.product = o.product and x.location = o.location and x.channel = o.channel and x.day = origin left join c y on y.product = o.product and y.location = o.location and y.channel = o.channel and y.day = origin - 28
     left join c z on z.product = o.product and z.location = o.location and z.channel = o.channel and z.day = origin - 1),
-    pl as (select o.product, o.location, o.channel, o.origin, sum(case when m.day <= origin + 7 then delta end) as due, min(m.day) as nxt from o join mv m on m.product = o.product and m.location = o.location and m.channel = o.channel and m.kind = 'receipt' and m.day > origin group by all)
+    rp as (select product, location, channel, day, sum(delta) as q from mv where kind = 'receipt' group by all), du as (select product, location, channel, day - cast(isodow(day) as integer) as origin, sum(q) as due from rp group by all),
+    pl as (select o.*, due, r.day as nxt from o left join du using (product, location, channel, origin) asof left join rp r on r.product = o.product and r.location = o.location and r.channel = o.channel and o.origin < r.day)
     select o.product, o.location, o.channel, o.origin, available_qty, o.origin - moved_on as snapshot_age_days, coalesce(n, 0) as history_known_days, 28 - coalesce(n, 0) as history_missing_days, round(s / n, 6) as observed_sales_mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0.0)), 4) as observed_sales_std, round(si / nullif(ni, 0), 6) as in_stock_sales_mean, coalesce(ni, 0) as history_in_stock_days,
     cast(nc as bigint) as history_constrained_days, cast(28 - nd as bigint) as history_inventory_unknown_days, case when np = 27 then cast(no as bigint) end as historical_stockout_onsets, round(available_qty * n / nullif(s, 0), 4) as days_of_supply_observed, round(available_qty * ni / nullif(si, 0), 4) as days_of_supply_in_stock, coalesce(due, 0.0) as due_within_7d_quantity, nxt - o.origin as next_expected_delivery_days, o.origin - receipt as last_receipt_days,
     case when available_qty is null then 'insufficient_data' when available_qty <= 0 then 'already_stockout' when coalesce(n, 0) < 7 then 'insufficient_data' else 'eligible' end as status, case when available_qty is null then 'inventory_unknown' when available_qty > 0 and coalesce(n, 0) < 7 then 'insufficient_sales_history' end as reason
