@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asoflow.sources.scratch import written
 
 _BUCKETS = 64
 
@@ -28,6 +29,7 @@ def running_sums(cells: DataFrame, group: Sequence[str], value: str, sums: Seque
     buckets' sums meet per group. Which cuts are taken doesn't change the result.
     """
     shares = [k / _BUCKETS for k in range(1, _BUCKETS)]
+    cells = written(cells)  # read three times
     cuts = cells.groupBy(*group).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))  # a short list for each group
     placed = _joined(cells, cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     whole = Window.partitionBy(*group)

@@ -84,10 +84,13 @@ def _(spark, d):
     return P.islands(series_day(spark, d).withColumn("known", F.date_add("day", 1)), SERIES, "day", "known")
 
 
-@query("st04_panel_reindex", sql("""select p.product, p.location, p.channel, p.day, units from (select distinct product, location, channel from series_day) k cross join (select cast(unnest(range(date '1999-01-01', date '1999-03-01', interval 1 day)) as date) as day) y
-    left join series_day s using (product, location, channel, day) cross join lateral (select k.product, k.location, k.channel, y.day) p""", "series_day"))
+@query("st04_panel_reindex", sql("""select y.day, count(*) as n_series, count(units) as n_known, sum(units) as units from (select distinct product, location, channel from series_day) k cross join (select cast(unnest(generate_series(first_day::timestamp, last_day::timestamp, interval 1 day)) as date) as day from span) y
+    left join series_day s on s.product = k.product and s.location = k.location and s.channel = k.channel and s.day = y.day group by 1""", "series_day", "span"))
 def _(spark, d):
-    return P.reindex(series_day(spark, d), SERIES, "1999-01-01", "1999-02-28")
+    """Every series on every day of the data, by day: missing days are there, without units."""
+    ends = span(spark, d).first()
+    panel = P.reindex(series_day(spark, d), SERIES, str(ends["first_day"]), str(ends["last_day"]))
+    return panel.groupBy("day").agg(F.count("*").alias("n_series"), F.count("units").alias("n_known"), F.sum("units").alias("units"))
 
 
 @query("ag09_baselines", sql(f"""with {_ORIGINS} select o.product, o.location, o.channel, origin, max_by(units, day) as last_observed, round(avg(units), 6) as moving_average, median(units) filter (origin - day < 7) as median_7, max_by(units, day) filter ((origin - day) % 7 = 6) as seasonal, count(units) as known

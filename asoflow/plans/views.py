@@ -18,8 +18,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "plans": (("plan_base",), """select part, scope, case when scope like 'location%' then r_name end as location, case when scope like '%channel' then one else 'all' end as channel, from_day, to_day, cast(v as bigint) as version, from_day + (case when v = 2 then 30 else -10 end) as known,
         cast(round(p_retailprice * (100 + k), 0) + (case when v = 2 then 500 else 0 end) - length(scope) as bigint) as price_cents
         from plan_base, (select unnest([1, 2]) as v) where v = 1 or m5 = 0"""),
-    "routes": ((), """select r_name as location, 'W' || cast((r_regionkey + year) % 5 as varchar) as stock, make_date(year, 1, 1) as from_day, make_date(year + 1, 1, 1) as to_day,
-        cast(1 as bigint) as version, make_date(year, 1, 1) - 20 as known from region, (select cast(unnest(range(1995, 2002)) as bigint) as year)"""),
+    "routes": (("span",), """select r_name as location, 'W' || cast((r_regionkey + year) % 5 as varchar) as stock, make_date(year, 1, 1) as from_day, make_date(year + 1, 1, 1) as to_day,
+        cast(1 as bigint) as version, make_date(year, 1, 1) - 20 as known from region, (select cast(unnest(range(year(first_day), year(last_day + 60) + 1)) as bigint) as year from span)"""),
     "ledger_ends": (("span",), "select cast(date_trunc('week', first_day) as date) as start, (last_day - cast(date_trunc('week', first_day) as date)) // 7 as last_week from span"),
     "ledger_sales": (("series_day", "ledger_ends"), "select *, (day - start) // 7 as week from series_day cross join ledger_ends"),
     "ledger_weekly": (("ledger_sales",), """select product, location, channel, start, last_week, week, coalesce(sold, 0.0) as sold, week // 4 as block

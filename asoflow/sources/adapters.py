@@ -69,9 +69,10 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A location's stock location, changing with the year."""
+    """A location's stock location, changing with the year, for all years of the data and the two months after it."""
     region = table(spark, sf_dir, "region").select(F.col("r_name").alias("location"), F.col("r_regionkey").cast("long").alias("key"))
-    years = region.select("location", "key", F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year"))
+    ends = span(spark, sf_dir).select(F.explode(F.sequence(F.year("first_day"), F.year(F.date_add("last_day", 60)))).alias("year"))
+    years = region.crossJoin(F.broadcast(ends))  # the years of the data
     return years.select(
         "location", F.concat(F.lit("W"), ((F.col("key") + F.col("year")) % 5).cast("string")).alias("stock"),
         F.make_date("year", F.lit(1), F.lit(1)).alias("from_day"), F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)).alias("to_day"),
