@@ -54,6 +54,18 @@ def order_statistic(df: DataFrame, group: Sequence[str], value: str, rank: Calla
     return found.groupBy(*group).agg(F.max("total").alias("n"), F.min(reached).alias("statistic"))
 
 
+def quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Each group's n and its quantiles (name -> share), linear between two neighbours, by exact ranks; nulls don't count, and a group without values has no row."""
+    found = cumulative(df, group, value)
+    picks = []
+    for name, q in wanted.items():
+        place = F.lit(q) * (F.col("total") - 1)
+        low, high = (F.min(F.when(F.col("upto") >= f(place) + 1, F.col(value))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        picks.append((low + (high - low) * part).alias(name))
+    return found.groupBy(*group).agg(F.max("total").alias("n"), *picks)
+
+
 def ranked_down(df: DataFrame, group: Sequence[str], score: str, tie: str) -> DataFrame:
     """Adds rank, the place of each row of its group by falling score and then rising tie, and n; rows without a score go. A window holds the rows of one score."""
     found = cumulative(df, group, score).select(*group, score, (F.col("total") - F.col("upto")).alias("_above"), F.col("total").alias("n"))

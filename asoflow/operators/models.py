@@ -221,7 +221,7 @@ def isolation_scores(df: DataFrame, forest: DataFrame, group: Sequence[str], fea
 def permutation_importance(df: DataFrame, score, groups: dict[str, Sequence[str]], label: str, key: Sequence[str], rounds: int = 5) -> DataFrame:
     """Rise of the Brier score and drop of the average precision when a group of features is shuffled among rows: feature, brier, brier_rise, average_precision, precision_drop, rounds.
 
-    A shuffle is a join of two row numbers: each row takes the features of the row that has its number in another hash order. Numbers are dealt within 64 hash buckets, so no task numbers the whole.
+    A shuffle is a join of two row numbers: each row takes the features of the row that has its number in another hash order. Numbers are dealt within hash buckets of about 50,000 rows (64 buckets at least), so no task numbers the whole.
     score: a function that adds p to a DataFrame.
     """
     from asoflow.operators.metrics import average_precision, brier
@@ -233,10 +233,11 @@ def permutation_importance(df: DataFrame, score, groups: dict[str, Sequence[str]
         return found[0], float("nan") if found[1] is None else found[1]
 
     base, out = value(df), []
+    buckets = max(64, df.count() // 50_000)
     for name, columns in groups.items():
         found = []
         for r in range(rounds):
-            bucket = F.pmod(F.xxhash64(*key, F.lit(r)), F.lit(64))
+            bucket = F.pmod(F.xxhash64(*key, F.lit(r)), F.lit(buckets))
             own = df.withColumn("_b", bucket)
             own = own.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*key)))
             other = own.select("_b", *columns, F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*key, F.lit(100 + r)), *key)).alias("_k"))

@@ -51,9 +51,12 @@ def empirical_baselines(df: DataFrame, origins: DataFrame, key: Sequence[str], d
 
 
 def robust_scale(df: DataFrame, group: Sequence[str], residual: str, min_rows: int = 7) -> DataFrame:
-    """max(1, 1.4826 MAD) of each group, null with fewer rows: exact medians in two passes."""
-    middle = df.groupBy(*group).agg(F.median(residual).alias("_m"))
-    spread = df.join(middle, list(group)).groupBy(*group).agg(F.median(F.abs(F.col(residual) - F.col("_m"))).alias("_mad"), F.count(residual).alias("n"))
+    """max(1, 1.4826 MAD) of each group, null with fewer rows: exact medians in two passes, by ranks, so no task holds a group."""
+    from asoflow.operators.metrics import quantiles
+
+    middle = quantiles(df, group, residual, {"_m": 0.5}).drop("n")
+    apart = df.join(middle, list(group)).select(*group, F.abs(F.col(residual) - F.col("_m")).alias("_d"))
+    spread = df.select(*group).distinct().join(quantiles(apart, group, "_d", {"_mad": 0.5}), list(group), "left").fillna(0, ["n"])
     return spread.select(*group, "n", F.when(F.col("n") >= min_rows, F.greatest(F.lit(1.0), F.col("_mad") * 1.4826)).alias("scale"))
 
 

@@ -227,7 +227,8 @@ def _(spark, d):
 def _(spark, d):
     p = table(spark, d, "part").where("p_partkey % 3 = 0")
     long = p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in ("p_size", "p_retailprice")])))
-    return long.groupBy("field").agg(F.round(F.median("v"), 6).alias("fill"), F.countDistinct("v").alias("n_values"))
+    counts = long.groupBy("field").agg(F.countDistinct("v").alias("n_values"))
+    return M.quantiles(long, ["field"], "v", {"fill": 0.5}).join(counts, "field").select("field", F.round("fill", 6).alias("fill"), "n_values")
 
 
 @query("ag33_standardise", "select p_partkey, round((p_retailprice - (select avg(p_retailprice) from part)) / (select stddev_pop(p_retailprice) from part), 6) as z, round(0.0, 6) as constant from part")

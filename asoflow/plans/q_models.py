@@ -115,11 +115,13 @@ def _(spark, d):
     from c join t on t.product = c.product left join e on e.product = c.product and e.target >= date '2000-01-01' group by c.product, chosen""", "forecasts"))
 def _(spark, d):
     """Recipes fitted before 1999, one chosen on 1999, and measured, with the band, on all later days."""
+    from asoflow.operators.metrics import quantiles
     from asoflow.sources.adapters import forecasts
 
     e = forecasts(spark, d).where("y is not null and p is not null").withColumn("e", F.col("y") - F.col("p"))
     ratio = F.least(F.greatest(F.sum("y") / F.sum("p"), F.lit(0.8)), F.lit(1.25))
-    t = e.where("target < date'1999-01-01'").groupBy("product").agg(F.median("e").alias("median_shift"), F.avg("e").alias("mean_shift"), ratio.alias("ratio"), F.percentile("e", 0.1).alias("low"), F.percentile("e", 0.9).alias("high"))
+    early = e.where("target < date'1999-01-01'")
+    t = early.groupBy("product").agg(F.avg("e").alias("mean_shift"), ratio.alias("ratio")).join(quantiles(early, ["product"], "e", {"median_shift": 0.5, "low": 0.1, "high": 0.9}).drop("n"), "product")
     made = {"plain": F.col("p"), "median": F.col("p") + F.col("median_shift"), "mean": F.col("p") + F.col("mean_shift"), "ratio": F.col("p") * F.col("ratio")}
     tried = e.join(t, "product")
     errors = [F.struct(F.avg(F.abs(F.col("y") - x)).alias("m"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, x) in enumerate(made.items())]

@@ -47,14 +47,19 @@ def _(spark, d):
     return spark.read.parquet(path).agg(F.count("*").alias("n_delivered"), F.countDistinct("event_id").alias("n_ids"))
 
 
-_PARTS = 16
+#: partitions of the capture: one for 20,000 events, 16 at least
+_PARTS = "(select greatest(16, count(*) // 20000) from events)"
 #: the capture dealt over partitions by event, with event times that may be late, and a progress record ahead of a partition's first delivery of each day
 _DEALT = f"""dealt as (select event_id % {_PARTS} as part, row_number() over (partition by event_id % {_PARTS} order by "offset") - 1 as place, event_id, ts - to_hours(cast(event_id % 3 * 20 as integer)) as moment, day, value from capture),
     told as (select part, day, min(place) as place, cast(day - 1 as timestamp) as through from dealt group by all)"""
 
 
+def _parts(spark, d):
+    return max(16, table(spark, d, "events").count() // 20_000)
+
+
 def _dealt(spark, d):
-    part = (F.col("event_id") % _PARTS).cast("int")
+    part = (F.col("event_id") % _parts(spark, d)).cast("int")
     place = F.row_number().over(Window.partitionBy(part).orderBy("offset")).cast("long") - 1
     at = F.col("ts") - F.make_dt_interval(F.lit(0), (F.col("event_id") % 3 * 20).cast("int"))
     return capture(spark, d).select(part.alias("partition"), place.alias("offset"), "event_id", at.alias("event_time"), "day", "value")
@@ -76,7 +81,7 @@ def _records(spark, d):
 def _replayed(spark, d, parent=None, fail=False):
     """Runs the stream over the capture, a few partitions to a batch; with fail, the first batch is lost after its effects and tried again."""
     root = scratch(spark)
-    _records(spark, d).repartition(_PARTS, "partition").sortWithinPartitions("partition", "offset").write.partitionBy("partition").json(f"{root}/in")
+    _records(spark, d).repartition(_parts(spark, d), "partition").sortWithinPartitions("partition", "offset").write.partitionBy("partition").json(f"{root}/in")
     state = {"fail": fail}
 
     def run():
