@@ -122,18 +122,28 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     return out.select("id", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
 
 
-def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: int) -> DataFrame:
+def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: int, scoped: bool = False) -> DataFrame:
     """The k best chunks of each query by exact cosine, at most per_document of one document; ties to the smaller id.
 
     chunks: id, document, v. queries: query_id, v; any number of both. They meet in blocks by matrix products, and a
     block returns k rows a query, which are enough: what comes after them in the block comes after as many in the
     whole. Scores are rounded to six places before they are compared.
+
+    scoped: a query sees only what it may, before anything is ranked. Chunks then have scope (null: for everyone), status, from_day
+    and to_day (half-open, null: no end), queries have scope and day: a chunk must be open to the query's scope, 'active', and
+    in force on its day.
     """
     blocks, asks = max(1, -(-chunks.count() // _VECTORS)), max(1, -(-queries.count() // _QUERIES))
     document = dict(chunks.dtypes)["document"]
     v = F.col("v").cast("array<double>").alias("v")
-    side = chunks.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"), F.lit(False).alias("ask"), "id", "document", v)
-    other = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int").alias("q"), F.lit(True).alias("ask"), F.col("query_id").alias("id"), F.lit(None).cast(document).alias("document"), v)
+    if scoped:
+        chunks = chunks.where("status = 'active'")
+        own = [F.col("scope"), F.coalesce(F.unix_date("from_day"), F.lit(-(1 << 30))).alias("since"), F.coalesce(F.unix_date("to_day"), F.lit(1 << 30)).alias("until")]
+        asked = [F.col("scope"), F.unix_date("day").alias("since"), F.lit(0).alias("until")]
+    else:
+        own = asked = [F.lit(None).cast("string").alias("scope"), F.lit(0).alias("since"), F.lit(1).alias("until")]
+    side = chunks.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"), F.lit(False).alias("ask"), "id", "document", v, *own)
+    other = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int").alias("q"), F.lit(True).alias("ask"), F.col("query_id").alias("id"), F.lit(None).cast(document).alias("document"), v, *asked)
 
     def best(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy()
@@ -143,8 +153,12 @@ def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: i
             x, y = (np.stack([np.asarray(r, float) for r in t.column("v").to_pylist()]) for t in (asked, pool))
             ids, documents, own = pool.column("id").to_numpy(), pool.column("document").to_pylist(), asked.column("id").to_numpy()
             scores = np.round((x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1)), 6)
-            for q, row in zip(own, scores, strict=True):
-                row = np.where(ids == q, -np.inf, row)
+            scope, wants = (np.array(t.column("scope").to_pylist(), object) for t in (pool, asked))
+            since, until, day = pool.column("since").to_numpy(), pool.column("until").to_numpy(), asked.column("since").to_numpy()
+            public = np.array([s is None for s in scope])
+            for q, row, want, at_day in zip(own, scores, wants, day, strict=True):
+                seen = (public | (scope == want)) & (since <= at_day) & (at_day < until)
+                row = np.where((ids == q) | ~seen, -np.inf, row)
                 wide, picked = 8 * k, []
                 while True:  # the best rows by score; more, if one document has too many of them
                     least = np.partition(row, -wide)[-wide] if wide < len(row) else -np.inf

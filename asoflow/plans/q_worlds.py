@@ -73,3 +73,18 @@ def _(spark, d):
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("repository"))
     h = _found(spark, d, 12).join(labels, "id").withColumn("size", 100 + F.col("id") % 7 * 60)
     return T.greedy_budget(h, 0.0, 1000, "size", 5, 2)
+
+
+@query("tx08_scoped_search", """with v as (select vec_id as id, vec_id % 7 as document, embedding as v, case when vec_id % 3 > 0 then 's' || (vec_id % 4) end as scope, case when vec_id % 11 = 0 then 'retired' else 'active' end as status, date '2024-01-01' + cast(vec_id % 50 as integer) as from_day, case when vec_id % 5 = 0 then date '2024-02-01' end as to_day from embeddings),
+    q as (select vec_id as id, embedding as v, 's' || (vec_id // 50 % 4) as scope, date '2024-01-20' + cast(vec_id // 50 % 30 as integer) as day from embeddings where vec_id % 50 = 0),
+    c as (select q.id as query_id, v.id, v.document, round(list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v))), 6) as score from v join q on v.id <> q.id and v.status = 'active' and (v.scope is null or v.scope = q.scope) and v.from_day <= q.day and (v.to_day is null or q.day < v.to_day)),
+    k as (select *, row_number() over (partition by query_id, document order by score desc, id) as d from c), r as (select query_id, id, document, score, row_number() over (partition by query_id order by score desc, id) as rank from k where d <= 2) select query_id, id, document, score, rank from r where rank <= 10""")
+def _(spark, d):
+    """tx08 with what a query may see: its scope's and public chunks that are active and in force on its day, filtered before they are ranked."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    scope = F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 4).cast("string")))
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int"))
+    chunks = e.select("id", (F.col("id") % 7).alias("document"), "v", scope.alias("scope"), F.when(F.col("id") % 11 == 0, "retired").otherwise("active").alias("status"), start.alias("from_day"), F.when(F.col("id") % 5 == 0, F.lit("2024-02-01").cast("date")).alias("to_day"))
+    turn = F.expr("id div 50")
+    queries = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v", F.concat(F.lit("s"), (turn % 4).cast("string")).alias("scope"), F.date_add(F.lit("2024-01-20").cast("date"), (turn % 30).cast("int")).alias("day"))
+    return T.cosine_search(chunks, queries, 10, 2, scoped=True)
