@@ -74,6 +74,21 @@ def plan_match(series: DataFrame, plans: DataFrame, on: str, day: str, origin: C
     return best.withColumn("ambiguous", F.count("*").over(by) > 1)
 
 
+def legacy_assignment(facts: DataFrame, assignments: DataFrame, key: Sequence[str], day: str, origin: Column, fact_key: Sequence[str]) -> DataFrame:
+    """Each fact with the one location that its legacy store was assigned to on its day, as far as known at the origin: n_locations (distinct ones), location (null unless it is one), status assigned, missing or ambiguous.
+
+    assignments: key, location, from_day, to_day (half-open), known. Facts meet the assignments of their bucket of days alone.
+    """
+    from asoflow.operators.intervals import covering
+
+    held = assignments.select(*key, "location", "known", F.col("from_day").alias("start"), F.date_sub("to_day", 1).alias("end"))
+    met = covering(facts.withColumn("_origin", origin), held, key, day, "left")
+    seen = F.when(F.col("known") <= F.col("_origin"), F.col("location"))
+    found = met.groupBy(*fact_key).agg(F.count_distinct(seen).alias("n_locations"), F.min(seen).alias("location"))
+    status = F.when(F.col("n_locations") == 0, "missing").when(F.col("n_locations") == 1, "assigned").otherwise("ambiguous")
+    return found.withColumns({"location": F.when(F.col("n_locations") == 1, F.col("location")), "status": status})
+
+
 def lagged(df: DataFrame, key: Sequence[str], day: str, value: str, lag: int, name: str) -> DataFrame:
     """The value of exactly `lag` days before; a missing day stays missing (this is no row offset)."""
     past = df.select(*key, F.date_add(day, lag).alias(day), F.col(value).alias(name))

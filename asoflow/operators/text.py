@@ -260,12 +260,15 @@ def greedy_budget(hits: DataFrame, least: float, budget: int, size_col: str, mos
 
 
 def index_violations(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
-    """Chunks without a vector, vectors without a chunk, wrong dimensions and norms: id, reason."""
+    """Chunks without a vector, vectors without a chunk, wrong dimensions and norms, and where both sides have a checksum those that differ (the chunk has changed since): id, reason."""
     from asoflow.functions.columns import norm
 
     ids, own = chunks.select("id"), vectors.select("id")
     shape = F.when(F.size("v") != dimension, "dimension").when(F.abs(norm(F.col("v")) - 1) > 1e-3, "norm")
     bad = vectors.select("id", shape.alias("reason")).where("reason is not null")
+    if "checksum" in chunks.columns and "checksum" in vectors.columns:
+        both = chunks.select("id", F.col("checksum").alias("_now")).join(vectors.select("id", "checksum"), "id")
+        bad = bad.union(both.where(~F.col("checksum").eqNullSafe(F.col("_now"))).select("id", F.lit("checksum")))
     return bad.union(ids.join(own, "id", "left_anti").select("id", F.lit("no_vector"))).union(own.join(ids, "id", "left_anti").select("id", F.lit("no_chunk")))
 
 

@@ -88,3 +88,42 @@ def _(spark, d):
     turn = F.expr("id div 50")
     queries = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v", F.concat(F.lit("s"), (turn % 4).cast("string")).alias("scope"), F.date_add(F.lit("2024-01-20").cast("date"), (turn % 30).cast("int")).alias("day"))
     return T.cosine_search(chunks, queries, 10, 2, scoped=True)
+
+
+@query("tx11_index_checksums", """with d as (select doc_id as id, sha256(coalesce(text, '')) as now from documents), v as (select id, case when id % 13 = 0 then sha256(now) else now end as was from d where id % 17 <> 3)
+    select id, 'checksum' as reason from d join v using (id) where now <> was union all select id, 'no_vector' from d where id % 17 = 3 union all select id, 'dimension' from v where id % 29 = 1""")
+def _(spark, d):
+    """An index of all documents in which some have changed since, some have no vector and some one of the wrong length."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    chunks = docs.select("id", F.sha2("text", 256).alias("checksum"))
+    vector = T.hash_embedding(F.col("text"))
+    vectors = docs.where("id % 17 <> 3").select("id", F.when(F.col("id") % 29 == 1, F.slice(vector, 1, 7)).otherwise(vector).alias("v"), F.when(F.col("id") % 13 == 0, F.sha2(F.sha2("text", 256), 256)).otherwise(F.sha2("text", 256)).alias("checksum"))
+    return T.index_violations(chunks, vectors, 8)
+
+
+@query("jn03_legacy_stores", sql("""with f as (select distinct n_nationkey as store, l_returnflag as channel, cast(l_shipdate as date) as day from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey), y as (select cast(unnest(range(year(first_day), year(last_day) + 1)) as integer) as y from span),
+    b as (select n_nationkey as store, unnest(['A', 'N', 'R']) as channel, y, n_nationkey, n_regionkey from nation cross join y), a as (select store, channel, 'L' || n_regionkey as location, make_date(y, 1, 1) as from_day, make_date(y + 1, 1, 1) as to_day, make_date(y, 1, 1) + case when y % 3 = 0 then 40 else -20 end as known from b where (n_nationkey + y) % 7 <> 0
+        union all select store, channel, 'L' || ((n_regionkey + 1) % 5), make_date(y, 7, 1), make_date(y, 9, 1), make_date(y, 6, 1) from b where (n_nationkey + y) % 6 = 0 and channel <> 'N' union all select store, channel, 'L' || n_regionkey, make_date(y, 3, 1), make_date(y, 3, 20), make_date(y, 2, 1) from b),
+    j as (select f.store, f.channel, f.day, count(distinct location) as n_locations, min(location) as location from f left join a on a.store = f.store and a.channel = f.channel and from_day <= f.day and f.day < to_day and known <= f.day group by all)
+    select store, channel, day, n_locations, case when n_locations = 1 then location end as location, case n_locations when 0 then 'missing' when 1 then 'assigned' else 'ambiguous' end as status from j""", "span"))
+def _(spark, d):
+    """Every day of a nation's store and channel with its one location: assignments change by the year, some are known late, some overlap, and repeated ones agree."""
+    from asoflow.operators.joins import legacy_assignment
+
+    nation = table(spark, d, "nation")
+    sold = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    f = sold.select(F.col("s_nationkey").alias("store"), F.col("l_returnflag").alias("channel"), F.to_date("l_shipdate").alias("day")).distinct()
+    years = span(spark, d).select(F.explode(F.sequence(F.year("first_day"), F.year("last_day"))).alias("y"))
+    b = nation.crossJoin(F.broadcast(years)).select(F.col("n_nationkey").alias("store"), "n_regionkey", "y", F.explode(F.array(*map(F.lit, "ANR"))).alias("channel"))  # nations times years
+
+    def held(rows, region, start, end, known):
+        return rows.select("store", "channel", F.concat(F.lit("L"), region.cast("string")).alias("location"), start.alias("from_day"), end.alias("to_day"), known.alias("known"))
+
+    def day(month, year=None):
+        return F.make_date(F.col("y") if year is None else year, F.lit(month), F.lit(1))
+
+    region = F.col("n_regionkey")
+    yearly = held(b.where("(store + y) % 7 <> 0"), region, day(1), day(1, F.col("y") + 1), F.date_add(day(1), F.when(F.col("y") % 3 == 0, 40).otherwise(-20)))
+    summer = held(b.where("(store + y) % 6 = 0 and channel <> 'N'"), (region + 1) % 5, day(7), day(9), day(6))
+    again = held(b, region, day(3), F.date_add(day(3), 19), day(2))
+    return legacy_assignment(f, yearly.union(summer).union(again), ["store", "channel"], "day", F.col("day"), ["store", "channel", "day"])
