@@ -78,6 +78,44 @@ def capacity_threshold(df: DataFrame, group: Sequence[str], score: str, share: f
     return order_statistic(df, group, score, lambda n: n - F.floor(n * share)).select(*group, F.col("statistic").alias("threshold"), "n")
 
 
+def capacity_cuts(df: DataFrame, group: Sequence[str], score: str, alerts: float, high: float, least_rows: int) -> DataFrame:
+    """Two cuts of each group by exact ranks: n, allowed_alerts and allowed_high (floor(n * share)), threshold and high_threshold, the scores that at most so many rows exceed; both null with fewer than least_rows. Without a group it is the census over all rows. Rows without a score don't count."""
+    found = cumulative(df, group, score)
+    allowed = {name: F.floor(F.round(F.col("total") * share, 9)) for name, share in (("alerts", alerts), ("high", high))}
+    cut = {name: F.min(F.when(F.col("upto") >= F.col("total") - a, F.col(score))) for name, a in allowed.items()}
+    out = found.groupBy(*group).agg(F.max("total").alias("n"), *[F.max(a).cast("long").alias(f"allowed_{k}") for k, a in allowed.items()], cut["alerts"].alias("threshold"), cut["high"].alias("high_threshold"))
+    enough = F.col("n") >= least_rows
+    return out.withColumns({c: F.when(enough, F.col(c)) for c in ("threshold", "high_threshold")})
+
+
+def observation_report(df: DataFrame, group: Sequence[str], alert: str, high: str, truth: str, score: str) -> DataFrame:
+    """Precision, recall, false alerts per 1000 clean rows, precision of high severity and average precision of each group, a row each: metric, value, unit, numerator, denominator, n_total, n_evaluable, coverage, status and the reason why it isn't evaluable.
+
+    alert, high and truth are booleans; rows whose truth is null are requested, but not evaluable. Numerators are null for the average precision.
+    """
+    seen = F.col(truth).isNotNull()
+    hits = {"alerts": F.col(alert), "positives": F.col(truth), "caught": F.col(alert) & F.col(truth), "severe": F.col(high), "severe_caught": F.col(high) & F.col(truth)}
+    sums = df.groupBy(*group).agg(F.count("*").alias("n_total"), F.count_if(seen).alias("n_evaluable"), *[F.count_if(seen & x).alias(c) for c, x in hits.items()])
+    judged = df.where(seen).select(*group, F.col(score).alias("_s"), F.col(truth).cast("long").alias("_y"))
+    precise = average_precision(judged, group, "_s", "_y").select(*group, F.col("average_precision").alias("_ap"))
+    sums = sums.join(precise, list(group), "left") if group else sums.crossJoin(precise)  # one row each
+    c = {name: F.col(name).cast("long") for name in ("n_total", "n_evaluable", *hits)}
+    clean = c["n_evaluable"] - c["positives"]
+    none = F.lit(None).cast("long")
+    wanted = (
+        ("precision", c["caught"], c["alerts"], 1, "ratio", "no_positive_predictions"), ("recall", c["caught"], c["positives"], 1, "ratio", "no_truth_positives"),
+        ("false_alerts_per_1000", c["alerts"] - c["caught"], clean, 1000, "alerts_per_1000_clean_observations", "no_evaluable_clean_observations"),
+        ("high_severity_precision", c["severe_caught"], c["severe"], 1, "ratio", "no_high_severity_predictions"),
+    )
+    rows = [
+        F.struct(F.lit(name).alias("metric"), F.round(F.try_divide(a * times, b), 6).alias("value"), F.lit(unit).alias("unit"), a.alias("numerator"), b.alias("denominator"), F.when(b == 0, reason).alias("reason"))
+        for name, a, b, times, unit, reason in wanted
+    ]
+    rows.append(F.struct(F.lit("average_precision").alias("metric"), F.col("_ap").alias("value"), F.lit("ratio").alias("unit"), none.alias("numerator"), none.alias("denominator"), F.when(F.col("_ap").isNull(), "both_truth_classes_required").alias("reason")))
+    out = sums.select(*group, "n_total", "n_evaluable", F.round(F.try_divide("n_evaluable", "n_total"), 6).alias("coverage"), F.inline(F.array(*rows)))
+    return out.withColumn("status", F.when(F.col("reason").isNull(), "evaluable").otherwise("not_evaluable"))
+
+
 def point_sums(y: str = "y", p: str = "p") -> list[Column]:
     """Sufficient statistics of forecasts p against outcomes y; only rows with an outcome count, and sums merge over any partitioning."""
     there = F.col(y).isNotNull()

@@ -127,3 +127,47 @@ def _(spark, d):
     summer = held(b.where("(store + y) % 6 = 0 and channel <> 'N'"), (region + 1) % 5, day(7), day(9), day(6))
     again = held(b, region, day(3), F.date_add(day(3), 19), day(2))
     return legacy_assignment(f, yearly.union(summer).union(again), ["store", "channel"], "day", F.col("day"), ["store", "channel", "day"])
+
+
+_SCORED = """sc as (select d.doc_id, coalesce(d.lang, 'none') as segment, round(1 - 1 / (1 + exp(-(ln(greatest(n_chars, 1)) - 7.0))), 3) as s, quality = 0 as bad from documents d left join labels using (doc_id)),
+    cu as (select segment, count(*) as n, cast(floor(round(count(*) * 0.1, 9)) as bigint) as allowed_alerts, cast(floor(round(count(*) * 0.02, 9)) as bigint) as allowed_high, list(s order by s) as l from (select segment, s from sc where doc_id % 2 = 0 union all select '*', s from sc where doc_id % 2 = 0) group by 1),
+    ct as (select segment, n, allowed_alerts, allowed_high, case when n >= 20 then l[n - allowed_alerts] end as threshold, case when n >= 20 then l[n - allowed_high] end as high_threshold from cu)"""
+
+
+def _scored(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    p = 1 / (1 + F.exp(-(F.ln(F.greatest("n_chars", F.lit(1))) - 7.0)))
+    return docs.select("doc_id", F.coalesce("lang", F.lit("none")).alias("segment"), F.round(1 - p, 3).alias("s"), (F.col("quality") == 0).alias("bad"))
+
+
+def _cuts(rows):
+    from asoflow.operators.metrics import capacity_cuts
+
+    half = rows.where("doc_id % 2 = 0")
+    return capacity_cuts(half, ["segment"], "s", 0.1, 0.02, 20).unionByName(capacity_cuts(half, [], "s", 0.1, 0.02, 20).withColumn("segment", F.lit("*")))
+
+
+@query("wn14_capacity_cuts", f"with {_SCORED} select ct.*, (select count(*) from sc where doc_id % 2 = 1 and (ct.segment = '*' or sc.segment = ct.segment) and s > threshold) as n_alerts, (select count(*) from sc where doc_id % 2 = 1 and (ct.segment = '*' or sc.segment = ct.segment) and s > high_threshold) as n_high from ct")
+def _(spark, d):
+    """Cuts for alerts and for high severity, of each language and as a census over all, fitted on half of the documents, and how many of the other half exceed them."""
+    rows = _scored(spark, d)
+    cuts = _cuts(rows)
+    other = rows.where("doc_id % 2 = 1").select("s", F.explode(F.array("segment", F.lit("*"))).alias("segment"))
+    met = other.join(cuts.select("segment", "threshold", "high_threshold"), "segment").groupBy("segment").agg(F.count_if(F.expr("s > threshold")).alias("n_alerts"), F.count_if(F.expr("s > high_threshold")).alias("n_high"))
+    return cuts.join(met, "segment", "left").fillna(0, ["n_alerts", "n_high"])
+
+
+@query("ag19_observation_report", f"""with {_SCORED}, j as (select sc.segment, s, s > threshold as alert, s > high_threshold as high, bad from sc join ct on ct.segment = sc.segment where doc_id % 2 = 1),
+    g as (select segment, count(*) as n_total, count(bad) as n_evaluable, count(case when alert and bad is not null then 1 end) as pa, count(case when bad then 1 end) as pt, count(case when alert and bad then 1 end) as tp, count(case when high and bad is not null then 1 end) as hi, count(case when high and bad then 1 end) as ht from j group by 1),
+    t as (select segment, s, sum(bad::integer) as t, count(*) as n from j where bad is not null group by all), u as (select *, sum(t) over w as ct, sum(n) over w as cn from t window w as (partition by segment order by s desc rows unbounded preceding)), a as (select segment, case when sum(t) > 0 and sum(t) < sum(n) then round(sum(t * ct / cn) / sum(t), 6) end as ap from u group by 1),
+    m as (select segment, n_total, n_evaluable, unnest([{{'metric': 'precision', 'a': tp, 'b': pa, 'k': 1, 'unit': 'ratio', 'why': 'no_positive_predictions'}}, {{'metric': 'recall', 'a': tp, 'b': pt, 'k': 1, 'unit': 'ratio', 'why': 'no_truth_positives'}}, {{'metric': 'false_alerts_per_1000', 'a': pa - tp, 'b': n_evaluable - pt, 'k': 1000, 'unit': 'alerts_per_1000_clean_observations', 'why': 'no_evaluable_clean_observations'}}, {{'metric': 'high_severity_precision', 'a': ht, 'b': hi, 'k': 1, 'unit': 'ratio', 'why': 'no_high_severity_predictions'}}], recursive := true) from g)
+    select segment, n_total, n_evaluable, round(n_evaluable / n_total, 6) as coverage, metric, round(k * a / nullif(b, 0), 6) as value, unit, cast(a as bigint) as numerator, cast(b as bigint) as denominator, case when b = 0 then why end as reason, case when b = 0 then 'not_evaluable' else 'evaluable' end as status from m
+    union all select g.segment, n_total, n_evaluable, round(n_evaluable / n_total, 6), 'average_precision', ap, 'ratio', null, null, case when ap is null then 'both_truth_classes_required' end, case when ap is null then 'not_evaluable' else 'evaluable' end from g left join a using (segment)""")
+def _(spark, d):
+    """Alerts on the other half of the documents, held against their labels: each metric with numerator, denominator, coverage and status."""
+    from asoflow.operators.metrics import observation_report
+
+    rows = _scored(spark, d)
+    judged = rows.where("doc_id % 2 = 1").join(_cuts(rows).select("segment", "threshold", "high_threshold"), "segment")
+    judged = judged.withColumns({"alert": F.col("s") > F.col("threshold"), "high": F.col("s") > F.col("high_threshold")})
+    return observation_report(judged, ["segment"], "alert", "high", "bad", "s")

@@ -55,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it. Null texts and texts without words are never taken; a null source is a source of its own; equal rows get equal numbers of copies."""
+    """Each row as often as the mix takes it. Null texts and texts without words are never taken; a null source is a source of its own; every row is rounded for itself, so equal rows may get different numbers of copies."""
     return mixed_documents(docs)
 
 
