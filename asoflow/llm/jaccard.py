@@ -78,15 +78,16 @@ def _within(percent: int) -> Column:
 
 
 def _multiplied(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
-    """The block of the rarest columns for given pairs (a, b): a, b, na, nb, sa, sb, met, ka, kb, as the join gives them for all."""
-    one, two = (ordered.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"s{k}"), F.expr("slice(cols, 1, width)").alias(f"c{k}")) for k in "ab")
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("common", F.array_intersect("ca", "cb")).where(F.size("common") > 0)
+    """The block of the rarest columns for given pairs (a, b): met, ka, kb as the join gives them for all, beside the sizes and the columns of both."""
+    one, two = (ordered.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"s{k}"), F.col("width").alias(f"w{k}"), F.col("cols").alias(f"c{k}")) for k in "ab")
+    block = F.array_intersect(F.slice("ca", F.lit(1), F.col("wa")), F.slice("cb", F.lit(1), F.col("wb")))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("common", block).where(F.size("common") > 0)
     last = F.element_at("common", -1)  # in the order of a's columns, which is everyone's
-    return both.select("a", "b", "na", "nb", "sa", "sb", F.size("common").cast("long").alias("met"), *[(F.array_position(f"c{k}", last) - 1).cast("long").alias(f"k{k}") for k in "ab"])
+    return both.withColumns({"met": F.size("common").cast("long")} | {f"k{k}": (F.array_position(f"c{k}", last) - 1).cast("long") for k in "ab"}).drop("common")
 
 
-def _links(counted: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the bound: what they have so far plus the block behind the last shared columns."""
+def _links(counted: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap reaches the bound: what they have so far plus the block behind the last shared columns. counted: a, b, na, nb, sa, sb, met, ka, kb and the columns ca, cb of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,11 +97,8 @@ def _links(counted: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
             kept = (100 + percent) * common >= percent * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    one, two = (ordered.select(F.col("doc").alias(k), F.col("cols").alias(f"c{k}")) for k in "ab")
     rest = [F.slice(F.col(f"c{k}"), F.col(f"k{k}").cast("int") + 2, F.greatest(F.lit(0), F.size(f"c{k}") - F.col(f"k{k}").cast("int") - 1)).alias(f"c{k}") for k in "ab"]
-    near = counted.where(_within(percent)).select("a", "b", "na", "nb", "met", "ka", "kb")
-    joined = near.join(one, "a").withColumn("ca", rest[0]).join(two, "b").withColumn("cb", rest[1])
-    return joined.select("a", "b", "na", "nb", "met", "ca", "cb").mapInArrow(run, "a long, b long")
+    return counted.where(_within(percent)).select("a", "b", "na", "nb", "met", *rest).mapInArrow(run, "a long, b long")
 
 
 def _candidates(docs: DataFrame, seen: DataFrame, reps: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -181,7 +179,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         pick = met.groupBy(key).agg(F.max_by(own, F.struct("met", "x", F.bitwise_not(own))).alias(own)).select("a", "b")
         first = pick if first is None else first.union(pick)
     first = first.distinct()
-    links = stored(_links(_multiplied(first, ordered), ordered, percent))
+    links = stored(_links(_multiplied(first, ordered), percent))
     named = stored(connected_components(links))
 
     def label(side: DataFrame, key: str) -> DataFrame:
@@ -194,7 +192,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     mixed = ends.where("lo <> hi or lob <> hib or lo <> lob").select("col", "band")
     rest = small.join(mixed, ["col", "band"], "left_semi").join(large, ["col", "band"]).where(fits & (F.col("ca") != F.col("cb")))
     counted = rest.groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count("*").alias("met"), F.max("ka").cast("long").alias("ka"), F.max("kb").cast("long").alias("kb"))
-    more = _links(counted, ordered, percent)
+    one, two = (ordered.select(F.col("doc").alias(k), F.col("cols").alias(f"c{k}")) for k in "ab")
+    more = _links(counted.where(_within(percent)).join(one, "a").join(two, "b"), percent)
     final = connected_components(stored(links.select("a", "b").union(more)))
 
     classes = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

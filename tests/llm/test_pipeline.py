@@ -7,6 +7,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import brute_jaccard
 
 from asoflow.llm.mixing import mix
@@ -88,7 +89,8 @@ def test_stages_treat_repeated_and_null_ids_row_by_row(spark):
     assert set(want) == set(rows) and want[3, "", "s"] == 0
     assert Counter(map(tuple, stage["mixing"](spark, some, SF).collect())) == +want
     even = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (1, "a b", "t"), (1, "a b", "t")], some.schema)
-    assert stage["mixing"](spark, even, SF).where("source = 's'").count() % 2 == 0  # repeated rows get the same copies
+    sums = {r["source"]: (r["target"], r["taken"]) for r in mix(even, carry=even.columns).groupBy("row.source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert all(abs(taken - target) <= 2 for target, taken in sums.values())  # repeated rows are rounded one by one: a source misses its target by one of them at most
     assert stage["mixing"](spark, even, SF).count() <= 3 * even.count()
 
     tokens = stage["tokens"](spark, some, SF).collect()
