@@ -36,6 +36,7 @@ def _raw_scores(spark, d):
     return rows, train.agg(F.avg("y")).first()[0]
 
 
+_LEAST = 3  # rows of a class: the smallest tables have five
 _RAWS = {"linear": "raw_linear", "boosted": "raw_boosted"}
 
 
@@ -43,7 +44,7 @@ _RAWS = {"linear": "raw_linear", "boosted": "raw_boosted"}
 def _(spark, d):
     """Slope, intercept and all offsets of each base model at C = 1, fitted jointly."""
     rows, _ = _raw_scores(spark, d)
-    fitted, rejected = calibration.fit_conditional(rows.where("doc_id % 3 = 1"), "y", _RAWS, "lang", "area", "short", grid=(1.0,))
+    fitted, rejected = calibration.fit_conditional(rows.where("doc_id % 3 = 1"), "y", _RAWS, "lang", "area", "short", grid=(1.0,), least_per_class=_LEAST)
     out = []
     for (name, _), m in fitted.items():
         out += [(name, "slope", m.slope), (name, "intercept", m.intercept), (name, "constrained", m.constrained)]
@@ -56,7 +57,7 @@ def _(spark, d):
 def _(spark, d):
     """Two base models times four C, calibrated on one third of the documents and ordered on another."""
     rows, prevalence = _raw_scores(spark, d)
-    fitted, _ = calibration.fit_conditional(rows.where("doc_id % 3 = 1"), "y", _RAWS, "lang", "area", "short")
+    fitted, _ = calibration.fit_conditional(rows.where("doc_id % 3 = 1"), "y", _RAWS, "lang", "area", "short", least_per_class=_LEAST)
     return calibration.select_candidate(rows.where("doc_id % 3 = 2"), "y", _RAWS, fitted, "lang", "area", "short", prevalence)
 
 
