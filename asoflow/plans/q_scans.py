@@ -144,7 +144,8 @@ def _(spark, d):
     return e.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_rows"))
 
 
-@query("prj11_uuid5")
+@query("prj11_uuid5", """with h as (select event_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(event_id::varchar)) as h from events)
+    select event_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][('0x' || h[17])::integer % 4 + 1] || h[18:20] || '-' || h[21:32] as uuid from h""")
 def _(spark, d):
     return table(spark, d, "events").select("event_id", C.uuid5("6ba7b8109dad11d180b400c04fd430c8", F.col("event_id").cast("string")).alias("uuid"))
 
