@@ -58,6 +58,9 @@ class Model:
         self.languages, self.alphabet, self.codes, self.weights, self.bias = languages, alphabet, codes, weights, bias
 
 
+_COLUMNS = 1 << 15  # n-grams of one block of the landmarks' kernel
+
+
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int, landmarks: int) -> DataFrame:
     """Learning texts: at most `most` ids, as many of each language (of the `most` most frequent ones), by hash of the id; among them the landmarks.
 
@@ -97,8 +100,11 @@ def fit(docs: DataFrame, most: int = 4000, landmarks: int = 240, alphabet: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.sort(grams.of(x.as_py() or "")).tolist() for x in batch.column(0)], pa.list_(pa.int64()))], ["g"])
 
-    of_mark = [np.array(r["g"], np.int64) for r in marks.mapInArrow(codes, "g array<long>").collect()]
-    of_mark = [x for x in of_mark if len(x)]
+    found = marks.mapInArrow(codes, "g array<long>").toArrow().column("g").combine_chunks()
+    ends = np.concatenate(([0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False)))) if len(found) else np.zeros(1, int)
+    flat = found.flatten().to_numpy(zero_copy_only=False)
+    of_mark = [flat[lo:hi].astype(np.int64) for lo, hi in zip(ends, ends[1:], strict=False) if hi > lo]
+    del found, flat
     if not of_mark:
         return None
     of_mark.sort(key=lambda x: (len(x), x.tolist()))
@@ -127,9 +133,13 @@ def fit(docs: DataFrame, most: int = 4000, landmarks: int = 240, alphabet: int =
     languages = sorted({lang for lang, _ in rows})
     kernel = np.array([k for _, k in rows])
     target = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in rows])
-    presence = presence_of()
-    values, vectors = np.linalg.eigh((presence @ presence.T).astype(np.float64))
-    del presence
+    alike = np.zeros((len(places), len(places)))
+    for lo in range(0, len(vocabulary), _COLUMNS):  # a block of n-grams at a time, so the driver never holds the whole matrix
+        block = np.zeros((len(places), min(_COLUMNS, len(vocabulary) - lo)), np.float32)
+        for k, x in enumerate(places):
+            block[k, x[np.searchsorted(x, lo) : np.searchsorted(x, lo + _COLUMNS)] - lo] = 1 / np.sqrt(len(x))
+        alike += block @ block.T
+    values, vectors = np.linalg.eigh(alike)
     kept = values > 1e-6 * values.max()
     into = vectors[:, kept] / np.sqrt(values[kept])  # the Nyström map of a kernel row
     mapped = np.hstack([kernel @ into, np.ones((len(rows), 1))])
