@@ -26,11 +26,11 @@ def running_sums(cells: DataFrame, group: Sequence[str], value: str, sums: Seque
     """cells (one row for each distinct value of a group) with, for each of sums, upto_ and total_: its sum over the values up to the row's own, and over the group.
 
     The values of a group are cut at its approximate quantiles into buckets; a window sorts a bucket, and only the
-    buckets' sums meet per group. Which cuts are taken doesn't change the result.
+    buckets' sums meet per group. Which cuts are taken doesn't change the result, as long as they are taken once.
     """
     shares = [k / _BUCKETS for k in range(1, _BUCKETS)]
     cells = written(cells)  # read three times
-    cuts = cells.groupBy(*group).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))  # a short list for each group
+    cuts = written(cells.groupBy(*group).agg(F.percentile_approx(value, shares, 1000).alias("_cuts")))  # a short list for each group; approximate, so another run may cut elsewhere, and both readers below need the same
     placed = _joined(cells, cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     whole = Window.partitionBy(*group)
     held = placed.groupBy(*group, "_b").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])

@@ -17,3 +17,49 @@ def test_batches_of_a_replay_do_not_grow_with_partitions(spark, monkeypatch, par
     assert len(list(Path(root.removeprefix("file://")).glob("good/batch=*"))) == 4
     good = spark.read.parquet(f"{root}/good")
     assert good.count() == good.select("event_id").distinct().count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_running_sums_take_approximate_cuts_once(spark):
+    from asoflow.operators.metrics import running_sums
+
+    cells = spark.range(5_000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    out = running_sums(cells, ["g"], "v", ["n"])
+    assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()  # else each reader cuts for itself
+    assert out.where("upto_n <> floor(v / 3) + 1").count() == 0 and out.count() == 5_000
+
+
+def test_scoped_search_matches_sql_in_double_precision(spark, tmp_path):
+    """Vectors whose cosine in single precision rounds to another sixth place."""
+    import numpy as np
+    from oracle import compare, connect
+
+    from asoflow.plans import registry
+
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=64))], i % 10) for i in range(1_500)]
+    _tables(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    name = "tx08_scoped_search"
+    mine = {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).select("query_id", "id", "rank", "score").collect()}
+    theirs = connect(str(tmp_path)).execute(f"select query_id, id, rank, score from ({registry.oracle_sql()[name]})").fetchall()
+    assert mine == set(theirs) and len(mine) == len(theirs)
+    assert compare(spark, connect(str(tmp_path)), str(tmp_path), registry.queries()[name], registry.oracle_sql()[name]) is None
+
+
+def test_hash_embedding_matches_sql_on_null_and_empty_texts(spark, tmp_path):
+    from oracle import compare, connect
+
+    from asoflow.plans import registry
+
+    docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars")
+    _tables(spark, tmp_path, documents=docs)
+    name = "tx06_hash_embedding"
+    assert compare(spark, connect(str(tmp_path)), str(tmp_path), registry.queries()[name], registry.oracle_sql()[name]) is None
+
+
+def _tables(spark, root, **tables):
+    """The smallest tables with some in place of them."""
+    for path in Path(SF).glob("*.parquet"):
+        if path.stem not in tables:
+            (root / path.name).symlink_to(path)
+    for name, df in tables.items():
+        df.write.parquet(str(root / f"{name}.parquet"))
