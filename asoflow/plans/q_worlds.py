@@ -75,8 +75,8 @@ def _(spark, d):
     return T.greedy_budget(h, 0.0, 1000, "size", 5, 2)
 
 
-@query("tx08_scoped_search", """with v as (select vec_id as id, vec_id % 7 as document, embedding as v, case when vec_id % 3 > 0 then 's' || (vec_id % 4) end as scope, case when vec_id % 11 = 0 then 'retired' else 'active' end as status, date '2024-01-01' + cast(vec_id % 50 as integer) as from_day, case when vec_id % 5 = 0 then date '2024-02-01' end as to_day from embeddings),
-    q as (select vec_id as id, embedding as v, 's' || (vec_id // 50 % 4) as scope, date '2024-01-20' + cast(vec_id // 50 % 30 as integer) as day from embeddings where vec_id % 50 = 0),
+@query("tx08_scoped_search", """with v as (select vec_id as id, vec_id % 7 as document, list_transform(embedding, lambda x: cast(x as double)) as v, case when vec_id % 3 > 0 then 's' || (vec_id % 4) end as scope, case when vec_id % 11 = 0 then 'retired' else 'active' end as status, date '2024-01-01' + cast(vec_id % 50 as integer) as from_day, case when vec_id % 5 = 0 then date '2024-02-01' end as to_day from embeddings),
+    q as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as v, 's' || (vec_id // 50 % 4) as scope, date '2024-01-20' + cast(vec_id // 50 % 30 as integer) as day from embeddings where vec_id % 50 = 0),
     c as (select q.id as query_id, v.id, v.document, round(list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v))), 6) as score from v join q on v.id <> q.id and v.status = 'active' and (v.scope is null or v.scope = q.scope) and v.from_day <= q.day and (v.to_day is null or q.day < v.to_day)),
     k as (select *, row_number() over (partition by query_id, document order by score desc, id) as d from c), r as (select query_id, id, document, score, row_number() over (partition by query_id order by score desc, id) as rank from k where d <= 2) select query_id, id, document, score, rank from r where rank <= 10""")
 def _(spark, d):
