@@ -219,7 +219,8 @@ def _(spark, d):
     return p.select("doc_id", "piece", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("checksum"))
 
 
-@query("tx06_hash_embedding", """with n as (select doc_id, list_transform(range(0, 8), lambda i: cast(('0x' || substr(sha256(i || ':' || text), 1, 8))::bigint as double) / 2147483648.0 - 1) as v from documents) select doc_id, round(1.0, 6) as norm, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) as v from n""")
+@query("tx06_hash_embedding", """with n as (select doc_id, list_transform(range(0, 8), lambda i: cast(('0x' || substr(sha256(i || ':' || text), 1, 8))::bigint as double) / 2147483648.0 - 1) as v from documents), u as (select doc_id, case when v[1] is null then v else list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) end as v from n)
+    select doc_id, case when v[1] is not null then round(sqrt(list_dot_product(v, v)), 6) end as norm, list_transform(v, lambda x: round(x, 6)) as v from u""")
 def _(spark, d):
     from asoflow.functions.columns import norm
 
