@@ -15,6 +15,7 @@ from asoflow.sources.scratch import written
 
 
 _QUERIES, _VECTORS = 1_000, 20_000  # of one block of a search
+_STRIPE = 32  # queries whose scores against a block are held at once
 
 
 def corpus_scan(docs: DataFrame, id_col: str, text_col: str, excluded: Sequence[tuple[Column, str]] = ()) -> DataFrame:
@@ -122,6 +123,20 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     return out.select("id", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix, without an object for each number."""
+    lists = column.combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if lists.null_count or (lengths != lengths[0]).any():
+        raise ValueError("vectors of a search must have one length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows with rows, rounded to six places."""
+    return np.round((x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1)), 6)
+
+
 def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: int, scoped: bool = False) -> DataFrame:
     """The k best chunks of each query by exact cosine, at most per_document of one document; ties to the smaller id.
 
@@ -150,9 +165,9 @@ def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: i
         asked, pool = table.filter(pa.array(ask)), table.filter(pa.array(~ask))
         found: dict[str, list] = {"query_id": [], "id": [], "document": [], "score": []}
         if len(asked) and len(pool):
-            x, y = (np.stack([np.asarray(r, float) for r in t.column("v").to_pylist()]) for t in (asked, pool))
+            x, y = (_matrix(t.column("v")) for t in (asked, pool))
             ids, documents, own = pool.column("id").to_numpy(), pool.column("document").to_pylist(), asked.column("id").to_numpy()
-            scores = np.round((x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1)), 6)
+            scores = (row for at in range(0, len(x), _STRIPE) for row in _cosines(x[at : at + _STRIPE], y))  # a stripe of queries at a time
             scope, wants = (np.array(t.column("scope").to_pylist(), object) for t in (pool, asked))
             since, until, day = pool.column("since").to_numpy(), pool.column("until").to_numpy(), asked.column("since").to_numpy()
             public = np.array([s is None for s in scope])

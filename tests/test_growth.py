@@ -63,3 +63,28 @@ def _tables(spark, root, **tables):
             (root / path.name).symlink_to(path)
     for name, df in tables.items():
         df.write.parquet(str(root / f"{name}.parquet"))
+
+
+def test_search_holds_scores_of_a_stripe_and_deliveries_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from asoflow.operators import text as T
+    from asoflow.sources import events as E
+
+    with pytest.raises(ValueError, match="one length"):  # as an array, not an object for each number
+        T._matrix(pa.chunked_array([pa.array([[1.0, 2.0], [3.0]])]))
+    x = np.arange(1.0, 7.0).reshape(2, 3)
+    assert (T._matrix(pa.chunked_array([pa.array(x.tolist())])) == x).all()
+    assert T._cosines(x, x).tolist() == [[1.0, 0.974632], [0.974632, 1.0]]
+
+    monkeypatch.setattr(E, "_ROWS", 50)
+    rows = spark.range(2_000).select(F.col("id").alias("event_id"), F.concat(F.lit("b"), "id").alias("body"))
+    E.deliver_once(rows.where("event_id < 900"), str(tmp_path / "out"))
+    E.deliver_once(rows, str(tmp_path / "out"))
+    assert len([p for p in (tmp_path / "out").glob("part-*")]) > 8 + 18  # a task for each 50 rows, not one for what fits 64 MB
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("event_id").distinct().count() == 2_000
+    for bad in (rows.withColumn("body", F.lit("x")), spark.createDataFrame([(5000, "p"), (5000, "q")], rows.schema)):
+        with pytest.raises(ValueError, match="another body"):
+            E.deliver_once(bad, str(tmp_path / "out"))
