@@ -88,3 +88,16 @@ def test_search_holds_scores_of_a_stripe_and_deliveries_are_dealt_by_rows(spark,
     for bad in (rows.withColumn("body", F.lit("x")), spark.createDataFrame([(5000, "p"), (5000, "q")], rows.schema)):
         with pytest.raises(ValueError, match="another body"):
             E.deliver_once(bad, str(tmp_path / "out"))
+
+
+def test_near_duplicates_send_shingles_once(spark, monkeypatch):
+    """Shingles are exploded once to count and choose them, and once more only for the chosen."""
+    from asoflow.operators import text as T
+
+    plans, written = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, words), (2, words + " more"), (3, words), (4, " ".join(f"v{k}" for k in range(30)))], "doc_id long, text string")
+    found = {tuple(r) for r in T.near_duplicates(docs, "doc_id", "text").collect()}
+    assert found == {(1, 1, 1), (2, 2, 1), (3, 1, 1), (4, 4, 4)}
+    assert max(p.count("Generate explode") for p in plans[:3]) == 2
