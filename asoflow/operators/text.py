@@ -123,18 +123,22 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
     return out.select("id", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Lists of one length as the rows of a matrix, without an object for each number."""
-    lists = column.combine_chunks()
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    if lists.null_count or (lengths != lengths[0]).any():
-        raise ValueError("vectors of a search must have one length")
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+def _block_math() -> tuple[Callable, Callable]:
+    """What a search does with a block; inner functions, so that they travel to the workers with it."""
 
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        """Lists of one length as the rows of a matrix, without an object for each number."""
+        lists = column.combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        if lists.null_count or (lengths != lengths[0]).any():
+            raise ValueError("vectors of a search must have one length")
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
-def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of rows with rows, rounded to six places."""
-    return np.round((x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1)), 6)
+    def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Cosines of rows with rows, rounded to six places."""
+        return np.round((x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1)), 6)
+
+    return matrix, cosines
 
 
 def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: int, scoped: bool = False) -> DataFrame:
@@ -160,14 +164,16 @@ def cosine_search(chunks: DataFrame, queries: DataFrame, k: int, per_document: i
     side = chunks.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"), F.lit(False).alias("ask"), "id", "document", v, *own)
     other = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int").alias("q"), F.lit(True).alias("ask"), F.col("query_id").alias("id"), F.lit(None).cast(document).alias("document"), v, *asked)
 
+    matrix, cosines = _block_math()
+
     def best(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy()
         asked, pool = table.filter(pa.array(ask)), table.filter(pa.array(~ask))
         found: dict[str, list] = {"query_id": [], "id": [], "document": [], "score": []}
         if len(asked) and len(pool):
-            x, y = (_matrix(t.column("v")) for t in (asked, pool))
+            x, y = (matrix(t.column("v")) for t in (asked, pool))
             ids, documents, own = pool.column("id").to_numpy(), pool.column("document").to_pylist(), asked.column("id").to_numpy()
-            scores = (row for at in range(0, len(x), _STRIPE) for row in _cosines(x[at : at + _STRIPE], y))  # a stripe of queries at a time
+            scores = (row for at in range(0, len(x), _STRIPE) for row in cosines(x[at : at + _STRIPE], y))  # a stripe of queries at a time
             scope, wants = (np.array(t.column("scope").to_pylist(), object) for t in (pool, asked))
             since, until, day = pool.column("since").to_numpy(), pool.column("until").to_numpy(), asked.column("since").to_numpy()
             public = np.array([s is None for s in scope])
