@@ -1,6 +1,7 @@
 """Stateful processors on hand-built streams, batch by batch."""
 
 import datetime
+import json
 import time
 
 import pytest
@@ -108,3 +109,51 @@ def test_day_gate_tries_statuses_in_order(spark):
     loose = spark.createDataFrame([(day(2024, 1, 9),), (day(2024, 1, 30),)], "received date")
     got = {r["n"]: r["status"] for r in qualification_gate(points, days, required, facts, loose, ["n"]).collect()}
     assert [got[n] for n in names[3:]] == ["location_closed", *["dq_unattributed_quarantine"] * 3]
+
+
+class _Map:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getMapState(self, name, *schemas):
+        return self
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.rows.pop(key, None)
+
+
+@pytest.mark.parametrize("held", [5_000, 200_000])
+def test_state_is_read_and_written_by_slots_not_by_entries(monkeypatch, held):
+    from asoflow.streaming import stateful as S
+
+    monkeypatch.setattr(S, "_HELD", held)
+    for kind in (S._Slots, S._Blocks):
+        state = _Map()
+        slots = kind(state, "x")
+        for batch in range(4):
+            for n in range(batch, 12_000, 4):
+                assert n not in slots and slots.get(n) is None
+                slots.put(n, [n, None, 0.1])
+            slots.flush()
+        assert all(slots.get(n) == [n, None, 0.1] for n in range(12_000))
+        assert held == 5_000 or state.calls < 1_000  # three calls an entry before
+        assert all(len(json.loads(v) or ()) <= S._SLOT for (v,) in state.rows.values())
+        for n in range(0, 12_000, 7):
+            assert slots.pop(n) == [n, None, 0.1]
+        slots.flush()
+        assert 7 not in slots and slots.get(8) == [8, None, 0.1]
