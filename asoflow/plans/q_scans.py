@@ -109,9 +109,15 @@ def _(spark, d):
     return e.select("event_id", F.coalesce(F.to_date("own"), F.date_add(F.to_date("ts"), 1)).alias("day"))
 
 
+_TASK_ROWS = 1_000_000
+
+
 @query("prj06_available_at", """select l_orderkey, l_linenumber, max(greatest(l_shipdate, o_orderdate)) as available_at from lineitem join orders on l_orderkey = o_orderkey group by all""")
 def _(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Lines are dealt by order over as many tasks as hold _TASK_ROWS each, so that no task's groups grow with the table."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // _TASK_ROWS))
+    rows = lines.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.greatest("l_shipdate", "o_orderdate")).alias("available_at"))
 
 

@@ -102,3 +102,12 @@ def test_near_duplicates_send_shingles_once(spark, monkeypatch):
     found = {tuple(r) for r in T.near_duplicates(docs, "doc_id", "text").collect()}
     assert found == {(1, 1, 1), (2, 2, 1), (3, 1, 1), (4, 4, 4)}
     assert max(p.count("Generate explode") for p in plans[:3]) == 2
+
+
+def test_available_at_deals_lines_by_their_number(spark, monkeypatch):
+    from asoflow.plans import q_scans, registry
+
+    monkeypatch.setattr(q_scans, "_TASK_ROWS", 1_000)
+    tasks = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1_000)
+    plan = registry.queries()["prj06_available_at"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
