@@ -8,6 +8,7 @@ from asoflow.operators import composition as X
 from asoflow.plans.registry import query
 from asoflow.plans.views import sql
 from asoflow.sources.adapters import SERIES, forecasts, series_day
+from asoflow.sources.scratch import written
 
 _METHODS = ("average", "seasonal", "blend")
 _BLOCK = "case when target < date'1998-01-01' then 1 when target < date'2000-01-01' then 2 else 3 end"
@@ -46,7 +47,7 @@ def _(spark, d):
     select cp.channel, h, count(*) as n, round(avg(abs(y - median)), 6) as mae, round(avg(abs(y - rmedian)), 6) as reference_mae, round(avg((y - mean) * (y - mean)), 4) as mse, round(avg((y - rmean) * (y - rmean)), 4) as reference_mse, round(avg(case when y between greatest(0.0, median - half) and median + half then 1.0 else 0.0 end), 6) as coverage from cp join bd on bd.channel = cp.channel where block = 3 group by all""", "forecasts", "series_day"))
 def _(spark, d):
     """Trials fitted and chosen before 2000 are frozen and composed for all later days, with a band of the chosen median's residuals, beside the frozen reference."""
-    rows = _rows(spark, d)
+    rows = written(_rows(spark, d))  # fitting, choosing, composing and the band read them
     choice = X.guarded_selection(rows, ["channel"], ["average", "seasonal"])
     made = X.composed(rows.where("block > 1"), choice, ["channel"], [*SERIES, "origin", "h", "block"])
     band = X.quantiles(made.where("block = 2").withColumn("_e", F.abs(F.col("y") - F.col("median"))), ["channel"], "_e", {"half": 0.9}).drop("n")

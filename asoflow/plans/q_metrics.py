@@ -9,6 +9,7 @@ from asoflow.operators import metrics as M
 from asoflow.plans.registry import query
 from asoflow.plans.views import sql
 from asoflow.sources.adapters import SERIES, forecasts, returns, scores, series_day, table
+from asoflow.sources.scratch import written
 
 _E = "case when y is not null and p is not null then p - y end"
 _POINT = f"""count(y) as n, count(case when y is not null and p is not null then 1 end) as n_predicted, count(case when p > y then 1 end) as n_over, count(case when p < y then 1 end) as n_under, count(case when p is not null and y > 0 then 1 end) as n_positive,
@@ -96,7 +97,7 @@ def _pick(column: str) -> str:
 @query("ag08_endpoint_shift", sql(f"""with a as ({_shift('product, channel, location')}), b as ({_shift('product, channel')}), c as ({_shift('')})
     select a.product, a.channel, a.location, {_pick('lower_shift')}, {_pick('upper_shift')}, {_pick('rows')}, case when {_READY.format(t='a')} then 0 when {_READY.format(t='b')} then 1 when {_READY.format(t='c')} then 2 end as level from a join b using (product, channel) cross join c""", "forecasts"))
 def _(spark, d):
-    f = forecasts(spark, d).withColumns({"low": F.col("p") - 40, "high": F.col("p") + 40})
+    f = written(forecasts(spark, d)).withColumns({"low": F.col("p") - 40, "high": F.col("p") + 40})  # each level reads them four times
     out = M.endpoint_shift(f, [["product", "channel", "location"], ["product", "channel"], []], "y", "low", "high", 0.05, 150)
     return out.withColumns({c: F.round(c, 6) for c in ("lower_shift", "upper_shift")})
 

@@ -111,3 +111,11 @@ def test_available_at_deals_lines_by_their_number(spark, monkeypatch):
     tasks = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1_000)
     plan = registry.queries()["prj06_available_at"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+@pytest.mark.parametrize(("name", "most"), [("ag08_endpoint_shift", 0), ("ml14_fitted_composition", 0)])
+def test_forecasts_that_are_read_often_are_made_once(spark, name, most):
+    from asoflow.plans import registry
+
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate") <= most
