@@ -10,6 +10,7 @@ from asoflow.plans.q_metrics import _errors
 from asoflow.plans.q_models import _BEFORE, FEATURES, _frame
 from asoflow.plans.registry import query
 from asoflow.sources.adapters import SERIES, table
+from asoflow.sources.scratch import written
 
 
 @query("ml02_histogram_booster")
@@ -18,6 +19,7 @@ def _(spark, d):
     from asoflow.operators.joins import lagged
 
     rows = lagged(_frame(spark, d), SERIES, "day", "mean_28", 1, "average").withColumn("average", F.coalesce("average", F.col("mean_28"))).drop("mean_28").withColumnRenamed("average", "mean_28")
+    rows = written(rows)  # every pass of both fits reads it
     train, later = rows.where(_BEFORE), rows.where(f"not {_BEFORE}")
     mean, median = (boosting.fit_booster(train, FEATURES, "units", head, rounds=20, depth=4, leaves=15, bins=32) for head in ("mean", "median"))
     p = median.predict(mean.predict(later, "p_mean"), "p_median").withColumn("p_average", F.col("mean_28"))

@@ -9,17 +9,19 @@ from asoflow.operators import panel as P
 from asoflow.plans.registry import query
 from asoflow.plans.views import sql
 from asoflow.sources.adapters import SERIES, demand_versions, ledger, lines, scores, series_day, table
+from asoflow.sources.scratch import written
 
 _ROLE = "case when day <= date '1998-12-31' - 15 then 'train' when day <= date '1998-12-31' then 'purged' when day <= date '1999-12-31' - 15 then 'tune' when day <= date '1999-12-31' then 'purged' when day <= date '2000-12-31' then 'test' else 'outside' end"
 FEATURES = ["lag_1", "lag_7", "mean_28", "weekday"]
 
 
 def _frame(spark, d):
+    """A row for each series and day, at most the days of the data times the series. It is written, for every pass of a fit reads it and the lines are many more."""
     from asoflow.operators.joins import lagged
 
-    rows = P.rolling(series_day(spark, d), SERIES, "day", "units", (28,))
+    rows = P.rolling(written(series_day(spark, d)), SERIES, "day", "units", (28,))
     rows = lagged(lagged(rows, SERIES, "day", "units", 1, "lag_1"), SERIES, "day", "units", 7, "lag_7")
-    return rows.withColumn("weekday", F.weekday("day").cast("double")).fillna(-1.0, ["lag_1", "lag_7"])
+    return written(rows.withColumn("weekday", F.weekday("day").cast("double")).fillna(-1.0, ["lag_1", "lag_7"]))
 
 
 _BEFORE = "day < date'2000-01-01'"

@@ -119,3 +119,20 @@ def test_forecasts_that_are_read_often_are_made_once(spark, name, most):
 
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_shipdate") <= most
+
+
+def test_boosters_read_a_written_frame(spark, monkeypatch):
+    """A pass of a fit reads the rows of a series and day, not the lines and the joins again."""
+    from asoflow.operators import boosting
+    from asoflow.plans import q_models, registry
+
+    seen, fit = [], boosting.fit_booster
+
+    def shorter(train, *args, **settings):
+        seen.append(train._jdf.queryExecution().optimizedPlan().toString())
+        return fit(train, *args, **(settings | {"rounds": 1}))
+
+    monkeypatch.setattr(boosting, "fit_booster", shorter)
+    registry.queries()["ml02_histogram_booster"](spark, SF)
+    seen.append(q_models._frame(spark, SF)._jdf.queryExecution().optimizedPlan().toString())
+    assert len(seen) == 3 and not any("l_shipdate" in p or "Join" in p for p in seen)
