@@ -38,12 +38,16 @@ def overlapping(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return met.where(F.col("_bucket") == bucket_of(F.greatest("_start", "start"), width)).drop("_bucket")
 
 
-def covering(facts: DataFrame, windows: DataFrame, key: Sequence[str], day: str, how: str = "inner") -> DataFrame:
-    """Facts with the windows (key, start, end, ...) of their key that hold their day, start and end included; how may be left. A fact meets the windows of one bucket of days alone. Null keys match nothing."""
+def covering(facts: DataFrame, windows: DataFrame, key: Sequence[str], day: str, how: str = "inner", at: str = "") -> DataFrame:
+    """Facts with the windows (key, start, end, ...) of their key that hold their day, start and end included; how may be left. A fact meets the windows of one bucket of days alone. Null keys match nothing.
+
+    at: a name under which the fact's bucket stays. Rows lie by key and bucket then, so a Window.partitionBy(*key, at, ...) over what a fact met needs no second shuffle.
+    """
     width = bucket_days(windows)
     placed = in_buckets(windows, width).withColumnsRenamed({c: f"_w_{c}" for c in key})
     asked = facts.withColumn("_at", bucket_of(F.col(day), width))
     rule = (F.col("_at") == F.col("_bucket")) & (F.col(day) >= F.col("start")) & (F.col(day) <= F.col("end"))
     for c in key:
         rule = rule & (F.col(c) == F.col(f"_w_{c}"))
-    return asked.join(placed, rule, how).drop("_at", "_bucket", *[f"_w_{c}" for c in key])
+    met = asked.join(placed, rule, how).drop("_bucket", *[f"_w_{c}" for c in key])
+    return met.withColumnRenamed("_at", at) if at else met.drop("_at")

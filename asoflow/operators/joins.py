@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: the scope of plans without a location or channel
-_ANY = "\x00any"
+#: locations whose plans a fact may meet
+_LOT = 16
 
 
 def require_reference(df: DataFrame, dim: DataFrame, key: str, dim_key: str, reason: str) -> DataFrame:
@@ -53,25 +53,25 @@ def plan_match(series: DataFrame, plans: DataFrame, on: str, day: str, origin: C
     """The plan of the narrowest scope in force on the day and known at the origin, latest version first; ambiguous where two tie.
 
     A plan without a location holds for all, one of channel 'all' for every channel; any other must be
-    that of the series. A location narrows more than a channel. Each fact asks for its four possible scopes by
-    equality, within its bucket of days, so it never meets the other versions of its key.
+    that of the series. A location narrows more than a channel. Each fact asks once, by equality, in its bucket of days and
+    its lot of about _LOT locations, to which plans of no location belong as well, so it never meets all versions of
+    its key; it is ranked where it met them. A fact_key names a fact, with its key, location and day.
     """
     from asoflow.operators.intervals import covering
 
+    lots = max(1, -(-plans.agg(F.approx_count_distinct("location").alias("n")).first()["n"] // _LOT))
+    lot, all_lots = F.pmod(F.xxhash64("location"), F.lit(lots)).cast("int"), F.sequence(F.lit(0), F.lit(lots - 1))
     held = plans.select(
-        F.col(on).alias("_on"), F.coalesce("location", F.lit(_ANY)).alias("_scope_location"), F.coalesce("channel", F.lit(_ANY)).alias("_scope_channel"), F.col("from_day").alias("start"), F.date_sub("to_day", 1).alias("end"),
-        *[c for c in plans.columns if c not in (on, "location", "channel", *series.columns)],
+        F.col(on).alias("_on"), F.explode(F.when(F.col("location").isNull(), all_lots).otherwise(F.array(lot))).alias("_lot"), F.col("location").alias("_location"), F.col("channel").alias("_channel"),
+        F.col("from_day").alias("start"), F.date_sub("to_day", 1).alias("end"), *[c for c in plans.columns if c not in (on, "location", "channel", *series.columns)],
     )
-    scopes = [F.struct(a.alias("_scope_location"), b.alias("_scope_channel"), F.lit(r).alias("scope_rank")) for a, b, r in (
-        (F.lit(_ANY), F.lit("all"), 0), (F.lit(_ANY), F.col("channel"), 1), (F.col("location"), F.lit("all"), 2), (F.col("location"), F.col("channel"), 3),
-    )]
-    asked = series.withColumn("_origin", origin).select("*", F.col(on).alias("_on"), F.inline(F.array_distinct(F.array(*scopes))))
-    asked = asked.where("scope_rank in (0, 2) or channel <> 'all'")
-    joined = covering(asked, held, ["_on", "_scope_location", "_scope_channel"], day).where(F.col("known") <= F.col("_origin"))
-    joined = joined.drop("_on", "_scope_location", "_scope_channel", "_origin", "start", "end")
-    by = Window.partitionBy(*fact_key)
-    best = joined.withColumn("_r", F.rank().over(by.orderBy(F.desc("scope_rank"), F.desc("version")))).where("_r = 1").drop("_r")
-    return best.withColumn("ambiguous", F.count("*").over(by) > 1)
+    asked = series.withColumns({"_origin": origin, "_on": F.col(on), "_lot": lot})
+    here = (F.col("_location").isNull() | (F.col("_location") == F.col("location"))) & ((F.col("_channel") == "all") | (F.col("_channel") == F.col("channel")))
+    joined = covering(asked, held, ["_on", "_lot"], day, at="_met").where(here & (F.col("known") <= F.col("_origin")))
+    joined = joined.withColumn("scope_rank", F.when(F.col("_location").isNull(), 0).otherwise(2) + F.when(F.col("_channel") == "all", 0).otherwise(1))
+    by = Window.partitionBy("_on", "_lot", "_met", *fact_key)
+    best = joined.withColumn("_r", F.rank().over(by.orderBy(F.desc("scope_rank"), F.desc("version")))).where("_r = 1")
+    return best.withColumn("ambiguous", F.count("*").over(by) > 1).drop("_r", "_on", "_lot", "_met", "_location", "_channel", "_origin", "start", "end")
 
 
 def legacy_assignment(facts: DataFrame, assignments: DataFrame, key: Sequence[str], day: str, origin: Column, fact_key: Sequence[str]) -> DataFrame:

@@ -44,21 +44,21 @@ def asof_multi(df: DataFrame, origins: DataFrame, key: Sequence[str], origin: st
 def effective_mapping(facts: DataFrame, plans: DataFrame, on: Sequence[str], day: str, origin: Column, fact_key: Sequence[str], from_col: str = "from_day", to_col: str = "to_day", available: str = "known", version: str = "version") -> DataFrame:
     """Each fact with the plan in force on its day as far as known at the origin: highest version, with status mapped, missing or ambiguous.
 
-    Facts meet the plans of their bucket of days (see intervals), not all versions of their key.
+    Facts meet the plans of their bucket of days (see intervals), not all versions of their key, and are ranked where they met. A fact_key names a fact, with its key and day.
     """
     from asoflow.operators.intervals import covering
 
     held = plans.select(*on, F.col(from_col).alias("start"), F.date_sub(to_col, 1).alias("end"), *[F.col(c).alias(f"_p_{c}") for c in plans.columns if c not in on])
     asked = facts.withColumn("_origin", origin)
-    joined = covering(asked, held, on, day, "left").drop("start", "end")
+    joined = covering(asked, held, on, day, "left", at="_met").drop("start", "end")
     seen = F.coalesce(F.col(f"_p_{available}") <= F.col("_origin"), F.lit(False))
     plan = [c for c in joined.columns if c.startswith("_p_")]
     joined = joined.withColumns({c: F.when(seen, F.col(c)) for c in plan}).withColumn("_seen", seen)
-    by = Window.partitionBy(*fact_key)
+    by = Window.partitionBy(*on, "_met", *[c for c in fact_key if c not in on])
     best = joined.withColumn("_rank", F.rank().over(by.orderBy(F.desc("_seen"), F.desc_nulls_last(f"_p_{version}")))).where("_rank = 1")
     best = best.withColumns({"_n": F.count("*").over(by), "_k": F.row_number().over(by.orderBy(F.lit(1)))}).where("_seen or _k = 1")
     status = F.when(~F.col("_seen") | F.col(f"_p_{version}").isNull(), "missing").when(F.col("_n") > 1, "ambiguous").otherwise("mapped")
-    return best.withColumn("status", status).drop("_rank", "_n", "_k", "_seen", "_origin")
+    return best.withColumn("status", status).drop("_rank", "_n", "_k", "_seen", "_origin", "_met")
 
 
 def version_chain_violations(df: DataFrame, key: Sequence[str], version: str = "version", available: str = "available") -> DataFrame:

@@ -136,3 +136,38 @@ def test_boosters_read_a_written_frame(spark, monkeypatch):
     registry.queries()["ml02_histogram_booster"](spark, SF)
     seen.append(q_models._frame(spark, SF)._jdf.queryExecution().optimizedPlan().toString())
     assert len(seen) == 3 and not any("l_shipdate" in p or "Join" in p for p in seen)
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+def test_facts_are_ranked_where_they_met_plans(spark):
+    """A fact travels once, whatever scopes it asks for, and what it met isn't shuffled again; lots of locations change no result."""
+    from asoflow.operators import joins as J
+    from asoflow.operators import versions as V
+
+    held = spark.range(40).selectExpr("id % 2 as part", "if(id > 36, null, concat('l', id)) as location", "if(id % 3 = 0, 'all', 'web') as channel", "date'2000-01-01' as from_day", "date'2000-02-01' as to_day", "date'1999-12-01' as known", "1L as version", "id as price")
+    facts = spark.range(80).selectExpr("id", "id % 2 as part", "concat('l', id % 40) as location", "if(id < 40, 'web', 'shop') as channel", "date'2000-01-10' as day")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matched = J.plan_match(facts, held, "part", "day", F.col("day"), ["id"])
+        mapped = V.effective_mapping(facts, held.drop("location", "channel"), ["part"], "day", F.col("day"), ["id"])
+        assert _shuffles(matched) == 2 and _shuffles(mapped) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plans, want = held.collect(), set()
+    for f in facts.collect():
+        met = [(2 * (p.location is not None) + (p.channel != "all"), p.price) for p in plans if p.part == f.part and p.location in (None, f.location) and p.channel in ("all", f.channel)]
+        want |= {(f.id, *m) for m in met if m[0] == max(met)[0]}
+    assert {(r.id, r.scope_rank, r.price) for r in matched.collect()} == want and len(want) > 60
+    assert mapped.count() == 80 * 20
+
+
+def test_plans_are_dealt_by_parts_and_lines_keep_their_place_beside_suppliers(spark, monkeypatch):
+    from asoflow.sources import adapters
+
+    monkeypatch.setattr(adapters, "_TASK_PARTS", 50, raising=False)
+    tasks = -(-spark.read.parquet(f"{SF}/part.parquet").count() // 50)
+    assert tasks > 1 and f", {tasks}), REPARTITION_BY_NUM" in adapters.plans(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_suppkey" not in adapters.lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
