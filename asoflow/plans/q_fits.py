@@ -31,6 +31,7 @@ def _raw_scores(spark, d):
     """Documents with the raw scores of two base models, fitted to a third of them, and the other two thirds by role."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.ln("n_chars").alias("a"), F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("b"), (F.col("n_chars") < 300).alias("short"))
     rows = docs.join(table(spark, d, "labels"), "doc_id").withColumns({"y": F.col("quality"), "area": F.concat(F.lit("g"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4).cast("string"))})
+    rows = written(rows)  # every pass of the fits reads these numbers, not the texts
     train = rows.where("doc_id % 3 = 0")
     for name, kind in (("linear", "logistic"), ("boosted", "boosted")):
         model = ML.fit_risk(train, ["a", "b"], "y", kind, **({"maxIter": 5} if kind == "boosted" else {}))

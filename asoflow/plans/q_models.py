@@ -63,8 +63,9 @@ def _(spark, d):
 
 
 def _risk(spark, d):
+    """Written, for every pass of a fit and every shuffle of features reads these few numbers; the texts are read once."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.ln("n_chars").alias("a"), F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("b"))
-    return docs.join(table(spark, d, "labels"), "doc_id").withColumn("y", F.col("quality"))
+    return written(docs.join(table(spark, d, "labels"), "doc_id").withColumn("y", F.col("quality")))
 
 
 @query("ml04_risk_classifier")

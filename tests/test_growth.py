@@ -171,3 +171,11 @@ def test_plans_are_dealt_by_parts_and_lines_keep_their_place_beside_suppliers(sp
     tasks = -(-spark.read.parquet(f"{SF}/part.parquet").count() // 50)
     assert tasks > 1 and f", {tasks}), REPARTITION_BY_NUM" in adapters.plans(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_suppkey" not in adapters.lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fits_on_documents_read_texts_once(spark):
+    from asoflow.plans import q_fits, q_models
+
+    for rows in (q_models._risk(spark, SF), q_fits._raw_scores(spark, SF)[0]):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan and "Join" not in plan
