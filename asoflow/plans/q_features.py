@@ -8,12 +8,15 @@ from asoflow.functions.columns import movable_days
 from asoflow.operators import features as X
 from asoflow.plans.registry import query
 from asoflow.plans.views import sql
-from asoflow.sources.adapters import SERIES, demand_versions, plans, series_day, span, table
+from asoflow.sources.adapters import SERIES, cell_versions, demand_cells, plans, span, table
+from asoflow.sources.scratch import written
 
 
 def _inputs(spark, d):
-    s = series_day(spark, d)
-    ends = span(spark, d)
+    """What forecast_frame takes. The cells of series and days are written, for seven of its inputs come from them, and the lines are many more; of the plans those of the products' parts are made."""
+    cells = written(demand_cells(spark, d))
+    s = cells.select(*SERIES, "day", F.col("u2").alias("units"))
+    ends = written(span(spark, d))  # one row
     assortment = s.groupBy(*SERIES).agg(F.min("day").alias("from_day"), F.date_add(F.max("day"), 29).alias("to_day"))
     parts = table(spark, d, "part").groupBy(F.col("p_type").alias("product")).agg(F.max("p_partkey").alias("part"), F.max_by("p_brand", "p_partkey").alias("brand"))
     catalog = s.groupBy("product").agg(F.min("day").alias("launch")).join(parts, "product").withColumn("category_id", F.substring_index("product", " ", 1))
@@ -33,7 +36,8 @@ def _inputs(spark, d):
     wide = one.where("month(m) % 2 = 0").withColumns({"promotion_id": F.concat("promotion_id", F.lit("|x")), "channel": F.lit("all"), "priority": F.lit(5), "to_day": F.date_add("m", 4), "promotion_type": F.lit("flash")})
     origins = ends.select("last_day", F.explode(F.expr("sequence(trunc(first_day, 'month'), last_day, interval 1 month)")).alias("m")).select(F.last_day("m").alias("origin"), "last_day").where("origin <= date_sub(last_day, 14)").select("origin")
     targets = s.select(*SERIES).distinct().crossJoin(F.broadcast(origins)).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(14)))).withColumn("target", F.expr("date_add(origin, h)"))  # the months of the data
-    return targets, demand_versions(spark, d), assortment, catalog, first.unionByName(again), seasons, plans(spark, d), one.unionByName(off).unionByName(wide).drop("k", "m")
+    held = written(plans(spark, d).join(F.broadcast(catalog.select("part")), "part", "left_semi"))  # a part for each product
+    return targets, cell_versions(cells), assortment, catalog, first.unionByName(again), seasons, held, one.unionByName(off).unionByName(wide).drop("k", "m")
 
 
 _TOTALS = {c: "sum" for c in (*X.HISTORY, "target_weekday", "target_week_of_year", "target_month", "target_quarter", "planned_regular_price_minor_units", "planned_promotion_discount_basis_points", "planned_promotion_minimum_quantity", "history_active_days", "history_known_days")}

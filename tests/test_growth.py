@@ -179,3 +179,9 @@ def test_fits_on_documents_read_texts_once(spark):
     for rows in (q_models._risk(spark, SF), q_fits._raw_scores(spark, SF)[0]):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_replace" not in plan and "Join" not in plan
+
+
+def test_feature_frame_reads_lines_once(spark):
+    from asoflow.plans import registry
+
+    assert "l_shipdate" not in registry.queries()["ds07_feature_frame"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
