@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asoflow.llm.store import stored
+from asoflow.llm.store import sorted_merge, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        large = both.join(sorted_merge(least), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.where("m < u").select("u", F.col("m").alias("v"))
         ).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        small = large.join(sorted_merge(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))
         ).distinct()
         now = stored(small)

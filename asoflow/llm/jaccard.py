@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from asoflow.llm.graph import connected_components
 from asoflow.llm.shingles import digest, lists_of, shingle_sets
-from asoflow.llm.store import join_classes, stored
+from asoflow.llm.store import join_classes, sorted_merge, stored
 
 #: Bits of the fixed-size map of document ids that spares most texts a shuffle.
 _MAP_WORDS = 1 << 17
@@ -81,7 +81,7 @@ def _multiplied(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     """The block of the rarest columns for given pairs (a, b): met, ka, kb as the join gives them for all, beside the sizes and the columns of both."""
     one, two = (ordered.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"s{k}"), F.col("width").alias(f"w{k}"), F.col("cols").alias(f"c{k}")) for k in "ab")
     block = F.array_intersect(F.slice("ca", F.lit(1), F.col("wa")), F.slice("cb", F.lit(1), F.col("wb")))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("common", block).where(F.size("common") > 0)
+    both = pairs.select("a", "b").join(sorted_merge(one), "a").join(sorted_merge(two), "b").withColumn("common", block).where(F.size("common") > 0)
     last = F.element_at("common", -1)  # in the order of a's columns, which is everyone's
     return both.withColumns({"met": F.size("common").cast("long")} | {f"k{k}": (F.array_position(f"c{k}", last) - 1).cast("long") for k in "ab"}).drop("common")
 
@@ -106,8 +106,8 @@ def _candidates(docs: DataFrame, seen: DataFrame, reps: DataFrame, id_col: str,
     columns = seen.where("n > 0").select("doc", F.explode("cols").alias("col"))
     shared = columns.groupBy("col").agg(F.count("*").alias("times")).where("times > 1").select("col")
     need = f"greatest(1, ceil({percent} * n / 100) div 10)"
-    met = columns.join(shared, "col").groupBy("doc").agg(F.count("*").alias("met"))
-    left = stored(met.join(reps.select(F.col("rep").alias("doc"), "n"), "doc").where(f"met >= {need}").select("doc").distinct())
+    met = columns.join(sorted_merge(shared), "col").groupBy("doc").agg(F.count("*").alias("met"))
+    left = stored(met.join(sorted_merge(reps.select(F.col("rep").alias("doc"), "n")), "doc").where(f"met >= {need}").select("doc").distinct())
 
     # At most _MAP_WORDS rows whatever the input: a fixed bitmap of the ids that are left.
     spot = f"pmod(xxhash64(doc), {_MAP_WORDS * 64})"
@@ -116,14 +116,14 @@ def _candidates(docs: DataFrame, seen: DataFrame, reps: DataFrame, id_col: str,
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     texts = texts.select("*", word).join(F.broadcast(bits), "w")
     texts = texts.where(f"shiftrightunsigned(bits, {bit}) & 1 = 1").select("doc", "text")
-    return _prints(texts.join(left, "doc", "left_semi"), "doc", "text", words, percent, True).select("doc", "n", "cols")
+    return _prints(texts.join(sorted_merge(left), "doc", "left_semi"), "doc", "text", words, percent, True).select("doc", "n", "cols")
 
 
 def _ordered(rows: DataFrame, percent: int) -> DataFrame:
     """Step 2: each row left with its shared columns from the rarest on, and how many of them (width) can be the first that it shares with a partner."""
     cells = rows.select("doc", "n", F.explode("cols").alias("col"))
     times = cells.groupBy("col").agg(F.count("*").alias("times")).where("times > 1")
-    kept = cells.join(times, "col").groupBy("doc", "n").agg(F.count("*").alias("shared"), (F.sum("times") / F.col("n")).alias("central"), F.sort_array(F.collect_list(F.struct("times", "col"))).alias("cols"))
+    kept = cells.join(sorted_merge(times), "col").groupBy("doc", "n").agg(F.count("*").alias("shared"), (F.sum("times") / F.col("n")).alias("central"), F.sort_array(F.collect_list(F.struct("times", "col"))).alias("cols"))
     kept = kept.withColumn("at", F.expr("n - shared")).where(f"{_most(percent)} >= {_least(percent)}")
     # beyond this place a first shared column comes too late for any partner
     width = f"cast(greatest(0, least(shared, n - {_least(percent)} + 1 - (n - shared))) as int)"
@@ -175,7 +175,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     for side, other, key in ((small, large, "b"), (large, small, "a")):
         own = "a" if key == "b" else "b"
         lead = side.groupBy("col", "band").agg(F.max(F.struct(f"x{own}", F.bitwise_not(own).alias("tie"), *[c for c in side.columns if c not in ("col", "band", f"x{own}", f"s{own}", f"k{own}")])).alias("s")).select("col", "band", "s.*").drop("tie")
-        met = other.join(lead, ["col", "band"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.max(f"x{own}").alias("x"))
+        met = other.join(sorted_merge(lead), ["col", "band"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.max(f"x{own}").alias("x"))
         pick = met.groupBy(key).agg(F.max_by(own, F.struct("met", "x", F.bitwise_not(own))).alias(own)).select("a", "b")
         first = pick if first is None else first.union(pick)
     first = first.distinct()
@@ -184,19 +184,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     def label(side: DataFrame, key: str) -> DataFrame:
         found = named.select(F.col("id").alias(key), F.col("component").alias(f"c{key}"))
-        return side.join(found, key, "left").withColumn(f"c{key}", F.coalesce(f"c{key}", key))
+        return side.join(sorted_merge(found), key, "left").withColumn(f"c{key}", F.coalesce(f"c{key}", key))
 
     small, large = stored(label(small, "a")), stored(label(large, "b"))
     ends = small.groupBy("col", "band").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi"))
-    ends = ends.join(large.groupBy("col", "band").agg(F.min("cb").alias("lob"), F.max("cb").alias("hib")), ["col", "band"])
+    ends = ends.join(sorted_merge(large.groupBy("col", "band").agg(F.min("cb").alias("lob"), F.max("cb").alias("hib"))), ["col", "band"])
     mixed = ends.where("lo <> hi or lob <> hib or lo <> lob").select("col", "band")
-    rest = small.join(mixed, ["col", "band"], "left_semi").join(large, ["col", "band"]).where(fits & (F.col("ca") != F.col("cb")))
+    rest = small.join(sorted_merge(mixed), ["col", "band"], "left_semi").join(sorted_merge(large), ["col", "band"]).where(fits & (F.col("ca") != F.col("cb")))
     counted = rest.groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.count("*").alias("met"), F.max("ka").cast("long").alias("ka"), F.max("kb").cast("long").alias("kb"))
     one, two = (ordered.select(F.col("doc").alias(k), F.col("cols").alias(f"c{k}")) for k in "ab")
-    more = _links(counted.where(_within(percent)).join(one, "a").join(two, "b"), percent)
+    more = _links(counted.where(_within(percent)).join(sorted_merge(one), "a").join(sorted_merge(two), "b"), percent)
     final = connected_components(stored(links.select("a", "b").union(more)))
 
-    classes = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = reps.join(sorted_merge(final.withColumnRenamed("id", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     linked = join_classes(narrow.where("n > 0 and doc is not null"), stored(classes), ["n", "d1", "d2"], "m").select("doc", "n", "rep", "component")
     alone = narrow.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("component"))
     return linked.union(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"), F.col("component").alias("component_id"))

@@ -48,6 +48,12 @@ def release(spark: SparkSession, since: int, but_last: int = 0) -> None:
     del _WRITTEN[since:upto]
 
 
+def sorted_merge(df: DataFrame) -> DataFrame:
+    """df as a side of joins whose sides both grow with the input: they are shuffled and merged at any size, so the driver never builds a hash table of
+    a side that happens to be small now (4 MB of its heap at least, and copies, for each such join of a plan)."""
+    return df.hint("merge")
+
+
 _HOT = 1000
 
 
@@ -61,5 +67,5 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: Sequence[str], size:
     hot = F.col(size) * _HOT > F.lit(total)
     big, small = classes.where(hot), classes.where(~hot)
     spread = rows.join(F.broadcast(big), list(keys))  # fewer than _HOT classes
-    rest = rows.join(F.broadcast(big.select(*keys)), list(keys), "left_anti").join(small, list(keys))
+    rest = rows.join(F.broadcast(big.select(*keys)), list(keys), "left_anti").join(sorted_merge(small), list(keys))
     return spread.unionByName(rest)

@@ -15,7 +15,7 @@ from asoflow.llm.langid import UNKNOWN, fit, identify
 from asoflow.llm.mixing import mixed_documents
 from asoflow.llm.quality import quality_scores
 from asoflow.llm.sentencepiece_bpe import default_model, encode_decode
-from asoflow.llm.store import release, stored, written
+from asoflow.llm.store import release, sorted_merge, stored, written
 
 #: Two stages learn models and one draws: SQL can't express them.
 ORACLE_SQL: str | None = None
@@ -50,8 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = stored(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*docs.columns).alias("row")))  # written, so the numbers stay
     found = jaccard_components(rows.select("n", "row.text"), words=5, percent=80, id_col="n").select("n", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
-    first = rows.select("n", "row.doc_id").join(found, "n").groupBy("component_id").agg(F.min(order)["n"].alias("n"))
-    return rows.join(first.select("n"), "n", "left_semi").select("row.*")
+    first = rows.select("n", "row.doc_id").join(sorted_merge(found), "n").groupBy("component_id").agg(F.min(order)["n"].alias("n"))
+    return rows.join(sorted_merge(first.select("n")), "n", "left_semi").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

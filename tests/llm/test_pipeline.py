@@ -95,3 +95,11 @@ def test_stages_treat_repeated_and_null_ids_row_by_row(spark):
 
     tokens = stage["tokens"](spark, some, SF).collect()
     assert Counter(r["doc_id"] for r in tokens) == Counter(r[0] for r in rows)
+
+
+def test_near_duplicates_builds_no_hash_table_of_a_growing_side(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i % 3}") for i in range(9)], "doc_id long, text string")
+    plan = corpus_pipeline.near_duplicates(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert any("LeftSemi" in x for x in joins) and not [x for x in joins if "LeftSemi" in x and "Broadcast" in x]
+    assert sum("BroadcastHashJoin" in x for x in joins) <= 2  # the hot classes of join_classes, fewer than a thousand
