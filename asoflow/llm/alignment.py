@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import operator
 import os
 import re
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ _KEPT_LENGTH = 64
 _TOGETHER = 1 << 15  # characters of pieces that are encoded as one text
 _PART = 1 << 20  # characters that are aligned at once (or one text)
 _FEW_PAIRS = 1_000_000
+_SPAN = operator.attrgetter("id", "begin", "end")
 _WORKERS: dict[str, _Aligner] = {}
 
 
@@ -71,16 +73,19 @@ class _Aligner:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
             self.cuts &= self.b.is_control(i) or MARK not in piece.lstrip(MARK)
+        self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
+        self.names = [[str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes)]
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}  # what was remembered before; what is met again moves to known
 
     def align(self, pieces: list[str]) -> list[tuple | None]:
         """For each piece n_a, n_b, groups and the linked pairs; None where the tokens' bytes aren't those of the piece. The pieces are encoded as one text, with a space before each; where that doesn't come back as its bytes, halves of them are."""
         text = " ".join(pieces)
         raw = f" {text}".encode()
-        one, two = self.a.encode(f" {text}", add_special_tokens=False), list(self.b.encode(text, return_type="proto").pieces)
-        a, b = one.ids, [p.id for p in two]
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        same = b"".join(a_bytes) == raw and b"".join(b_bytes) == raw
+        one, two = self.a.encode(f" {text}", add_special_tokens=False), self.b.encode(text, return_type="proto").pieces
+        a, two = one.ids, np.fromiter(itertools.chain.from_iterable(map(_SPAN, two)), np.int64, 3 * len(two)).reshape(-1, 3)
+        b = two[:, 0].tolist()
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
         if same:
             coarse = np.fromiter(itertools.chain.from_iterable(one.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
             stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
@@ -88,12 +93,13 @@ class _Aligner:
                 letters = np.frombuffer(f" {text}".encode("utf-32-le"), "<u4")
                 at = np.concatenate(([0], np.cumsum(1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000))))
                 coarse, stops = at[coarse], at[stops]
-            a_ends = _ends(coarse, np.fromiter(map(len, a_bytes), np.int64, len(a)))
-            spans = np.stack([np.fromiter((getattr(p, side) for p in two), np.int64, len(b)) for side in ("begin", "end")], axis=1) + 1  # after the space
+            a_ids, b_ids = np.array(a, np.int64), two[:, 0]
+            a_ends = _ends(coarse, self.sizes[0][a_ids])
+            spans = two[:, 1:] + 1  # after the space
             spans[0, 0] = 0
-            b_ends = _ends(spans, np.fromiter(map(len, b_bytes), np.int64, len(b)))
+            b_ends = _ends(spans, self.sizes[1][b_ids])
             if all(e[np.searchsorted(e, stops)].tolist() == stops.tolist() for e in (a_ends, b_ends)):
-                return _linked(a, a_ends, b, b_ends, stops)
+                return _linked([[t[i] for i in x] for t, x in zip(self.names, (a, b), strict=True)], a_ids, a_ends, b_ids, b_ends, stops)
         if len(pieces) == 1:
             return [None]
         half = len(pieces) // 2
@@ -101,10 +107,13 @@ class _Aligner:
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple | None]:
         cut = [(_CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        if len(self.known) > _KEPT:
-            self.known = {}
-        known, plain, long, lo, held = self.known, [], [], 0, 0
+        if 2 * len(self.known) > _KEPT:
+            self.known, self.older = {}, self.known
+        known, older, plain, long, lo, held = self.known, self.older, [], [], 0, 0
         for p in set(itertools.chain.from_iterable(cut)).difference(known):
+            if p in older:
+                known[p] = older[p]
+                continue
             if len(p) > _KEPT_LENGTH:
                 long.append(p)
             if p[0].isspace() or p[-1].isspace():
@@ -128,25 +137,26 @@ class _Aligner:
             del known[p]
 
 
-def _linked(a: list[int], a_ends: np.ndarray, b: list[int], b_ends: np.ndarray, stops: np.ndarray) -> list[tuple]:
-    """What stands between stops, which are ends of both. Between two neighbouring ends of either there is one token of both: a link; ends of both close a group."""
+def _linked(names: list[list[str]], a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, stops: np.ndarray) -> list[tuple]:
+    """names: of a's and b's ids; the pairs are bytes, eight for each. What stands between stops, which are ends of both. Between two neighbouring ends of either there is one token of both: a link; ends of both close a group."""
     ends = np.union1d(a_ends, b_ends)
-    pairs = np.array(a, np.int64)[np.searchsorted(a_ends, ends)] << 32 | np.array(b, np.int64)[np.searchsorted(b_ends, ends)]
+    pairs = (a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]).tobytes()
     both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    names, upto = [list(map(str, x)) for x in (a, b)], [np.concatenate(([0], np.searchsorted(e, both, "right"))).tolist() for e in (a_ends, b_ends)]
+    one, two = names
+    upto = [np.concatenate(([0], np.searchsorted(e, both, "right"))).tolist() for e in (a_ends, b_ends)]
     groups = [
-        f"{names[0][i]}|{names[1][k]}" if j == i + 1 and m == k + 1 else f"{','.join(names[0][i:j])}|{','.join(names[1][k:m])}"
+        f"{one[i]}|{two[k]}" if j == i + 1 and m == k + 1 else f"{','.join(one[i:j])}|{','.join(two[k:m])}"
         for i, j, k, m in zip(upto[0], upto[0][1:], upto[1], upto[1][1:], strict=False)
     ]
     cuts = [np.concatenate(([0], np.searchsorted(e, stops, "right"))).tolist() for e in (a_ends, b_ends, both, ends)]
-    return [(x[1] - x[0], y[1] - y[0], ";".join(groups[g[0] : g[1]]), pairs[p[0] : p[1]]) for x, y, g, p in zip(*(itertools.pairwise(c) for c in cuts), strict=True)]
+    return [(x[1] - x[0], y[1] - y[0], ";".join(groups[g[0] : g[1]]), pairs[8 * p[0] : 8 * p[1]]) for x, y, g, p in zip(*(itertools.pairwise(c) for c in cuts), strict=True)]
 
 
 def _joined(parts: list[tuple]) -> tuple:
     """n_a, n_b, n_groups, n_links, groups, distinct pairs and their times of a text from its pieces."""
     n_a, n_b, groups, pairs = zip(*parts, strict=True)
     whole = ";".join(groups)
-    pairs = np.concatenate(pairs)
+    pairs = np.frombuffer(b"".join(pairs), np.int64)
     codes, times = np.unique(pairs, return_counts=True)
     return sum(n_a), sum(n_b), whole.count(";") + 1, len(pairs), whole, codes, times
 

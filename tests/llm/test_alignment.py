@@ -97,3 +97,18 @@ def test_query_equals_plain_program(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert link_support(stored(aligned_tokens(docs, *default_models()).withColumn("n", F.monotonically_increasing_id()))).count() == 0
+
+
+def test_pieces_that_come_again_stay_remembered(monkeypatch):
+    from asoflow.llm import alignment
+
+    monkeypatch.setattr(alignment, "_KEPT", 6)
+    a, b = alignment.default_models()
+    with open(a, encoding="utf-8") as f, open(b, "rb") as g:
+        tool = alignment._Aligner(f.read(), g.read())
+    encoded, plain = [], tool.align
+    monkeypatch.setattr(tool, "align", lambda pieces: (encoded.extend(pieces), plain(pieces))[1])
+    rows = [next(tool.documents([f"often w{k}a w{k}b"])) for k in range(12)]
+    assert encoded.count("often") == 1
+    assert len(tool.known) + len(tool.older) <= 6 + 2 * 3  # and what two calls added
+    assert all(r[:4] == plain([f"often w{k}a w{k}b"])[0][:2] + (r[4].count(";") + 1, int(r[6].sum())) for k, r in enumerate(rows))
