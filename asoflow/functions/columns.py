@@ -127,6 +127,11 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def signed_round(value: Column, places: int) -> Column:
+    """Rounded half away from zero as by round, but a negative number that becomes zero keeps its sign, as in SQL on binary doubles."""
+    return F.signum(value) * F.round(F.abs(value), places)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

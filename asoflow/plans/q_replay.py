@@ -154,8 +154,10 @@ def _(spark, d):
     select conv_id, turn, c.checksum, n as n_shared, list_transform(range(0, 2), lambda i: round(cast(('0x' || substr(sha256(i || ':' || e.text), 1, 8))::bigint as double) / 2147483648.0 - 1, 6)) as raw from c join e using (checksum)""")
 def _(spark, d):
     """Every distinct text is embedded once and joined back to all its turns."""
+    from asoflow.functions.columns import signed_round
+
     c = table(spark, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("checksum"), "text")
-    return T.embedded_once(c, "checksum", "text", lambda x: F.transform(T.hash_numbers(x, 2), lambda y: F.round(y, 6)), "raw").select("conv_id", "turn", "checksum", "n_shared", "raw")
+    return T.embedded_once(c, "checksum", "text", lambda x: F.transform(T.hash_numbers(x, 2), lambda y: signed_round(y, 6)), "raw").select("conv_id", "turn", "checksum", "n_shared", "raw")
 
 
 _COS = """v as (select vec_id as id, vec_id % 7 as document, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), q as (select * from v where id % 50 = 0),
@@ -222,10 +224,10 @@ def _(spark, d):
 @query("tx06_hash_embedding", """with n as (select doc_id, list_transform(range(0, 8), lambda i: cast(('0x' || substr(sha256(i || ':' || text), 1, 8))::bigint as double) / 2147483648.0 - 1) as v from documents), u as (select doc_id, case when v[1] is null then v else list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) end as v from n)
     select doc_id, case when v[1] is not null then round(sqrt(list_dot_product(v, v)), 6) end as norm, list_transform(v, lambda x: round(x, 6)) as v from u""")
 def _(spark, d):
-    from asoflow.functions.columns import norm
+    from asoflow.functions.columns import norm, signed_round
 
     v = table(spark, d, "documents").select("doc_id", T.hash_embedding(F.col("text")).alias("v"))
-    return v.select("doc_id", F.round(norm(F.col("v")), 6).alias("norm"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return v.select("doc_id", F.round(norm(F.col("v")), 6).alias("norm"), F.transform("v", lambda x: signed_round(x, 6)).alias("v"))
 
 
 @query("ud01_nfkc_casefold")

@@ -56,6 +56,21 @@ def test_hash_embedding_matches_sql_on_null_and_empty_texts(spark, tmp_path):
     assert compare(spark, connect(str(tmp_path)), str(tmp_path), registry.queries()[name], registry.oracle_sql()[name]) is None
 
 
+def test_rounded_numbers_of_a_digest_keep_the_sign_of_zero(spark, tmp_path):
+    """Texts with a number between -0.0000005 and 0, one in four million: SQL rounds it to -0.0, which prints and hashes unlike 0.0."""
+    from oracle import connect
+
+    from asoflow.plans import registry
+
+    docs = spark.createDataFrame([(1, "text number 808443"), (2, "a b")], "doc_id long, text string")
+    turns = spark.createDataFrame([(1, 0, "text 4419276"), (1, 1, "a b")], "conv_id long, turn int, text string")
+    _tables(spark, tmp_path, documents=docs, conversations=turns)
+    for name, key, value in (("tx06_hash_embedding", "doc_id", "v"), ("tx07_embedding_cache", "turn", "raw")):
+        mine = {r[0]: str(r[1]) for r in registry.queries()[name](spark, str(tmp_path)).select(key, value).collect()}
+        theirs = connect(str(tmp_path)).execute(f"select {key}, {value} from ({registry.oracle_sql()[name]})").fetchall()
+        assert mine == {k: str(v) for k, v in theirs} and any("-0.0," in v for v in mine.values())
+
+
 def _tables(spark, root, **tables):
     """The smallest tables with some in place of them."""
     for path in Path(SF).glob("*.parquet"):
