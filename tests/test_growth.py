@@ -119,6 +119,48 @@ def test_near_duplicates_send_shingles_once(spark, monkeypatch):
     assert max(p.count("Generate explode") for p in plans[:3]) == 2
 
 
+def test_near_duplicates_write_shingles_of_possible_partners_only(spark, monkeypatch):
+    """Of a set without a partner only the halves of its first shingles are written. What is left equals all pairs compared one by one, around the threshold, in sets of many sizes."""
+    import random
+
+    from asoflow.operators import text as T
+
+    rng, texts = random.Random(5), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(rng.randrange(12, 90))]
+        for _ in range(6):
+            texts.append(list(words))
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = [f"v{rng.randrange(10_000)}" for _ in range(rng.randrange(3))]
+    texts += [[f"u{k}x{j}" for j in range(100)] for k in range(300)]
+    sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} if len(t) >= 12 else None for t in texts]
+    best = list(range(len(sets)))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 18 * len(sets[a] & sets[b]) >= 8 * (len(sets[a]) + len(sets[b]))]
+    assert any(18 * len(sets[a] & sets[b]) == 8 * (len(sets[a]) + len(sets[b])) for a, b in pairs)
+    for _ in sets:
+        for a, b in pairs:
+            best[a] = best[b] = min(best[a], best[b])
+
+    tables, written = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: tables.append(written(df)) or tables[-1])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["id"]: r["component_id"] for r in T.near_duplicates(docs, "doc_id", "text").collect()}
+    assert found == {k: best[k] for k, x in enumerate(sets) if x} and len(pairs) > 100
+    whole = [t for t in tables if "array<bigint>" in dict(t.dtypes).values()]
+    assert whole and max(t.agg(F.max("class")).first()[0] if "class" in t.columns else len(texts) for t in whole) < 240
+    assert sum(t.count() for t in whole) < 240
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    """More shingles than a ten-thousandth of an int."""
+    from asoflow.operators import text as T
+
+    words = [f"w{k}" for k in range(220_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-5]))], "doc_id long, text string")
+    assert {tuple(r) for r in T.near_duplicates(docs, "doc_id", "text").collect()} == {(1, 1, 1), (2, 2, 1)}
+
+
 def test_available_at_deals_lines_by_their_number(spark, monkeypatch):
     from asoflow.plans import q_scans, registry
 
